@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexarium.llm import mixing, packing, secrets
+from lexarium.llm import mixing, neardup, packing, quality_classifier, secrets
 from lexarium.llm.common import materialize
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels among them, doesn't reject."""
+    return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, similarity 0.8): the first by doc_id."""
+    return neardup.drop_near_duplicates(docs, 80)
+
+
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in text give way to a placeholder; every document stays."""
     return secrets.redact_documents(docs)
@@ -23,7 +33,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("secret scan", scan_secrets), ("mixing", mix), ("packing", pack)]
+STAGES = [
+    ("quality classifier", good_documents),
+    ("near-duplicates", distinct_documents),
+    ("secret scan", scan_secrets),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 #: Stages train models and run a tokenizer, which SQL can't express.
 ORACLE_SQL = None

@@ -70,7 +70,7 @@ def plan_mix(sized: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     counts = counts.withColumn("first", F.sum("slots").over(Window.orderBy("source_id")) - F.col("slots")).withColumn("all", F.sum("slots").over(Window.partitionBy()))
 
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK).cast("long")))
-    slots = counts.where("slots > 0").withColumn("chunk", chunk).repartition("source_id", "chunk")
+    slots = counts.where("slots > 0").withColumn("chunk", chunk).repartition(int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id", "chunk")
     slots = slots.withColumn("k", F.explode(F.sequence(F.col("chunk"), F.least(F.col("chunk") + CHUNK, F.col("slots")) - 1)))
     turn = F.floor(F.col("k") / F.col("blocks"))
     index = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.abs(F.xxhash64("source_id", turn, F.lit(SEED)) % (1 << 40)))
@@ -85,7 +85,8 @@ def plan_mix(sized: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "_rid", "source_id", (F.col("base") + F.col("b")).alias("index"),
         F.greatest(F.col("b") * BLOCK_WORDS - F.col("start"), F.lit(0)).alias("first"), F.least((F.col("b") + 1) * BLOCK_WORDS - F.col("start"), F.col("size")).alias("last"),
     )
-    return docs, pieces.join(uses, ["source_id", "index"]).select("_rid", "first", "last", "uses"), slots
+    # Spark takes exploded rows for as few as they came from and would broadcast them; this side grows with the corpus.
+    return docs, pieces.hint("merge").join(uses.hint("merge"), ["source_id", "index"]).select("_rid", "first", "last", "uses"), slots
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:

@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 from .ans import op5_ans_tokens
+from .fingerprints import op3_audio_fingerprints
+from .langid import op2_language_id
 from .mixing import op9_mixing
+from .neardup import op4_near_duplicates
 from .packing import op8_packing
+from .quality_classifier import op10_quality_classifier
 from .quality_rules import op7_quality_rules
 from .secrets import op1_secrets
+from .token_counts import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op5_ans_tokens, op7_quality_rules, op8_packing, op9_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secrets, op2_language_id, op3_audio_fingerprints, op4_near_duplicates, op5_ans_tokens, op6_token_counts,
+        op7_quality_rules, op8_packing, op9_mixing, op10_quality_classifier,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
