@@ -8,9 +8,11 @@ pair misses all of them with probability 7e-9 (0.8: 3e-6).
 
 No bucket is ever held in one task or expanded into its pairs. Documents with equal sets are one class, compared
 once. Each class is then compared with its buckets' least member, on the full shingle sets of both texts; components
-of the confirmed links follow. Only buckets that still join different components go on: there, members outside the
-least member's component meet the bucket's other members in blocks, and what is confirmed is linked too. So every
-pair of a bucket is either in one component already or compared.
+of the confirmed links follow. Only buckets that still join different components go on: members outside the least
+member's component and the bucket's members meet as blocks of at most about BLOCK, where low bytes of all T
+coordinates are compared as matrices; a pair goes on to the exact comparison if their agreement is less than
+SIGMAS standard deviations under the threshold's (a linked pair falls short with probability 6e-8). So every pair of
+a bucket is in one component already, or ruled out by its sketches, or compared exactly.
 
 Cases: a null or empty text, or one of white space, has an empty set and links with nothing; under five words the
 whole sequence is the only shingle; rows with the same doc_id are one document; a null doc_id links with nothing, has
@@ -32,8 +34,9 @@ from .components import components
 
 SHINGLE = 5
 ROWS, BANDS = 5, 32
-T = ROWS * BANDS
-BLOCK = 512
+T = 1024
+BLOCK = 256
+SIGMAS = 5.3
 _MASK = (1 << 64) - 1
 
 
@@ -79,52 +82,52 @@ def shingles(text: bytes | None) -> np.ndarray:
 def sketch(items: np.ndarray) -> np.ndarray:
     """T coordinates (round and value in one number) of a set that isn't empty."""
     out = np.full(T, _MASK, dtype=np.uint64)
-    at = 0
-    bins = np.arange(T, dtype=np.uint64) << np.uint64(56)
+    at, bins = 0, np.arange(T, dtype=np.uint64) << np.uint64(54)
     while at < T:
-        rounds = np.arange(at, min(T, at + max(1, 1024 // len(items))), dtype=np.uint64)
-        h = mixed(items[None, :] ^ _SEED[rounds.astype(np.int64)][:, None])
-        # bin in 8 bits, round in 9, value in 47
-        key = (((h >> np.uint64(48)) * np.uint64(T) >> np.uint64(16)) << np.uint64(56)) | (rounds[:, None] << np.uint64(47)) | (h & np.uint64((1 << 47) - 1))
+        rounds = np.arange(at, min(T, at + max(1, 6 * T // len(items))), dtype=np.int64)
+        h = mixed(items[None, :] ^ _SEED[rounds][:, None])
+        # bin in 10 bits, round in 11, value in 43
+        key = (h >> np.uint64(54) << np.uint64(54)) | (rounds.astype(np.uint64)[:, None] << np.uint64(43)) | (h & np.uint64((1 << 43) - 1))
         key = np.sort(key, axis=None)
-        first = np.minimum(np.searchsorted(key, bins), len(key) - 1)
-        got = key[first]
-        hit = (got >> np.uint64(56) == bins >> np.uint64(56)) & (out == np.uint64(_MASK))
-        out[hit] = got[hit] & np.uint64((1 << 56) - 1)
+        got = key[np.minimum(np.searchsorted(key, bins), len(key) - 1)]
+        hit = (got >> np.uint64(54) == bins >> np.uint64(54)) & (out == np.uint64(_MASK))
+        out[hit] = got[hit] & np.uint64((1 << 54) - 1)
         at += len(rounds)
         if not (out == np.uint64(_MASK)).any():
             return out
     for j in np.flatnonzero(out == np.uint64(_MASK)):
-        out[j] = np.uint64((T + int(j)) << 47) | (mixed(items ^ _SEED[T + j]) & np.uint64((1 << 47) - 1)).min()
+        out[j] = np.uint64((T + int(j)) << 43) | (mixed(items ^ _SEED[T + j]) & np.uint64((1 << 43) - 1)).min()
     return out
 
 
 def band_keys(coordinates: np.ndarray) -> np.ndarray:
     """BANDS signed 64-bit bucket keys; a key names its band too."""
-    rows = coordinates.reshape(BANDS, ROWS)
+    rows = coordinates[: BANDS * ROWS].reshape(BANDS, ROWS)
     total = np.arange(BANDS, dtype=np.uint64) * _BAND[ROWS]
     for k in range(ROWS):
         total = mixed(total + rows[:, k] * _BAND[k])
     return total.view(np.int64)
 
 
-FEATURES = "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, bands array<bigint>"
+FEATURES = "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, bands array<bigint>, low binary"
 
 
 def features(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("bands", pa.list_(pa.int64())), ("low", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sigs, bands = [], [], []
+            n, sigs, bands, low = [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py())
                 n.append(len(s))
                 sigs.append([int(mixed(s ^ c).sum(dtype=np.uint64).astype(np.int64)) for c in _SIG])
-                bands.append(band_keys(sketch(s)) if len(s) else np.empty(0, dtype=np.int64))
+                c = sketch(s) if len(s) else None
+                bands.append(np.empty(0, dtype=np.int64) if c is None else band_keys(c))
+                low.append(b"" if c is None else c.astype(np.uint8).tobytes())
             ends = np.cumsum([0] + [len(b) for b in bands]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands) if bands else [], pa.int64()))
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array([s[0] for s in sigs], pa.int64()), pa.array([s[1] for s in sigs], pa.int64()), lists], schema=schema)
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array([s[0] for s in sigs], pa.int64()), pa.array([s[1] for s in sigs], pa.int64()), lists, pa.array(low, pa.binary())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, FEATURES)
 
@@ -157,6 +160,34 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def likely(blocks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components whose sketches don't rule out a link, from rows (key, odd, others): arrays of struct<rep, component, n, bands, low>. A pair that shares several buckets comes from the first of its bands only."""
+    p = percent / 100
+    least = T * (p + (1 - p) / 256) - SIGMAS * (T * p * (1 - p)) ** 0.5
+
+    def side(x):
+        bands = np.array(x["bands"], dtype=np.int64)
+        return np.array(x["rep"]), np.array(x["component"]), np.array(x["n"]), bands, np.frombuffer(b"".join(x["low"]), np.uint8).reshape(len(bands), T)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                key = batch.column(0)[k].as_py()
+                x, y = (side({f: [m[f] for m in batch.column(c)[k].as_py()] for f in ("rep", "component", "n", "bands", "low")}) for c in (1, 2))
+                found = []
+                for i in range(len(x[0])):
+                    fits = (x[1][i] != y[1]) & (x[0][i] != y[0]) & (100 * np.minimum(x[2][i], y[2]) >= percent * np.maximum(x[2][i], y[2]))
+                    at = np.flatnonzero(fits)
+                    at = at[(x[4][i] == y[4][at]).sum(axis=1) >= least]
+                    if len(at):
+                        shared = x[3][i] == y[3][at]
+                        at = at[x[3][i][shared.argmax(axis=1)] == key]
+                        found += [(int(x[0][i]), int(y[0][j])) for j in at]
+                yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    return blocks.select("key", "odd", "others").mapInArrow(run, "a bigint, b bigint")
+
+
 def _distinct(pairs: DataFrame) -> DataFrame:
     return pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -167,30 +198,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     sets = found.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(sets.groupBy("sig1", "sig2", "n_shingles", "bands").agg(F.min("doc_id").alias("rep")), "classes")
     entries = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("m")).where("low < high")
-    members = materialize(entries.join(buckets.select("key", "low", "m"), "key"), "members")
-    links = materialize(confirmed(materialize(_distinct(members.select(F.col("rep").alias("a"), F.col("low").alias("b"))), "pairs"), docs, percent), "links")
+    buckets = entries.groupBy("key").agg(F.min("rep").alias("low_rep"), F.max("rep").alias("high_rep"), F.count("*").alias("m")).where("low_rep < high_rep")
+    members = materialize(entries.join(buckets.select("key", "low_rep", "m"), "key"), "members")
+    links = materialize(confirmed(materialize(_distinct(members.select(F.col("rep").alias("a"), F.col("low_rep").alias("b"))), "pairs"), docs, percent), "links")
     labels = components(links)
 
     # Members with their components; buckets of two have been compared.
     named = members.where("m > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = materialize(named, "named")
     split = named.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
-    home = named.where("rep = low").select("key", F.col("component").alias("home"))
+    home = named.where("rep = low_rep").select("key", F.col("component").alias("home"))
     named = materialize(named.join(split, "key").join(home, "key"), "split")
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK))
-    blocks = named.where("rep != low").groupBy("key", block.alias("_block")).agg(F.collect_list(F.struct("rep", "component", "n")).alias("_others"))
-    odd = named.where("component != home and rep != low").select("key", "rep", "component", "n")
-    able = lambda x: (x["component"] != F.col("component")) & (100 * F.least(x["n"], F.col("n")) >= percent * F.greatest(x["n"], F.col("n")))
-    more = odd.join(blocks, "key").select(F.col("rep").alias("a"), F.explode(F.filter("_others", able)).alias("_x")).select("a", F.col("_x.rep").alias("b"))
-    more = materialize(_distinct(more), "pairs")
+    sketches = found.select("sig1", "sig2", "n_shingles", "bands", "low").join(classes.select("sig1", "sig2", "n_shingles", "rep"), ["sig1", "sig2", "n_shingles"])
+    sketches = sketches.join(named.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.first("bands").alias("bands"), F.first("low").alias("low"))
+    full = named.join(sketches, "rep").withColumn("_block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK)))
+    member = F.struct("rep", "component", "n", "bands", "low")
+    others = full.where("rep != low_rep").groupBy("key", "_block").agg(F.collect_list(member).alias("others"))
+    odd = full.where("component != home and rep != low_rep").groupBy("key", F.col("_block").alias("_odd_block")).agg(F.collect_list(member).alias("odd"))
+    more = materialize(_distinct(likely(odd.join(others, "key"), percent)), "pairs")
     if not more.isEmpty():
         new = confirmed(more, docs, percent)
         labels = components(links.union(new))
 
     of_class = classes.select("sig1", "sig2", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("sig1", "sig2", "n_shingles", F.coalesce("component", "rep").alias("_c"))
-    out = found.drop("bands").join(of_class, ["sig1", "sig2", "n_shingles"], "left")
+    out = found.drop("bands", "low").join(of_class, ["sig1", "sig2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
