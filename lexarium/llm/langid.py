@@ -32,7 +32,7 @@ from .common import materialize, read_table
 WORD_SHARE, GRAM_SHARE = 2e-5, 5e-5
 LONGEST = 5
 FLUSH = 200_000
-CACHE = 200_000
+CACHE = 500_000
 SMOOTH = 0.5
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -87,11 +87,12 @@ class Model:
     def __init__(self, langs: list[str], words: list[tuple[str, str, int]], parts: list[tuple[str, str, int]], totals: dict[str, int]):
         self.langs = sorted(langs)
         at = {x: k for k, x in enumerate(self.langs)}
-        self.words, self.word_logs = self._table(words, at, {(x, 0): totals.get(x, 0) for x in at}, lambda k: 0)
+        self.words, word_logs = self._table(words, at, {(x, 0): totals.get(x, 0) for x in at}, lambda k: 0)
         sums: Counter = Counter()
         for lang, g, n in parts:
             sums[lang, len(g) if g[-1] != "\0" else 1] += n
-        self.grams, self.gram_logs = self._table(parts, at, sums, lambda g: len(g) if g[-1] != "\0" else 1)
+        self.grams, gram_logs = self._table(parts, at, sums, lambda g: len(g) if g[-1] != "\0" else 1)
+        self.logs = np.concatenate([word_logs, gram_logs])
 
     @staticmethod
     def _table(rows, at, sums, size):
@@ -108,35 +109,34 @@ class Model:
         which = np.array([size(k) for k in index], dtype=np.int64)
         return index, np.log((out + SMOOTH) / totals[which]).astype(np.float32) if index else out
 
-    def word_scores(self, word: str) -> np.ndarray | None:
-        """Log score per language; None if no part of the word is known."""
+    def parts(self, word: str) -> tuple[int, ...]:
+        """Rows of `logs` whose mean is the word's score: its own, or its longest known n-grams'; () if no part is known."""
         if (k := self.words.get(word)) is not None:
-            return self.word_logs[k]
+            return (k,)
+        first, known = len(self.words), self.grams
         for n in range(LONGEST, 0, -1):
-            found = [k for g in grams(word, n) if (k := self.grams.get(g if n > 1 else f"{g}\0")) is not None]
+            found = tuple(first + k for g in grams(word, n) if (k := known.get(g if n > 1 else f"{g}\0")) is not None)
             if found:
-                return self.gram_logs[found].mean(axis=0)
-        return None
+                return found
+        return ()
 
-    def predict(self, text: str | None, cache: dict) -> tuple[str, float]:
+    def predict(self, text: str | None, cache: dict[str, tuple[int, ...]]) -> tuple[str, float]:
         counts = Counter(text_words(text))
         if not counts or not self.langs:
             return "und", 0.0
-        total = np.zeros(len(self.langs))
-        known, weights = [], []
+        if len(cache) > CACHE:
+            cache.clear()
+        rows: list[int] = []
+        weights: list[float] = []
         for word, n in counts.items():
-            if (k := self.words.get(word)) is not None:
-                known.append(k)
+            if (found := cache.get(word)) is None:
+                found = cache[word] = self.parts(word)
+            rows += found
+            if (k := len(found)) == 1:
                 weights.append(n)
-                continue
-            if word not in cache:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[word] = self.word_scores(word)
-            if (s := cache[word]) is not None:
-                total += n * s
-        if known:
-            total += np.array(weights, dtype=np.float32) @ self.word_logs[known]
+            else:
+                weights += [n / k] * k if k else ()
+        total = np.array(weights, dtype=np.float32) @ self.logs[rows] if rows else np.zeros(len(self.langs))
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
