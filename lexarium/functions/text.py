@@ -157,4 +157,4 @@ def argmax(values: Column) -> Column:
 
 def template_parts(text: Column | str) -> Column:
     """array<array<string>> of {{a|b|c}} templates, trimmed."""
-    return F.transform(F.regexp_extract_all(_col(text), F.lit(r"\{\{([^{}]*)\}\}"), 1), lambda t: F.transform(F.split(t, r"\|"), F.trim))
+    return F.transform(F.regexp_extract_all(_col(text), F.lit(r"\{\{([^{}]*)\}\}"), 1), lambda t: F.transform(F.split(t, r"\|"), lambda x: F.trim(x)))
