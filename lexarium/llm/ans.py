@@ -86,9 +86,13 @@ def decode_block(data: bytes, n: int, freq: np.ndarray, start: np.ndarray, slots
         x = freq[s] * (x >> scale) + low - start[s]
         need = x < LOW
         if k := int(need.sum()):
+            if used + k > len(words):
+                raise ValueError("a block's words end early")
             x[need] = (x[need] << shift) | words[used : used + k]
             used += k
         state[: len(x)] = x
+    if used != len(words) or (state != LOW).any():
+        raise ValueError("a block's states don't end where they began")
     return out
 
 
