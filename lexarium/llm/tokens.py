@@ -10,12 +10,12 @@ import regex
 
 TOKENIZER = "byte_bpe_50k.json"
 #: A text falls into units at single spaces between characters that aren't white space: no pre-token crosses there.
-_UNUSUAL = re.compile(r"\s\s|^\s|\s\Z|<\|")
+_BEFORE, _AFTER = re.compile(r"[^\S ] "), re.compile(r" \s")
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 #: The pre-tokenizer's pattern of byte-level BPE files (a fixed value).
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PLAIN = regex.compile(r"[\p{L}\p{N}\p{P}\p{S}\p{M} \n]+")
-CACHE = 600_000
+CACHE = 1_000_000
 
 _loaded: dict[str, "Encoder"] = {}
 
@@ -75,24 +75,22 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _UNUSUAL.search(text):
-            if "<|" in text:
-                return self._whole(text)
-            units = _SPLIT.split(text)
-        else:
-            units = text.split(" ")
+        if "<|" in text:
+            return self._whole(text)
+        usual = not (text[0].isspace() or text[-1].isspace() or _AFTER.search(text) or _BEFORE.search(text))
+        units = text.split(" ") if usual else _SPLIT.split(text)
         known = self.units
         if len(known) >= self.limit:
             known.clear()
         out = list(map(known.get, units))
         out[0] = self._unit(units[0])
         if None in out:
-            for k, x in enumerate(out):
-                if x is None:
-                    u = units[k]
-                    out[k] = x = self._unit(" " + u)
-                    if len(u) <= 64:
-                        known[u] = x
+            unit = self._unit
+            for k in [k for k, x in enumerate(out) if x is None]:
+                u = units[k]
+                out[k] = x = unit(" " + u)
+                if len(u) <= 64:
+                    known[u] = x
         return b"".join(out)
 
 
