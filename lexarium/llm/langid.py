@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, read_table
 
@@ -160,7 +161,7 @@ def train(labelled: DataFrame) -> Model:
 def predict(docs: DataFrame, model: Broadcast | Model, keep: list[str]) -> DataFrame:
     """keep's columns plus lang_pred and score; the prediction sees text alone."""
     given = docs.select(*[F.col(c).alias(c) for c in keep], F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]) + ", lang_pred string, score double"
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, cache = model.value if isinstance(model, Broadcast) else model, {}

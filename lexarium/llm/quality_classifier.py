@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, read_table
 
@@ -200,7 +201,7 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
     """docs' columns plus p_content, p_metadata, quality (double). Extra columns pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     given = docs.select(F.struct("*").alias("_row"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("bigint").alias("n_chars"), F.col("text").cast("string").alias("text"))
-    schema = f"_row {given.schema['_row'].dataType.simpleString()}, p_content double, p_metadata double, quality double"
+    schema = T.StructType([given.schema["_row"], *[T.StructField(c, T.DoubleType()) for c in ("p_content", "p_metadata", "quality")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

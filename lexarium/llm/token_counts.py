@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_table
 
@@ -104,7 +105,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str
     """keep's columns plus n_words and n_tokens (long)."""
     path = vocabulary or default_path()
     given = docs.select(*[F.col(c).alias(c) for c in keep], F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]) + ", n_words bigint, n_tokens bigint"
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel.from_file(path)
