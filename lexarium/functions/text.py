@@ -70,14 +70,16 @@ def extract_tags(text: Column | str, prefix: str) -> Column:
     """map<number, content> of <prefix k>content</prefix k>; the last of a repeated number wins."""
     t, pattern = _col(text), rf"(?s)<{prefix}(\d+)>(.*?)</{prefix}\1>"
     pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), 1).alias("k"), F.regexp_extract_all(t, F.lit(pattern), 2).alias("v"))
-    later = let(pairs, lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, i + 2, F.size(a)), lambda y: y["k"] == x["k"])))
-    return F.map_from_entries(later)
+    # Usually all numbers differ; only otherwise earlier ones are looked for.
+    keys = lambda a: F.transform(a, lambda x: x["k"])
+    last = lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, i + 2, F.size(a)), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(let(pairs, lambda a: F.when(F.size(F.array_distinct(keys(a))) == F.size(a), a).otherwise(last(a))))
 
 
 def paired_tags(text: Column | str, replaced: Column | str) -> Column:
     """map<number, array<loan, native>> of the numbers tagged L in text and N in replaced."""
-    a, b = extract_tags(text, "L"), extract_tags(replaced, "N")
-    return F.transform_values(F.map_filter(a, lambda k, _: F.map_contains_key(b, k)), lambda k, v: F.array(v, F.element_at(b, k)))
+    of = lambda b: F.transform_values(F.map_filter(extract_tags(text, "L"), lambda k, _: F.map_contains_key(b, k)), lambda k, v: F.array(v, F.element_at(b, k)))
+    return let(extract_tags(replaced, "N"), of)
 
 
 def native_template(text: Column | str) -> Column:

@@ -72,10 +72,10 @@ def sentence_errors(text: Column, field: str, allowed: list[str], column: list[s
     t = F.coalesce(text, F.lit(""))
     pick = lambda keep, rule: F.transform(F.filter(_openings(t), keep), lambda x: _error(rule, field, F.concat(x["prefix"], x["num"])))
     tags = F.transform(_legal(t, allowed, column), lambda x: F.concat(x["prefix"], x["num"]))
-    twice = let(tags, lambda a: F.filter(F.array_distinct(a), lambda x: F.size(F.filter(a, lambda y: y == x)) > 1))
-    prefixes = F.array_distinct(F.transform(_legal(t, allowed, column), lambda x: x["prefix"]))
-    numbers = lambda p: F.array_sort(F.array_distinct(F.transform(F.filter(_legal(t, allowed, column), lambda x: x["prefix"] == p), lambda x: x["num"].cast("int"))))
-    gaps = F.filter(prefixes, lambda p: let(numbers(p), lambda n: n != F.sequence(F.lit(1), F.size(n))))
+    # Sorted, so that equal tags are neighbours and each is looked at once.
+    twice = let(F.array_sort(tags), lambda a: F.array_distinct(F.filter(a, lambda x, i: F.coalesce(F.get(a, i - 1) == x, F.lit(False)))))
+    numbers = lambda a, p: F.array_sort(F.array_distinct(F.transform(F.filter(a, lambda x: x["prefix"] == p), lambda x: x["num"].cast("int"))))
+    gaps = let(_legal(t, allowed, column), lambda a: F.filter(F.array_distinct(F.transform(a, lambda x: x["prefix"])), lambda p: let(numbers(a, p), lambda n: n != F.sequence(F.lit(1), F.size(n)))))
     # A span is an opening tag up to the first closing tag of its name.
     spans = F.transform(F.regexp_extract_all(t, F.lit(r"(?s)<([A-Z]+\d+)>(.*?)</\1>"), 0), lambda s: F.struct(F.regexp_extract(s, r"^<([A-Z]+\d+)>", 1).alias("tag"), F.regexp_extract(s, r"(?s)^<[A-Z]+\d+>(.*)</[A-Z]+\d+>$", 1).alias("inner")))
     of = lambda keep, rule: F.transform(F.filter(spans, keep), lambda s: _error(rule, field, s["tag"]))
@@ -115,8 +115,8 @@ def validate_rows(sheet: DataFrame, mode: str = "baseline", warn_undecided: bool
         rule = {"L": "V3.1", "CS": "V3.2", "NE": "V3.3"}[a]
         parts.append(_when(numbers(label, a) != numbers(repl, b), _error(rule, both, a)))
         if a != "L":
-            x, y = extract_tags(label, a), extract_tags(repl, b)
-            differ = F.filter(F.map_keys(x), lambda k: F.coalesce(F.element_at(x, k) != F.element_at(y, k), F.lit(False)))
+            unlike = lambda x, y: F.filter(F.map_keys(x), lambda k: F.coalesce(F.element_at(x, k) != F.element_at(y, k), F.lit(False)))
+            differ = let(extract_tags(repl, b), lambda y: let(extract_tags(label, a), lambda x: unlike(x, y)))  # noqa: B023
             parts.append(F.transform(F.array_sort(differ), lambda k: _error("V3.5" if a == "CS" else "V3.4", both, F.concat(F.lit(a), k))))
     return sheet.withColumn("errors", F.concat(*parts))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.functions.text import kwic, lemma_stub, row_hash, strip_tags
+from lexarium.functions.text import kwic, lemma_stub, let, row_hash, strip_tags
 from lexarium.operators.annotation import inline_spans
 
 #: In the replacement, this tag answers the label's tag.
@@ -29,14 +29,19 @@ def _joined_lemma(content: Column) -> Column:
 
 def span_facts(rows: DataFrame, label: str, replacement: str, keys: list[str]) -> DataFrame:
     """keys, tag_id, prefix, surface, lemma_key, paired_tag_id, paired_surface, paired_lemma_key, is_replaced: the label's spans with the replacement's answering span, empty where there is none."""
-    own = rows.select(*keys, F.explode(inline_spans(F.col(f"`{label}`"))).alias("a"), inline_spans(F.col(f"`{replacement}`")).alias("_b"))
-    want = F.when(F.col("a.prefix") == "L", "N").otherwise(F.col("a.prefix"))
-    other = F.get(F.filter("_b", lambda x: (x["prefix"] == want) & (x["num"] == F.col("a.num"))), F.lit(0))
-    text = lambda c: F.coalesce(c, F.lit(""))
-    return own.select(
-        *keys, F.concat("a.prefix", "a.num").alias("tag_id"), F.col("a.prefix").alias("prefix"), F.col("a.content").alias("surface"), _joined_lemma(F.col("a.content")).alias("lemma_key"),
-        text(F.concat(other["prefix"], other["num"])).alias("paired_tag_id"), text(other["content"]).alias("paired_surface"), text(_joined_lemma(other["content"])).alias("paired_lemma_key"),
-        (other.isNotNull() & (_joined_lemma(other["content"]) != _joined_lemma(F.col("a.content")))).alias("is_replaced"),
+    # The answers become a map before the spans are exploded: below an explode, they would be parsed once per span.
+    name = lambda x: F.concat(x["prefix"], x["num"])
+    answers = F.transform(inline_spans(F.col(f"`{replacement}`")), lambda x: F.struct(name(x).alias("tag"), x["content"].alias("content"), _joined_lemma(x["content"]).alias("lemma")))
+    first = lambda a, tag: F.get(F.filter(a, lambda x: x["tag"] == tag), F.lit(0))
+    asked = lambda x: F.concat(F.when(x["prefix"] == "L", "N").otherwise(x["prefix"]), x["num"])
+    own = lambda a, b: F.transform(a, lambda x: F.struct(name(x).alias("tag"), x["prefix"].alias("prefix"), x["content"].alias("content"), _joined_lemma(x["content"]).alias("lemma"), first(b, asked(x)).alias("other")))
+    paired = let(answers, lambda b: let(inline_spans(F.col(f"`{label}`")), lambda a: own(a, b)))
+    df = rows.select(*keys, F.explode(paired).alias("a"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return df.select(
+        *keys, F.col("a.tag").alias("tag_id"), F.col("a.prefix").alias("prefix"), F.col("a.content").alias("surface"), F.col("a.lemma").alias("lemma_key"),
+        text("a.other.tag").alias("paired_tag_id"), text("a.other.content").alias("paired_surface"), text("a.other.lemma").alias("paired_lemma_key"),
+        (F.col("a.other").isNotNull() & (F.col("a.other.lemma") != F.col("a.lemma"))).alias("is_replaced"),
     )
 
 
