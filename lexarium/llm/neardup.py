@@ -15,8 +15,9 @@ SIGMAS standard deviations under the threshold's (a linked pair falls short with
 a bucket is in one component already, or ruled out by its sketches, or compared exactly.
 
 Cases: a null or empty text, or one of white space, has an empty set and links with nothing; under five words the
-whole sequence is the only shingle; rows with the same doc_id are one document; a null doc_id links with nothing, has
-a null component and is kept; an empty table gives an empty result; other columns don't matter.
+whole sequence is the only shingle; every row gets a result, and a component is named by its least doc_id, so rows
+that repeat a document stay or go together; a null doc_id links with nothing, has a null component and is kept; an
+empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
