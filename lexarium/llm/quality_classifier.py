@@ -90,19 +90,19 @@ def dense(docs: list[tuple], view: str) -> tuple[np.ndarray, np.ndarray, np.ndar
             index.append(i)
             value.append(np.ones(len(i)))
             starts.append(starts[-1] + len(i))
-    return np.array(starts), np.concatenate(index) if index else np.empty(0, int), np.concatenate(value) if value else np.empty(0)
+    empty = np.empty(0)
+    return np.array(starts), np.concatenate(index or [empty]).astype(np.int32), np.concatenate(value or [empty]).astype(np.float32)
 
 
 def decide(rows: tuple, weights: np.ndarray) -> np.ndarray:
     starts, index, value = rows
-    sums = np.concatenate([[0.0], np.cumsum(value * weights[index])])
-    return sums[starts[1:]] - sums[starts[:-1]]
+    return np.add.reduceat(value * weights[index], starts[:-1]) if len(starts) > 1 else np.empty(0)  # no row is empty
 
 
 def logistic(rows: tuple, y: np.ndarray, width: int, rounds: int = 120, decay: float = 1e-4) -> np.ndarray:
     """Class-balanced logistic regression by Adam over the whole (bounded) sample."""
     starts, index, value = rows
-    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    row = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
     balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
     for k in range(1, rounds + 1):
@@ -193,8 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     rng = np.random.default_rng(SEED)
     got = [got[k] for k in rng.permutation(len(got))]
     row = lambda r: tuple(r[f] for f in fields)
-    known = [r for r in got if r["y"] is not None]
-    return CoTrained([row(r) for r in known], [r["y"] for r in known], [row(r) for r in got if r["y"] is None])
+    known, y, pool = [row(r) for r in got if r["y"] is not None], [r["y"] for r in got if r["y"] is not None], [row(r) for r in got if r["y"] is None]
+    del got
+    return CoTrained(known, y, pool)
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:
