@@ -120,10 +120,11 @@ def posterior(model: dict) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def judge(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict]:
-    """(docs with measures, base_failed, votes, p_good, kept; the fitted model). Measures are computed once, into a shared table."""
+def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, dict]:
+    """(keep's columns, or all of docs', with measures, base_failed, votes, p_good, kept; the fitted model). Measures are computed once, into a shared table."""
     votes = rules()
-    table = materialize(measure(docs, text).withColumns({f"v_{k}": v.cast("byte") for k, v in votes.items()}), "rules")
+    measured = measure(docs, text).drop(*([] if keep is None else [c for c in docs.columns if c not in keep]))
+    table = materialize(measured.withColumns({f"v_{k}": v.cast("byte") for k, v in votes.items()}), "rules")
     by = [f"v_{k}" for k in votes]
     model = fit([(tuple(r[:-1]), r[-1]) for r in table.groupBy(*by).count().collect()], list(votes))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -133,10 +134,10 @@ def judge(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict]:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with docs' columns."""
-    out, _ = judge(docs.select(F.struct("*").alias("_row"), F.col("text")))
+    out, _ = judge(docs.select(F.struct("*").alias("_row"), F.col("text")), keep=["_row"])
     return out.where("kept").select("_row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out, _ = judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
