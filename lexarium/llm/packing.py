@@ -35,27 +35,33 @@ PENALTIES = (0, 4, 64)
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def cuts(ends: list[int], soft: list[int], length: int = LENGTH, penalties: tuple[int, int, int] = PENALTIES) -> list[int]:
+def cuts(ends: list[int], soft: list[int] | np.ndarray, length: int = LENGTH, penalties: tuple[int, int, int] = PENALTIES) -> list[int]:
     """The cheapest cut positions of a stream, its end included. ends: document ends, increasing, the last the stream's length; soft: sentence ends."""
-    where = {p: penalties[1] for p in soft} | {p: penalties[0] for p in ends}
-    points, last = [], 0
-    for p in sorted(where):
-        while p - last > length:
-            last += length
-            points.append((last, penalties[2]))
-        points.append((p, where[p]))
-        last = p
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k <= length]
+    price = np.full(ends[-1] + 1, -1, dtype=np.int64)
+    price[soft] = penalties[1]
+    price[ends] = penalties[0]
+    points = np.flatnonzero(price >= 0)
+    gaps = np.diff(points, prepend=0)
+    for p, gap in zip(points[gaps > length].tolist(), gaps[gaps > length].tolist(), strict=True):
+        price[p - gap + length : p : length] = penalties[2]
+    price[0] = 0
+    points = np.flatnonzero(price >= 0)[1:]
+    reach = np.zeros(len(points), dtype=np.int64)  # the sum of the powers of two that lead back to a point
+    for w in (1 << k for k in range(length.bit_length()) if 1 << k <= length):
+        far = int(np.searchsorted(points, w))
+        reach[far:] += w * (price[points[far:] - w] >= 0)
     cost, back = {0: 0}, {0: 0}
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f(i) + i, i), increasing
-    for p, penalty in points:
+    for p, penalty, powers in zip(points.tolist(), price[points].tolist(), reach.tolist(), strict=True):
         while queue[0][1] < p - length:
             queue.popleft()
         key, start = queue[0]
         best = key + length - p
-        for w in powers:
-            if (c := cost.get(p - w)) is not None and c < best:
+        while powers:
+            w = powers & -powers
+            if (c := cost[p - w]) < best:
                 best, start = c, p - w
+            powers -= w
         best += penalty
         cost[p], back[p] = best, start
         while queue and queue[-1][0] >= best + p:
@@ -72,8 +78,7 @@ def pack_run(docs: list[tuple[int | None, np.ndarray]], closing: np.ndarray, fir
     """Columns of SCHEMA for the pieces of these documents, and the next sequence's id. closing[id]: the token closes a sentence."""
     sizes = [len(ids) for _, ids in docs]
     stream, ends = np.concatenate([ids for _, ids in docs]), np.cumsum(sizes).tolist()
-    soft = (np.flatnonzero(closing[stream]) + 1).tolist()
-    found = cuts(ends, soft)
+    found = cuts(ends, np.flatnonzero(closing[stream]) + 1)
     out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
     raw, d, begin, seq = memoryview(stream.astype("<u4").tobytes()), 0, 0, first_sequence
     for cut in found:

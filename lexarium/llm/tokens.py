@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
+from collections.abc import Callable
 
 import regex
 
@@ -14,12 +16,33 @@ _BEFORE, _AFTER = re.compile(r"[^\S ] "), re.compile(r" \s")
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 #: The pre-tokenizer's pattern of byte-level BPE files (a fixed value).
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: A single line feed between such stretches is a pre-token of its own.
+_SOLID = regex.compile(r"[\p{L}\p{N}\p{P}\p{S}\p{M}]+")
 _PLAIN = regex.compile(r"[\p{L}\p{N}\p{P}\p{S}\p{M} \n]+")
-CACHE = 1_000_000
+CACHE = 800_000
 
 _loaded: dict[str, "Encoder"] = {}
 
 
+class Cache(dict):
+    """key -> compute(key), kept in two generations of at most limit keys, so that frequent keys outlive rare ones."""
+
+    def __init__(self, compute: Callable[[str], bytes], limit: int, longest: int):
+        super().__init__()
+        self.compute, self.limit, self.longest = compute, limit, longest
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (out := self.older.get(key)) is None:
+            out = self.compute(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -30,7 +53,7 @@ class Encoder:
     """encode(texts) -> the ids of each text as little-endian unsigned 32-bit bytes, without added special tokens.
 
     Units are looked up in a bounded cache; missing ones go to the tokenizers library. A unit of an ordinary kind is
-    cut into pre-tokens, whose ids are again kept; any other unit is encoded by the library as it stands, and a text
+    cut at a line feed and into pre-tokens, whose ids are again kept; any other unit is encoded by the library as it stands, and a text
     that may hold a special token's string is encoded whole.
     """
 
@@ -39,9 +62,9 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.limit = self.tokenizer.model, cache
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.units, self.pieces = Cache(self._unit, cache, 64), Cache(self._piece, cache // 2, 200)
+        self.starts = Cache(self._start, cache // 4, 64)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.space = chr(256 + hidden.index(32))
@@ -52,24 +75,30 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        if (out := self.pieces.get(piece)) is None:
-            if len(piece) > 200:
-                return self._whole(piece)
-            shown = self.space + piece[1:] if piece[1:].isalnum() and piece.isascii() and piece[0] == " " else piece.encode().decode("latin-1").translate(self.shown)
-            ids = [t.id for t in self.model.tokenize(shown)]
-            out = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            self.pieces[piece] = out
-        return out
+        if len(piece) > self.pieces.longest:
+            return self._whole(piece)
+        shown = self.space + piece[1:] if piece.isascii() and piece[1:].isalnum() and piece[0] == " " else piece.encode().decode("latin-1").translate(self.shown)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _unit(self, unit: str) -> bytes:
-        if unit[1:].isalpha() and unit[0] == " ":
-            return self._piece(unit)
-        if unit[1:-1].isalpha() and unit[0] == " " and unit[-1] in ".,":
-            return self._piece(unit[:-1]) + self._piece(unit[-1])
+        """Ids of a unit that follows a space, and of that space."""
+        word = unit.rstrip(string.punctuation)
+        if word.isalpha():
+            found = self.pieces[" " + word]
+            return found if len(word) == len(unit) else found + self.pieces[unit[len(word) :]]
+        line, newline, rest = unit.partition("\n")
+        if newline and _SOLID.fullmatch(line) and _SOLID.fullmatch(rest):
+            return self.units[line] + self.pieces[newline] + self.starts[rest]
+        return self._start(" " + unit)
+
+    def _start(self, unit: str) -> bytes:
+        word = unit.rstrip(string.punctuation)
+        if word.isalpha():
+            found = self.pieces[word]
+            return found if len(word) == len(unit) else found + self.pieces[unit[len(word) :]]
         if _PLAIN.fullmatch(unit):
-            return b"".join(map(self._piece, _PRE.findall(unit)))
+            return b"".join(map(self.pieces.__getitem__, _PRE.findall(unit)))
         return self._whole(unit)
 
     def encode(self, text: str | None) -> bytes:
@@ -78,20 +107,8 @@ class Encoder:
         if "<|" in text:
             return self._whole(text)
         usual = not (text[0].isspace() or text[-1].isspace() or _AFTER.search(text) or _BEFORE.search(text))
-        units = text.split(" ") if usual else _SPLIT.split(text)
-        known = self.units
-        if len(known) >= self.limit:
-            known.clear()
-        out = list(map(known.get, units))
-        out[0] = self._unit(units[0])
-        if None in out:
-            unit = self._unit
-            for k in [k for k, x in enumerate(out) if x is None]:
-                u = units[k]
-                out[k] = x = unit(" " + u)
-                if len(u) <= 64:
-                    known[u] = x
-        return b"".join(out)
+        first, *units = text.split(" ") if usual else _SPLIT.split(text)
+        return self.starts[first] + b"".join(map(self.units.__getitem__, units))
 
 
 def encoder(path: str) -> Encoder:
