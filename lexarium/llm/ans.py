@@ -77,7 +77,7 @@ def decode_block(data: bytes, n: int, freq: np.ndarray, start: np.ndarray, slots
     state = np.frombuffer(data, np.uint64, LANES).copy()
     words = np.frombuffer(data, np.uint32, offset=8 * LANES).astype(np.uint64)
     shift, scale, mask, used = np.uint64(32), np.uint64(SCALE), np.uint64((1 << SCALE) - 1), 0
-    out = np.empty(n, dtype=np.int64)
+    out = np.empty(n, dtype=np.int32)
     for at in range(0, n, LANES):
         x = state[: min(LANES, n - at)]
         low = x & mask
@@ -96,10 +96,21 @@ def decode_block(data: bytes, n: int, freq: np.ndarray, start: np.ndarray, slots
     return out
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids, increasing; each id's place among them; their counts. Ids of a vocabulary are counted, others sorted."""
+    if int(ids.max()) >= 1 << 22:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    places = np.zeros(len(counts), dtype=np.int32)
+    places[symbols] = np.arange(len(symbols))
+    return symbols, places[ids], counts[symbols]
+
+
 def encode_segment(docs: list[np.ndarray]) -> bytes:
     """docs: each one's ids, none empty."""
     ids = np.concatenate(docs).astype(np.uint32)
-    symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    symbols, index, counts = distinct(ids)
     if len(symbols) > 1 << SCALE:
         raise ValueError(f"more than {1 << SCALE} symbols")
     freq = scaled(counts).astype(np.uint64)
@@ -129,7 +140,7 @@ class Segment:
         self.symbols, freq, self.offsets, self.crcs, self.lengths = parts
         self.freq = freq.astype(np.uint64)
         self.start = np.cumsum(self.freq) - self.freq
-        self.slots = np.repeat(np.arange(k), freq)
+        self.slots = np.repeat(np.arange(k, dtype=np.int32), freq)
         self.data, self.payload = data, 8 + n
 
     def block(self, k: int) -> np.ndarray:
@@ -161,8 +172,8 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(np.frombuffer(e.encode(text.as_py()) + end, dtype="<u4"))
+            for doc, coded in zip(batch.column(0).to_pylist(), e.encode_all(t.as_py() for t in batch.column(1)), strict=True):
+                ids.append(np.frombuffer(coded + end, dtype="<u4"))
                 docs.append(-(1 << 63) if doc is None else doc)
                 total += len(ids[-1])
                 if total >= SEGMENT_IDS:

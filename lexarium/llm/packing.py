@@ -115,8 +115,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
             return pa.record_batch(list(columns.values()), schema=schema)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(e.encode(text.as_py()) + end, dtype="<u4")
+            for doc, coded in zip(batch.column(0).to_pylist(), e.encode_all(t.as_py() for t in batch.column(1)), strict=True):
+                ids = np.frombuffer(coded + end, dtype="<u4")
                 waiting.append((doc, ids))
                 total += len(ids)
                 if total >= RUN_TOKENS:
