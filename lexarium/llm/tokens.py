@@ -22,7 +22,7 @@ _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 #: A single line feed between such stretches is a pre-token of its own.
 _SOLID = regex.compile(r"[\p{L}\p{N}\p{P}\p{S}\p{M}]+")
 _PLAIN = regex.compile(r"[\p{L}\p{N}\p{P}\p{S}\p{M} \n]+")
-CACHE, CHUNK = 900_000, 8_000_000
+CACHE, CHUNK = 600_000, 8_000_000
 
 _loaded: dict[str, "Encoder"] = {}
 
