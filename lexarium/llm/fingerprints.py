@@ -14,7 +14,7 @@ share a class; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,19 +106,20 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
     return best
 
 
-def extract(audio: DataFrame, id_col: str, pcm_col: str, rate: int = RATE) -> DataFrame:
-    """id, n_frames, fp: little-endian 16-bit mono PCM to fingerprints (array<bigint>)."""
+def extract(audio: DataFrame, id_col: str, media_col: str, rate: int = RATE, decode: Callable[[object], bytes] | None = None) -> DataFrame:
+    """id, n_frames, fp: little-endian 16-bit mono PCM to fingerprints (array<bigint>). decode makes PCM of another media column's value; one recording is decoded at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = []
             for raw in batch.column(1):
-                raw = raw.as_py() or b""
+                raw = raw.as_py()
+                raw = (decode(raw) if decode else raw) or b""
                 fps.append(fingerprint(chroma(np.frombuffer(raw[: len(raw) // 2 * 2], "<i2") / 32768, rate)).astype(np.int64))
             lists = pa.array([f.tolist() for f in fps], pa.list_(pa.int64()))
             yield pa.record_batch([batch.column(0), pa.array([len(f) for f in fps], pa.int64()), lists], names=["id", "n_frames", "fp"])
 
-    return audio.select(F.col(id_col).cast("bigint").alias("id"), F.col(pcm_col).alias("pcm")).mapInArrow(run, "id bigint, n_frames bigint, fp array<bigint>")
+    return audio.select(F.col(id_col).cast("bigint").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, "id bigint, n_frames bigint, fp array<bigint>")
 
 
 def search(prints: DataFrame, every: int = 20) -> DataFrame:
@@ -142,7 +143,8 @@ def search(prints: DataFrame, every: int = 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for q, c, fq, fc in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for k in range(batch.num_rows):
+                q, c, fq, fc = (batch.column(j)[k].as_py() for j in range(4))
                 offset, overlap, error = align(np.array(fq, dtype=np.uint32), np.array(fc, dtype=np.uint32))
                 if overlap >= MIN_OVERLAP and error <= MAX_BIT_ERROR:
                     rows.append((q, c, offset, overlap, error))
@@ -156,22 +158,14 @@ def search(prints: DataFrame, every: int = 20) -> DataFrame:
     return prints.join(found, "fp", "left").select("id", "n_frames", "class_id", "n_matches", "best_id", "best_offset", "best_overlap", "best_error")
 
 
-def rendered(vectors: DataFrame, note_frames: int = 2) -> DataFrame:
-    """vec_id and pcm: each embedding played as a melody, one note per number (semitone by value, two octaves around 440 Hz). The tables hold no audio, so this stands in for a media column."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = np.arange(note_frames * HOP) / RATE
-        for batch in batches:
-            out = []
-            for values in batch.column(1).to_pylist():
-                notes = np.clip(np.round(np.nan_to_num(np.array([v if v is not None else 0.0 for v in values or []], dtype=np.float64)) * 40), -12, 12)
-                wave = np.sin(2 * np.pi * (440.0 * 2 ** (notes / 12))[:, None] * t[None, :]).ravel()
-                out.append((wave * 20000).astype("<i2").tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "pcm"])
-
-    return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(run, "vec_id bigint, pcm binary")
+def melody(values: list[float | None] | None, note_frames: int = 2) -> bytes:
+    """PCM of an embedding played as a melody, one note per number (semitone by value, two octaves around 440 Hz). The tables hold no audio, so this stands in for a media column."""
+    t = np.arange(note_frames * HOP) / RATE
+    notes = np.clip(np.round(np.nan_to_num(np.array([v if v is not None else 0.0 for v in values or []], dtype=np.float64)) * 40), -12, 12)
+    wave = np.sin(2 * np.pi * (440.0 * 2 ** (notes / 12))[:, None] * t[None, :]).ravel()
+    return (wave * 20000).astype("<i2").tobytes()
 
 
 def op3_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search(extract(rendered(read_table(spark, sf_dir, "embeddings")), "vec_id", "pcm"))
+    found = search(extract(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", decode=melody))
     return found.withColumnRenamed("id", "vec_id")
