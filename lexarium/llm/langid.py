@@ -1,10 +1,13 @@
 """Language identification with word-first backoff.
 
-Training counts every word of every training document per language. A word is known if it makes up at least
-WORD_SHARE of its language's words, so a language has at most 1 / WORD_SHARE known words, whatever the corpus; the
-n-grams of all words, weighted by the words' counts, are kept by GRAM_SHARE per length in the same way. With more
-than eight languages both shares grow in proportion, which bounds the whole model; only that model is sent to the
-executors.
+Training counts every word of every training document per language, and the n-grams of all words, weighted by the
+words' counts. A word or n-gram is known if it was seen MIN_COUNT times in one language, whatever the corpus; all
+languages' counts of a known key are kept. The known keys are two written tables that prediction joins with.
+
+Only words with WORD_SHARE of their language's words (more beyond eight languages, so that words times languages are
+bounded) are sent to the executors as well. That cache saves most look-ups and changes no result: scores are sums of
+log frequencies in fixed point. All other words of the documents are looked up once each by a join, and, if they are
+not known, their n-grams.
 
 A known word scores its log frequency in each language. Any other word is scored by its n-grams: those of five
 characters if one of them is known, else of four, and so on down to single characters. The scores of a text's words
@@ -23,18 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, read_table
+from .common import double_array, let, materialize, read_table
 
-WORD_SHARE, GRAM_SHARE = 2e-5, 5e-5
+MIN_COUNT = 2
+WORD_SHARE = 2e-5
 LONGEST = 5
 FLUSH = 200_000
 CACHE = 500_000
 SMOOTH = 0.5
+#: Log frequencies are whole multiples of 1 / SCALE, so that sums don't depend on their order.
+SCALE = 1 << 20
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -83,9 +88,10 @@ def _add_grams(counter: Counter, word: str, n: int) -> None:
 
 
 class Model:
-    """Log frequencies of known words and n-grams: key -> row of a (rows, languages) table."""
+    """Log frequencies of words and n-grams: key -> row of a (rows, languages) table. `tables` are the written words (key, vec) and n-grams (key, vec) of a model that isn't held whole."""
 
-    def __init__(self, langs: list[str], words: list[tuple[str, str, int]], parts: list[tuple[str, str, int]], totals: dict[str, int]):
+    def __init__(self, langs: list[str], words: list[tuple[str, str, int]], parts: list[tuple[str, str, int]], totals: dict[str, int], tables: tuple[DataFrame, DataFrame] | None = None):
+        self.tables = tables
         self.langs = sorted(langs)
         at = {x: k for k, x in enumerate(self.langs)}
         self.words, word_logs = self._table(words, at, {(x, 0): totals.get(x, 0) for x in at}, lambda k: 0)
@@ -142,37 +148,118 @@ class Model:
         return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
 
+def _by_key(counts: DataFrame, langs: list[str], tag: str) -> DataFrame:
+    """key, counts (one number a language, in order) of the known keys."""
+    per_lang = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).cast("long") for x in langs]).cast("array<bigint>")
+    return materialize(counts.groupBy("key").agg(per_lang.alias("counts")).where(F.array_max("counts") >= MIN_COUNT), tag)
+
+
+def _size(key: Column) -> Column:
+    return F.when(key.endswith("\0"), 1).otherwise(F.length(key))
+
+
 def train(labelled: DataFrame) -> Model:
-    """From all rows (lang, text); nulls don't count. The model's size is bounded by the shares, not by the corpus."""
+    """From all rows (lang, text); nulls don't count. The driver holds frequent words only."""
     rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.lit(1).cast("long").alias("n"))
     counts = materialize(_counted(rows, _add_words, "lang string, key string, n bigint"), "words")
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
-    widen = max(1.0, len(totals) / 8)
-    per_lang = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    words = counts.join(F.broadcast(per_lang) if len(totals) < 10_000 else per_lang, "lang").where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("total") * (WORD_SHARE * widen)))).select("lang", "key", "n")
-    parts = materialize(_counted(counts.select("lang", F.col("key").alias("text"), "n"), _add_grams, "lang string, key string, n bigint"), "grams")
-    parts = parts.withColumn("size", F.when(F.col("key").endswith("\0"), 1).otherwise(F.length("key")))
-    sums = parts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    kept = parts.join(F.broadcast(sums) if len(totals) < 10_000 else sums, ["lang", "size"]).where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("total") * (GRAM_SHARE * widen)))).select("lang", "key", "n")
-    rows_of = lambda d: [tuple(x) for x in zip(*(c.to_pylist() for c in d.toArrow().columns), strict=True)]
-    return Model(list(totals), rows_of(words), rows_of(kept), totals)
-
-
-def predict(docs: DataFrame, model: Broadcast | Model, keep: list[str]) -> DataFrame:
+    langs = sorted(totals)
+    if not langs:
+        return Model([], [], [], {})
+    words = _by_key(counts, langs, "known")
+    parts = _by_key(_counted(counts.select("lang", F.col("key").alias("text"), "n"), _add_grams, "lang string, key string, n bigint"), langs, "grams")
+    sums = parts.groupBy(_size(F.col("key")).alias("size")).agg(*[F.sum(F.get("counts", k)) for k in range(len(langs))])
+    sums = {0: [totals[x] for x in langs]} | {r[0]: r[1:] for r in sums.collect()}
+    flat = double_array(1.0 + (sums[size][k] if size in sums else 0) for size in range(LONGEST + 1) for k in range(len(langs)))
+    vec = lambda size: F.transform("counts", lambda n, k: F.round(F.log((n + SMOOTH) / F.get(flat, size * len(langs) + k)) * SCALE).cast("long")).alias("vec")
+    share = WORD_SHARE * max(1.0, len(langs) / 8) ** 2
+    least = double_array(max(MIN_COUNT, share * totals[x]) for x in langs)
+    frequent = words.where(F.exists(F.transform("counts", lambda n, k: n >= F.get(least, k)), lambda x: x)).toArrow()
+    held = [(x, key, n) for key, ns in zip(*(c.to_pylist() for c in frequent.columns), strict=True) for x, n in zip(langs, ns, strict=True) if n]
+    return Model(langs, held, [], totals, (words.select("key", vec(F.lit(0))), parts.select("key", vec(_size(F.col("key"))))))
+
+
+def _sum_vec(n_langs: int, weight: Column) -> list[Column]:
+    return [F.sum(weight * F.get("vec", k)).alias(f"s{k}") for k in range(n_langs)]
+
+
+def resolve(vocabulary: DataFrame, words: DataFrame, parts: DataFrame, n_langs: int) -> DataFrame:
+    """word, vec of those distinct words that are known, or have a known n-gram: the mean of the longest known ones."""
+    looked_up = materialize(vocabulary.join(words.withColumnRenamed("key", "word").hint("merge"), "word", "left"), "vocabulary")
+    found, rest = looked_up.where("vec is not null"), looked_up.where("vec is null").select("word")
+
+    def of_size(marked: Column, size: int) -> Column:
+        if size == 1:  # without the marks
+            return F.transform(F.sequence(F.lit(2), F.length(marked) - 1), lambda k: F.concat(F.substring(marked, k, F.lit(1)), F.lit("\0")))
+        return F.when(F.length(marked) >= size, F.transform(F.sequence(F.lit(1), F.length(marked) - size + 1), lambda k: F.substring(marked, k, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    # The longest n-grams first: few words are left for the shorter ones.
+    for sizes in ((LONGEST,), range(1, LONGEST)):
+        split = let(F.concat(F.lit("<"), "word", F.lit(">")), lambda marked: F.concat(*[of_size(marked, n) for n in sizes]))  # noqa: B023
+        hits = rest.select("word", F.explode(split).alias("key")).hint("merge").join(parts.where(_size(F.col("key")).isin(*sizes)).hint("merge"), "key")
+        hits = hits.groupBy("word", _size(F.col("key")).alias("size")).agg(F.count("*").alias("found"), *_sum_vec(n_langs, F.lit(1)))
+        mean = F.array(*[F.round(F.col(f"s{k}") / F.col("found")).cast("long") for k in range(n_langs)])
+        hits = materialize(hits.groupBy("word").agg(F.max_by(mean, "size").alias("vec")), "resolved")
+        found, rest = found.unionByName(hits), rest.join(hits.hint("merge"), "word", "left_anti")
+    return found
+
+
+def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """keep's columns plus lang_pred and score; the prediction sees text alone."""
+    n_langs = len(model.langs)
     given = docs.select(*[F.col(c).alias(c) for c in keep], F.col("text").alias("_text"))
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    sent = docs.sparkSession.sparkContext.broadcast((model.words, np.rint(model.logs.astype(np.float64).reshape(len(model.words), n_langs) * SCALE).astype(np.int64)))
+    schema = T.StructType([*given.schema.fields[:-1], *T._parse_datatype_string("_any boolean, _sum array<bigint>, _rest array<struct<word:string,n:bigint>>").fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cache = model.value if isinstance(model, Broadcast) else model, {}
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, logs = sent.value
         for batch in batches:
-            out = [m.predict(t.as_py(), cache) for t in batch.column(len(keep))]
-            yield pa.record_batch([*batch.columns[:-1], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[*keep, "lang_pred", "score"])
-
-    return given.mapInArrow(run, schema)
+            seen, sums, words, times, ends = [], [], [], [], [0]
+            for text in batch.column(len(keep)):
+                counts = Counter(text_words(text.as_py()))
+                rows, weights = [], []
+                for word, n in counts.items():
+                    if (k := index.get(word)) is not None:
+                        rows.append(k)
+                        weights.append(n)
+                    elif n_langs:
+                        words.append(word)
+                        times.append(n)
+                seen.append(bool(counts))
+                sums.append((np.array(weights, dtype=np.int64) @ logs[rows]).tolist() if rows else [0] * n_langs)
+                ends.append(len(words))
+            rest = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(times, pa.int64())], names=["word", "n"])
+            cols = [pa.array(seen, pa.bool_()), pa.array(sums, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)]
+            yield pa.record_batch([*batch.columns[:-1], *cols], names=[*keep, "_any", "_sum", "_rest"])
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for seen, *parts in zip(*(batch.column(len(keep) + k).to_pylist() for k in range(3)), strict=True):
+                if not seen or not langs:
+                    out.append(("und", 0.0))
+                    continue
+                total = sum(np.array(x, dtype=np.int64) for x in parts if x)
+                best = int(np.argmax(total))
+                out.append((langs[best], float(1 / np.exp(np.clip((total - total[best]) / SCALE, -700, 0)).sum())))
+            yield pa.record_batch([*batch.columns[: len(keep)], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[*keep, "lang_pred", "score"])
+
+    langs = model.langs
+    scored = given.mapInArrow(first, schema).withColumn("_rid", F.monotonically_increasing_id())
+    if langs:
+        scored = materialize(scored, "scored")
+        rest = scored.select("_rid", F.explode("_rest").alias("w")).select("_rid", "w.*")
+        vecs = resolve(rest.select("word").distinct(), *model.tables, n_langs)
+        more = rest.hint("merge").join(vecs.hint("merge"), "word").groupBy("_rid").agg(*_sum_vec(n_langs, F.col("n")))
+        more = more.select("_rid", F.array(*[f"s{k}" for k in range(n_langs)]).alias("_more"))
+        scored = scored.join(more, "_rid", "left")
+    else:
+        scored = scored.withColumn("_more", F.col("_sum"))
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return scored.select(*keep, "_any", "_sum", "_more").mapInArrow(last, schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
-    model = spark.sparkContext.broadcast(train(docs.where("not coalesce(held_out, false)").select("lang", "text")))
+    model = train(docs.where("not coalesce(held_out, false)").select("lang", "text"))
     return predict(docs.withColumn("held_out", F.coalesce("held_out", F.lit(False))), model, ["doc_id", "held_out"])

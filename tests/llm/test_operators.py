@@ -149,6 +149,26 @@ def test_back_off_goes_from_words_to_shorter_grams():
     assert m.parts("wort") == (0,) and len(m.parts("wortx")) == 1 and m.parts("qxyq") and m.parts("qqz") and m.parts("qqq") == ()
 
 
+def test_no_count_is_lost_by_its_share(spark):
+    common = [("a", "the " * 300_000), ("b", "die " * 300_000)]
+    rare = [("a", "zyxwv zyxwv zyxwv"), ("b", "zyxwv qqq"), ("a", "vwxyz"), ("b", "vwxyz vwxyz"), ("a", "bridge bridges"), ("b", "brücke brücken")]
+    model = langid.train(spark.createDataFrame(common + rare, "lang string, text string"))
+    assert "the" in model.words and "zyxwv" not in model.words
+    counts = [(x, w, n) for x in "ab" for w, n in Counter(v for y, t in common + rare if y == x for v in langid.text_words(t)).items()]
+    grams = {x: Counter() for x in "ab"}
+    for x, w, n in counts:
+        langid._add_grams(grams[x], w, n)
+    known = lambda rows: [r for r in rows if max(n for _, w, n in rows if w == r[1]) >= 2]
+    whole = langid.Model(["a", "b"], known(counts), known([(x, g, n) for x, c in grams.items() for g, n in c.items()]), {x: sum(n for y, _, n in counts if y == x) for x in "ab"})
+    texts = ["zyxwv", "vwxyz", "the zyxwv zyxwv", "abridged", "gebrückt", "xbry", "q", "ü", "###", "", None, "жж"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.predict(docs, model, ["doc_id"]).collect()}
+    assert [got[k].lang_pred for k in range(2)] == ["a", "b"]
+    for k, text in enumerate(texts):
+        lang, score = whole.predict(text, {})
+        assert got[k].lang_pred == lang and abs(got[k].score - score) < 1e-3, (text, got[k], score)
+
+
 def sets_of(rows):
     out = {}
     for i, t, *_ in rows:
