@@ -4,8 +4,8 @@ A recording's spectrum is folded into twelve pitch classes per frame. Filters of
 another, in time, in pitch or both) slide over the frames; each is a difference of box sums, read from an integral
 image in four look-ups a box, and is quantised to two bits; SIXTEEN filters pack one 32-bit integer per frame.
 
-Two recordings are aligned by the offset at which most of their integers' upper BITS_EQUAL bits agree (an offset
-histogram), and judged by the share of differing bits over the overlap at that offset.
+Two recordings vote for each offset at which an integer's upper BITS_EQUAL bits agree (an offset histogram), and are
+aligned by the offset, of those with MIN_OVERLAP frames in common, at which the least share of bits differs.
 
 The search compares every recording whose id is divisible by 20 with all recordings. Recordings with the same
 fingerprint are one class and are compared once; no key is dropped for being common. Cases: null, empty or too short audio has an empty fingerprint, matches nothing; repeated rows
@@ -85,7 +85,7 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
-    """(offset, overlap, bit error) at the best offset of b in a: a[k + offset] stands against b[k]. Without a common hash: (0, 0, 1.0)."""
+    """(offset, overlap, bit error) at the best offset of b in a: a[k + offset] stands against b[k]. Every offset with a vote and MIN_OVERLAP frames is tested; without one: (0, 0, 1.0)."""
     ha, hb = a >> np.uint32(32 - BITS_EQUAL), b >> np.uint32(32 - BITS_EQUAL)
     order = np.argsort(ha, kind="stable")
     lo, hi = np.searchsorted(ha[order], hb), np.searchsorted(ha[order], hb, side="right")
@@ -95,10 +95,10 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
     if not histogram.any():
         return 0, 0, 1.0
     best = (0, 0, 1.0)
-    for h in np.argsort(-histogram, kind="stable")[:3]:
+    for h in np.flatnonzero(histogram):
         offset = int(h) - len(b)
         first, last = max(0, offset), min(len(a), len(b) + offset)
-        if histogram[h] and last > first:
+        if last - first >= MIN_OVERLAP:
             wrong = np.bitwise_count(a[first:last] ^ b[first - offset : last - offset]).sum()
             found = (offset, last - first, float(wrong) / (32 * (last - first)))
             if (found[2], -found[1]) < (best[2], -best[1]):

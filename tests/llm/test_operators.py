@@ -391,6 +391,15 @@ def test_fingerprints(spark, sf):
     assert got[40].n_matches == 0 and got[1].n_matches is None
 
 
+def test_a_short_overlap_does_not_hide_the_long_alignment():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2**32, 60, dtype=np.uint32)
+    b = a[30:].copy()
+    b[::2] ^= np.uint32(1 << 3)  # offset 30: 30 frames, bit error 1 / 64
+    b[-4:] = a[:4]  # offset -26: 4 frames without an error
+    assert fingerprints.align(a, b)[:2] == (30, 30)
+
+
 def test_search_recall_against_brute_force():
     rng, t = np.random.default_rng(1), np.arange(2 * fingerprints.HOP) / fingerprints.RATE
 
