@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialize, read_table
+from .common import materialize, read_table
 
 RATE = 11025
 FRAME, HOP = 2048, 512
@@ -125,16 +125,13 @@ def extract(audio: DataFrame, id_col: str, media_col: str, rate: int = RATE, dec
 def search(prints: DataFrame, every: int = 20) -> DataFrame:
     """id, n_frames, class_id (least id with that fingerprint), n_matches (classes that align with this one, itself excluded; for a class with a query member, else null), best_id, best_offset, best_overlap, best_error.
 
-    Candidates share a key: the upper bits of two integers WIDTH frames apart, which no filter sees together, so that
-    unrelated melodies rarely meet; of a pair within MAX_BIT_ERROR one of its many keys agrees. Keys that a pair
-    shares are summed before it is compared.
+    Candidates share one integer's upper BITS_EQUAL bits, which is a vote of align(): no pair that align() would link is
+    left out. Keys that a pair shares are summed before it is compared.
     """
     prints = materialize(prints, "prints")
     whole = prints.where("n_frames > 0").groupBy("fp").agg(F.min("id").alias("class_id"), F.max((F.pmod("id", F.lit(every)) == 0).cast("int")).alias("asked"))
     whole = materialize(whole, "classes")
-    upper = lambda x: F.shiftright(x, 32 - BITS_EQUAL)
-    key = lambda fp: F.transform(F.sequence(F.lit(0), F.size(fp) - WIDTH - 1), lambda k: F.shiftleft(upper(F.get(fp, k)), BITS_EQUAL).bitwiseOR(upper(F.get(fp, k + WIDTH))))
-    hashes = F.when(F.size("fp") > WIDTH, F.array_distinct(let(F.col("fp"), key)))
+    hashes = F.when(F.size("fp") >= MIN_OVERLAP, F.array_distinct(F.transform("fp", lambda x: F.shiftright(x, 32 - BITS_EQUAL))))
     entries = whole.select("class_id", "asked", F.explode(hashes).alias("hash"))
     pairs = entries.where("asked = 1").select(F.col("class_id").alias("q"), "hash").join(entries.select("class_id", "hash"), "hash").where("q != class_id")
     pairs = pairs.groupBy("q", "class_id").agg(F.count("*").alias("common"))

@@ -400,6 +400,24 @@ def test_a_short_overlap_does_not_hide_the_long_alignment():
     assert fingerprints.align(a, b)[:2] == (30, 30)
 
 
+def test_search_finds_every_pair_that_aligns(spark):
+    rng, fps = np.random.default_rng(4), []
+    for k in range(60):  # a recording, and a noisy one that shares 17 to 32 frames with it
+        a, b = rng.integers(0, 2**32, (2, 40), dtype=np.uint32)
+        n = 17 + k % 16
+        flips = (rng.random((n, 32)) < (0.03, 0.05, 0.08)[k % 3]) @ (2 ** np.arange(32, dtype=np.uint64))
+        b[:n] = a[-n:] ^ flips.astype(np.uint32)
+        fps += [a, b]
+    df = spark.createDataFrame([(k, len(f), [int(x) for x in f]) for k, f in enumerate(fps)], "id long, n_frames long, fp array<bigint>")
+    want = [0] * len(fps)
+    for q, a in enumerate(fps):
+        for c, b in enumerate(fps):
+            _, overlap, error = fingerprints.align(a, b)
+            want[q] += q != c and overlap >= fingerprints.MIN_OVERLAP and error <= fingerprints.MAX_BIT_ERROR
+    assert sum(want) > 80
+    assert {r.id: r.n_matches for r in fingerprints.search(df, 1).collect()} == dict(enumerate(want))
+
+
 def test_search_recall_against_brute_force():
     rng, t = np.random.default_rng(1), np.arange(2 * fingerprints.HOP) / fingerprints.RATE
 
