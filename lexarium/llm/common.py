@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ NOT_WS = "[^\\x20\\x09-\\x0D]"
 
 _made: list[tuple[SparkSession, str]] = []
 _own_dir: str | None = None
+_caches: dict[str, Callable[[], None]] = {}
+_at_work: str | None = None
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,19 +67,25 @@ def _clean() -> None:
             _remove(spark, path)
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared folder and read it back: later uses don't recompute it and losing an executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the table that materialize() made once nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _remove(df.sparkSession, path)
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize() made, once nothing reads them any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _remove(df.sparkSession, path)
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -83,6 +93,26 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def works_as(name: str, clear: Callable[[], None]) -> None:
+    """Called by a task in a Python worker that keeps caches under this name. Workers outlive tasks: those of other names are emptied, and free pages go back to the system."""
+    global _at_work
+    _caches[name] = clear
+    if _at_work != name:
+        for other, empty in _caches.items():
+            if other != name:
+                empty()
+        _at_work = name
+        trim()
+
+
+def trim() -> None:
+    """Give freed pages back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def double_array(values) -> Column:
     """A literal array<double>, folded once at planning."""
     return F.expr("from_json('[" + ",".join(repr(float(v)) for v in values) + "]', 'array<double>')")
