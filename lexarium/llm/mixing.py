@@ -1,15 +1,19 @@
 """Mixing sources to target weights, DataFrame functions only.
 
-The words of each source are packed into fixed-length blocks. The mix is a row of output shards with a fixed number
-of slots; the shards' source counts are drawn as a multinomial that is conditioned on the corpus-wide totals (slots
-are dealt to shard positions by a pseudorandom permutation), so the totals meet the targets. A slot's ordinal within
-its source goes through that source's pseudorandom permutation of block indices, a fresh one for each pass over the
-source, and slots meet blocks by a join on (source, index).
+The words of each source are packed into fixed-length blocks. The mix is a row of output shards of about
+SLOTS_PER_SHARD slots each. Every shard draws its source counts: with an expected count for each source, the whole parts
+are given and the remaining slots are drawn from a multinomial over the fractional parts (so a source's total stays
+within a few slots a shard of its target, which independent draws of all slots would miss by the root of its size).
+Prefix sums of the counts number a source's slots; a slot's ordinal goes through that source's pseudorandom permutation
+of block indices, a fresh one for each pass over the source, and slots meet blocks by a join on (source, index), which
+carries the shard along.
 
 Hot sources: documents of a source are spread over buckets of about BUCKET_DOCS documents and prefix sums are taken
-inside a bucket; no window holds a whole source. Cases: a null text has size 0 and is never taken; a null source is a
-source of its own, last in order; repeated rows and null doc_ids are mixed row by row; an empty table, or one without
-words, gives taken 0 throughout; the result doesn't depend on the run.
+inside a bucket; no window holds a whole source. Equal rows are told apart by a rank taken in two steps, so neither a
+repeated doc_id nor a repeated document lands in one bucket. Cases: a null text has size 0 and is never taken; a null
+source is a source of its own, last in order; repeated rows and null doc_ids are mixed row by row; an empty table, or
+one without words, gives taken 0 throughout; extra columns don't matter; the result depends neither on the run nor on
+how the rows are partitioned.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ from pyspark.sql import functions as F
 from .common import NOT_WS, WS, let, materialize, read_table, small, words
 
 BLOCK_WORDS = 64
-SLOTS_PER_SHARD = 1 << 14
+SLOTS_PER_SHARD, SLOTS_PER_SOURCE = 1 << 12, 64  # a shard has at least so many slots, and so many for each source
 MAX_PASSES = 3
 BUCKET_DOCS = 4096
-CHUNK = 1 << 14
+RANK_BLOCK = 12  # bits
 SMALL_ROWS = 10_000
 SEED = 11
 #: Primes above any number of slots or blocks (2^61 - 1 and others near 2^60): each is coprime to every smaller modulus.
@@ -52,32 +56,67 @@ def targets(sized: DataFrame) -> DataFrame:
     return src.withColumn("target", F.least(F.col("_cap").cast("double"), F.coalesce(F.col("_level"), F.lit(0.0)) * F.col("weight"))).drop("_cap", "_level")
 
 
+def ranked(sized: DataFrame) -> DataFrame:
+    """sized plus rank: 0, 1, ... among rows of equal doc_id and text hash. Within blocks of row numbers first, then over the blocks."""
+    keys = ["doc_id", "text_hash"]
+    df = sized.withColumn("_b", F.shiftright("_rid", RANK_BLOCK))
+    blocks = df.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.sum("_n").over(before)).where("_before > 0").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_block"), "_before")
+    same = F.col("_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_text_hash") == F.col("text_hash")) & (F.col("_block") == F.col("_b"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_rid")) - 1
+    return df.withColumn("rank", inside).join(blocks.hint("merge"), same, "left").withColumn("rank", F.col("rank") + F.coalesce("_before", F.lit(0))).select(*sized.columns, "rank")
+
+
+def draw(counts: DataFrame) -> DataFrame:
+    """source_id, blocks, shard, first, n: how many slots of each shard a source gets, and the source's slots in the shards before. From source_id, blocks, expected (blocks that the target takes, a real number); one row per source."""
+    everything, n_sources = Window.partitionBy(), F.count("*").over(Window.partitionBy())
+    src = counts.withColumn("_sum", F.sum("expected").over(everything)).withColumn("_all", F.round("_sum").cast("long"))
+    src = src.withColumn("_shards", F.greatest(F.lit(1), F.floor(F.col("_all") / F.greatest(F.lit(SLOTS_PER_SHARD), SLOTS_PER_SOURCE * n_sources)))).where("_all > 0")
+    cells = src.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shards") - 1)))
+    edge = lambda k: F.floor(k * F.col("_all") / F.col("_shards"))
+    cells = cells.withColumn("_slots", edge(F.col("shard") + 1) - edge(F.col("shard"))).withColumn("_mean", F.col("_slots") * F.col("expected") / F.col("_sum"))
+    cells = cells.withColumn("_whole", F.floor("_mean")).withColumn("_part", F.col("_mean") - F.col("_whole"))
+    cells = cells.select("source_id", "blocks", "shard", "_slots", "_whole", "_part")
+    # The draws: a uniform number falls into the stretch of a source's fractional part.
+    in_shard = Window.partitionBy("shard")
+    upto = F.sum("_part").over(in_shard.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)) / F.sum("_part").over(in_shard)
+    stretches = cells.where("_part > 0").select("shard", F.coalesce(upto, F.lit(0.0)).alias("_at"), F.lit(0).alias("_draw"), "source_id")
+    rest = cells.groupBy("shard").agg((F.first("_slots") - F.sum("_whole")).alias("_rest")).where("_rest > 0")
+    draws = rest.select("shard", F.explode(F.sequence(F.lit(1), F.col("_rest").cast("int"))).alias("_draw"))
+    uniform = (F.pmod(F.xxhash64("shard", "_draw", F.lit(SEED)), F.lit(1 << 53)) / float(1 << 53)).alias("_at")
+    both = stretches.union(draws.select("shard", uniform, "_draw", F.lit(None).cast("int").alias("source_id")))
+    met = F.last("source_id", ignorenulls=True).over(in_shard.orderBy("_at", "_draw").rowsBetween(Window.unboundedPreceding, 0))
+    drawn = both.select("shard", "_draw", met.alias("source_id")).where("_draw > 0").groupBy("shard", "source_id").agg(F.count("*").alias("_more"))
+    cells = cells.join(drawn.hint("merge"), ["shard", "source_id"], "left").withColumn("n", F.col("_whole") + F.coalesce("_more", F.lit(0)))
+    before = Window.partitionBy("source_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.select("source_id", "blocks", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "n")
+
+
 def plan_mix(sized: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From rows (_rid, doc_id, source, size): the rows with source_size and target; pieces (_rid, first, last, uses: words first..last-1 of the document lie in a block that the mix uses so often); slots (source_id, index, shard)."""
+    """From rows (_rid, doc_id, source, size, text_hash): the rows with source_size and target; pieces (_rid, first, last, shards: words first..last-1 of the document lie in a block that these shards use, one entry for each use); the draws (see draw)."""
     src = materialize(targets(sized), "sources")
-    docs = sized.join(small(src, SMALL_ROWS), sized["source"].eqNullSafe(src["source"])).drop(src["source"])
-    bucket = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.ceil(F.col("source_docs") / BUCKET_DOCS))
-    docs = docs.withColumn("bucket", bucket)
-    inside = Window.partitionBy("source_id", "bucket").orderBy("doc_id", "size", "_rid").rowsBetween(Window.unboundedPreceding, -1)
+    docs = ranked(sized).join(small(src, SMALL_ROWS), sized["source"].eqNullSafe(src["source"])).drop(src["source"])
+    bucket = F.pmod(F.xxhash64("doc_id", "text_hash", "rank", F.lit(SEED)), F.ceil(F.col("source_docs") / BUCKET_DOCS))
+    docs = materialize(docs.withColumn("bucket", bucket), "rows")
+    inside = Window.partitionBy("source_id", "bucket").orderBy("doc_id", "text_hash", "rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.where("size > 0").withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    length = placed.groupBy("source_id", "bucket").agg(F.sum("size").alias("words"))
+    length = docs.where("size > 0").groupBy("source_id", "bucket").agg(F.sum("size").alias("words"))
     length = length.withColumn("n", F.ceil(F.col("words") / BLOCK_WORDS))
     before = Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     length = materialize(length.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("source_id", "bucket", "base", "n"), "buckets")
     counts = length.groupBy("source_id").agg(F.sum("n").alias("blocks")).join(src, "source_id")
-    drawn = F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), MAX_PASSES * F.col("blocks"))
-    counts = counts.select("source_id", "blocks", drawn.alias("slots"))
-    counts = counts.withColumn("first", F.sum("slots").over(Window.orderBy("source_id")) - F.col("slots")).withColumn("all", F.sum("slots").over(Window.partitionBy()))
+    counts = counts.select("source_id", "blocks", (F.col("target") * F.col("blocks") / F.col("source_size")).alias("expected"))
+    draws = materialize(draw(counts), "draws")
 
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK).cast("long")))
-    slots = counts.where("slots > 0").withColumn("chunk", chunk).repartition(int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id", "chunk")
-    slots = slots.withColumn("k", F.explode(F.sequence(F.col("chunk"), F.least(F.col("chunk") + CHUNK, F.col("slots")) - 1)))
+    slots = draws.where("n > 0").repartition(int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id", "shard")
+    slots = slots.withColumn("k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     turn = F.floor(F.col("k") / F.col("blocks"))
     index = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.abs(F.xxhash64("source_id", turn, F.lit(SEED)) % (1 << 40)))
-    shard = F.floor(permuted(F.col("first") + F.col("k"), F.col("all"), F.lit(SEED).cast("long")) / SLOTS_PER_SHARD)
-    slots = slots.select("source_id", index.alias("index"), shard.alias("shard"))
+    slots = slots.where(turn < MAX_PASSES).select("source_id", index.alias("index"), "shard")
 
-    uses = slots.groupBy("source_id", "index").agg(F.count("*").alias("uses"))
+    # A block is used once in a pass, so the list is short.
+    uses = slots.groupBy("source_id", "index").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
     pieces = placed.join(small(length, SMALL_ROWS), ["source_id", "bucket"])
     block = F.explode(F.sequence(F.floor(F.col("start") / BLOCK_WORDS), F.floor((F.col("start") + F.col("size") - 1) / BLOCK_WORDS)))
     pieces = pieces.select("_rid", "source_id", "base", "start", "size", block.alias("b"))
@@ -86,20 +125,21 @@ def plan_mix(sized: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.greatest(F.col("b") * BLOCK_WORDS - F.col("start"), F.lit(0)).alias("first"), F.least((F.col("b") + 1) * BLOCK_WORDS - F.col("start"), F.col("size")).alias("last"),
     )
     # Spark takes exploded rows for as few as they came from and would broadcast them; this side grows with the corpus.
-    return docs, pieces.hint("merge").join(uses.hint("merge"), ["source_id", "index"]).select("_rid", "first", "last", "uses"), slots
+    return docs, pieces.hint("merge").join(uses.hint("merge"), ["source_id", "index"]).select("_rid", "first", "last", "shards"), draws
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.size(words(F.col("text"))).cast("long")).withColumn("_rid", F.monotonically_increasing_id())
+    """docs (doc_id, source, text) plus size, text_hash and _rid."""
+    return docs.select("*", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("_rid"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: the c-th copy of a document (up to 3) has the words in blocks that the mix uses c times or more, with the white space that follows them; a copy of all words is the text itself. docs' columns."""
     kept = docs.select(F.struct("*").alias("_row"), "doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     kept = materialize(with_sizes(kept), "sized")
-    _, pieces, _ = plan_mix(kept.select("_rid", "doc_id", "source", "size"))
-    parts = pieces.groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("first", "last", "uses"))).alias("_parts"))
-    df = kept.join(parts, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_parts", lambda p: p["uses"])).cast("int"))))
+    _, pieces, _ = plan_mix(kept.select("_rid", "doc_id", "source", "size", "text_hash"))
+    parts = pieces.groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("first", "last", F.size("shards").alias("uses")))).alias("_parts"))
+    df = kept.join(parts, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_parts", lambda p: p["uses"])))))
     df = df.withColumn("_use", F.filter("_parts", lambda p: p["uses"] >= F.col("_copy")))
     n_used = F.aggregate("_use", F.lit(0).cast("long"), lambda a, p: a + p["last"] - p["first"])
     # Each word with the white space after it; white space before the first word goes.
@@ -111,8 +151,9 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the contract's columns: source, and shards, the output shards that take words of the document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = materialize(with_sizes(docs).select("_rid", "doc_id", "source", "size"), "sized")
+    sized = materialize(with_sizes(docs).drop("text"), "sized")
     rows, pieces, _ = plan_mix(sized)
-    taken = pieces.groupBy("_rid").agg(F.sum((F.col("last") - F.col("first")) * F.col("uses")).alias("taken"))
-    return rows.join(taken, "_rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    taken = pieces.groupBy("_rid").agg(F.sum((F.col("last") - F.col("first")) * F.size("shards")).alias("taken"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("shards")))).alias("shards"))
+    return rows.join(taken, "_rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards"))
