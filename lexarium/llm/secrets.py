@@ -1,13 +1,15 @@
 """Secret scan, DataFrame functions only.
 
-Base rules are three patterns; on top, every long run of token characters is scored by two character Markov models,
-one of random strings and one of ordinary identifiers, and kept where the log-likelihood ratio favours random. Both
-models are trained on the driver from labelled samples (by default a seeded, bounded generator); their difference
-travels as one literal array.
-
-Cases: a null or empty text has no spans; spans of one kind never overlap; a Markov span that touches a base span is
-left out; offsets are code points; repeated rows are scanned one by one; an empty table gives an empty result;
-`redact_documents` keeps every column and every row.
+Base rules are three patterns; on top, every long run of token characters outside their spans is scored by two character
+Markov models, one of random strings and one of ordinary identifiers. The whole run is a secret if the log-likelihood
+ratio favours random; otherwise the stretch of it with the greatest ratio is, if it is long and clear enough, so that a
+key at the end of a path is found. Both models are trained on the driver from labelled samples (by default a seeded,
+bounded generator); their difference travels as one literal array.
+
+Work grows in proportion to the text: positions are prefix sums in two levels, and parts of a long text are cut from
+pieces of PIECE characters. Cases: a null or empty text has no spans; spans of one kind never overlap; a Markov span
+never overlaps a base span, whose characters end a run; offsets are code points; repeated rows are scanned one by one;
+an empty table gives an empty result; `redact_documents` keeps every column, whatever its name, and every row.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import base64
 import math
 import random
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,9 @@ RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 #: A run is a secret if it is this many nats likelier as a random string, in sum and per character.
 MIN_LLR, MIN_LLR_PER_CHAR = 9.0, 0.45
+#: A stretch within a run: its least length, ratio and ratio per character. The bar is higher, as the best of many stretches is taken.
+PART_MIN, PART_LLR, PART_LLR_PER_CHAR = 16, 14.0, 0.6
+PIECE, BLOCK = 4096, 128
 PLACEHOLDER = "[SECRET]"
 
 #: Words from which the generator builds ordinary identifiers and long ordinary words.
@@ -100,12 +105,54 @@ def train(samples: Iterable[tuple[str, int]]) -> list[float]:
     return out
 
 
-def llr(run: Column, table: list[float]) -> Column:
-    """The log-likelihood ratio of a run; characters outside the alphabet don't occur in RUN."""
+def pieces(text: Column) -> Column:
+    """The text in pieces of PIECE characters; [] for an empty one."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """Characters start..end-1 of a text from its pieces, at the cost of a piece and their number."""
+    first = F.floor(start / PIECE).cast("int")
+    n = F.floor((end - 1) / PIECE).cast("int") - first + 1
+    return F.when(end > start, F.substring(F.array_join(F.slice(parts, first + 1, F.greatest(n, F.lit(1))), ""), start - first * PIECE + 1, end - start)).otherwise("")
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running totals of an array<int> under op: within blocks, then over the blocks."""
+
+    def scan(a):
+        return F.aggregate(a, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(op(F.get(acc, F.size(acc) - 1), x)).cast("int"))))
+
+    def of_blocks(blocks):
+        tops = scan(F.transform(blocks, lambda x: F.element_at(x, -1)))
+        shift = lambda x, before: F.transform(x, lambda v: F.when(before.isNull(), v).otherwise(op(before, v)).cast("int"))
+        return let(tops, lambda t: F.flatten(F.transform(blocks, lambda x, b: shift(x, F.get(t, b - 1)))))
+
+    def split(a):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda b: scan(F.slice(a, b * BLOCK + 1, F.lit(BLOCK))))
+        return F.when(F.size(a) <= BLOCK, scan(a)).otherwise(let(blocks, of_blocks))
+
+    return let(values, split)
+
+
+def ratios(run: Column, table: list[float]) -> Column:
+    """struct<i, s, best, from, to>: the run's length, its log-likelihood ratio, the greatest ratio of a stretch, and where that stretch lies."""
     k, lookup = len(ALPHABET), double_array(table)
-    codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    step = lambda acc, c: F.struct((acc["s"] + F.get(lookup, acc["p"] * k + c)).alias("s"), (c + 1).alias("p"))
-    return F.aggregate(codes, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("p")), step)["s"]
+
+    def step(acc, c):
+        code = F.instr(F.lit(ALPHABET), c) - 1
+        d = F.get(lookup, acc["p"] * k + code)
+        sum_here = F.when(acc["h"] > 0, acc["h"]).otherwise(0.0) + d
+        begin = F.when(acc["h"] > 0, acc["b"]).otherwise(acc["i"])
+        fields = {
+            "p": code + 1, "i": acc["i"] + 1, "s": acc["s"] + d, "h": sum_here, "b": begin, "best": F.greatest(acc["best"], sum_here),
+            "from": F.when(sum_here > acc["best"], begin).otherwise(acc["from"]), "to": F.when(sum_here > acc["best"], acc["i"] + 1).otherwise(acc["to"]),
+        }
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+    kinds = {"p": 0, "i": 0, "s": 0.0, "h": 0.0, "b": 0, "best": 0.0, "from": 0, "to": 0}
+    start = F.struct(*[F.lit(v).alias(n) for n, v in kinds.items()])
+    return F.aggregate(pieces(run), start, lambda acc, part: F.aggregate(F.split(part, ""), acc, step))
 
 
 def _matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
@@ -113,34 +160,57 @@ def _matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     empty = F.array().cast("array<struct<s:int,k:int,e:int,g:string>>")
     gaps, found = F.transform(F.split(text, pattern, -1), F.length), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("d"), found.alias("m"), groups.alias("g"))
+    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("d"), F.transform(found, F.length).alias("n"), groups.alias("g"))
 
-    def step(acc, x):
-        s = acc["at"] + x["d"]
-        e = s + F.length(x["m"])
-        one = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), x["g"].alias("g"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(z):
+        ends = running(F.transform(z, lambda x: x["d"] + x["n"]), lambda a, b: a + b)
+        span = lambda x, e: F.struct((e - x["n"]).alias("s"), F.lit(kind).alias("k"), e.alias("e"), x["g"].alias("g"))
+        return let(ends, lambda e: F.transform(z, lambda x, i: span(x, F.get(e, i))))
 
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    return F.when(text.rlike(pattern), let(zipped, placed)).otherwise(empty)
+
+
+def replaced(text: Column, found: Column, fill: Callable[[Column], Column]) -> Column:
+    """text with each union of overlapping spans, given in order, replaced by fill(its length)."""
+
+    def join(parts, top):
+        # A span that begins at or after all earlier ends begins a union; the greatest end before the next such span ends it.
+        before = lambda i: F.coalesce(F.get(top, i - 1), F.lit(0))
+        heads = F.filter(F.transform(found, lambda x, i: F.struct(x["s"].alias("s"), before(i).alias("before"), i.alias("i"))), lambda h: (h["i"] == 0) | (h["s"] >= h["before"]))
+
+        def of_heads(h):
+            end = lambda i: F.coalesce(F.get(h, i + 1)["before"], F.element_at(top, -1))
+            return F.concat(F.array_join(F.transform(h, lambda x, i: F.concat(cut(parts, x["before"], x["s"]), fill(end(i) - x["s"]))), ""), cut(parts, F.element_at(top, -1), F.length(text)))
+
+        return let(heads, of_heads)
+
+    tops = running(F.transform(found, lambda x: x["e"]), F.greatest)
+    return F.when(F.size(found) == 0, text).otherwise(let(pieces(text), lambda parts: let(tops, lambda top: join(parts, top))))
 
 
 def spans(docs: DataFrame, text: str = "text", samples: Iterable[tuple[str, int]] | None = None) -> DataFrame:
-    """docs plus base and added: arrays of struct<s, k, e> (code points, k an index of KINDS), each in order of s, then k."""
+    """_row (docs' columns), _text, and base and added: arrays of struct<s, k, e> (code points, k an index of KINDS), each in order of s, then k."""
     table = train(samples if samples is not None else labelled_samples())
-    t = F.coalesce(F.col(text), F.lit(""))
-    bare = lambda a: F.transform(a, lambda x: F.struct(x["s"], x["k"], x["e"]))
-    df = docs.select(
-        "*",
-        F.filter(_matches(t, ASSIGN, 0, 2), lambda x: F.length(x["g"]) >= ASSIGN_MIN).alias("_a"),
-        _matches(t, ACCESS, 1).alias("_i"),
-        _matches(t, HEX, 2).alias("_h"),
-        _matches(t, RUN, 3).alias("_r"),
-    )
-    df = df.withColumn("base", F.sort_array(bare(F.concat("_a", "_i", "_h"))))
-    free = F.filter(F.col("_r"), lambda r: ~F.exists(F.col("base"), lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])) & r["g"].rlike("[A-Za-z]"))
-    random_like = F.filter(free, lambda r: let(llr(r["g"], table), lambda v: (v >= MIN_LLR) & (v >= MIN_LLR_PER_CHAR * F.length(r["g"]))))
-    return df.withColumn("added", bare(random_like)).drop("_a", "_i", "_h", "_r")
+    t = F.col("_text")
+    bare = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    df = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    assign = F.filter(_matches(t, ASSIGN, 0, 2), lambda x: F.length(x["g"]) >= ASSIGN_MIN)
+    df = df.withColumn("base", F.sort_array(bare(F.concat(assign, _matches(t, ACCESS, 1), _matches(t, HEX, 2)))))
+    df = df.withColumn("_runs", _matches(replaced(t, F.col("base"), lambda n: F.repeat(F.lit(" "), n)), RUN, 3))
+
+    def judged(r):
+        def span(v):
+            whole = (v["s"] >= MIN_LLR) & (v["s"] >= MIN_LLR_PER_CHAR * v["i"])
+            n = v["to"] - v["from"]
+            part = (n >= PART_MIN) & (v["best"] >= PART_LLR) & (v["best"] >= PART_LLR_PER_CHAR * n)
+            place = lambda a, b: F.struct(a.alias("s"), r["k"].alias("k"), b.alias("e"), F.substring(r["g"], a - r["s"] + 1, b - a).alias("g"))
+            return F.when(whole, place(r["s"], r["e"])).when(part, place(r["s"] + v["from"], r["s"] + v["to"]))
+
+        return let(ratios(r["g"], table), span)
+
+    lettered = F.filter("_runs", lambda r: r["g"].rlike("[A-Za-z]"))
+    found = F.filter(F.transform(lettered, judged), lambda x: x.isNotNull() & x["g"].rlike("[A-Za-z]"))
+    return df.select("_row", "_text", "base", bare(found).alias("added"))
 
 
 def digest(found: Column) -> Column:
@@ -150,30 +220,17 @@ def digest(found: Column) -> Column:
 
 def redact(text: Column, found: Column) -> Column:
     """text with each union of overlapping spans (in order) replaced by PLACEHOLDER."""
-    none = F.array().cast("array<struct<s:int,e:int>>")
-
-    def merge(acc, x):
-        last = F.get(acc, F.size(acc) - 1)
-        new = F.struct(x["s"].alias("s"), x["e"].alias("e"))
-        joined = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
-        return F.when((F.size(acc) > 0) & (x["s"] < last["e"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(new)))
-
-    def cut(merged):
-        part = lambda i: F.substring(text, F.coalesce(F.get(merged, i - 1)["e"], F.lit(0)) + 1, F.coalesce(F.get(merged, i)["s"], F.length(text)) - F.coalesce(F.get(merged, i - 1)["e"], F.lit(0)))
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(merged)), part), PLACEHOLDER)
-
-    return F.when(F.size(found) == 0, text).otherwise(let(F.aggregate(found, none, merge), cut))
+    return replaced(text, found, lambda n: F.lit(PLACEHOLDER))
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with secrets replaced in text, and n_chars (if there) counted anew where the text changed."""
-    found = spans(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), "_text")
-    found = found.withColumn("_all", F.sort_array(F.concat("base", "added"))).withColumn("_new", redact(F.col("_text"), F.col("_all")))
+    found = spans(docs).withColumn("_all", F.sort_array(F.concat("base", "added"))).withColumn("_new", redact(F.col("_text"), F.col("_all")))
     cols = []
     for f in docs.schema.fields:
         c = F.col("_row")[f.name]
         if f.name == "text":
-            c = F.col("_new")
+            c = F.when(F.size("_all") > 0, F.col("_new")).otherwise(c)
         elif f.name == "n_chars":
             c = F.when(F.size("_all") > 0, F.length("_new").cast(f.dataType)).otherwise(c)
         cols.append(c.alias(f.name))
@@ -183,4 +240,4 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
-    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.sort_array(F.concat("base", "added"))).alias("spans"))
+    return found.select("_row.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.sort_array(F.concat("base", "added"))).alias("spans"))
