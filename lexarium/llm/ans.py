@@ -1,19 +1,21 @@
 """Token-id files coded with static range asymmetric numeral systems.
 
-A segment holds whole documents in ascending order: one frequency table that its blocks share, then independent
-blocks of BLOCK ids. In a block, LANES coder states take turns (id k belongs to lane k mod LANES), and each state
-spills 32-bit words into one stream, so both directions work on whole vectors. The directory lists each block's
+A file is a segment. It holds whole documents in ascending order: one frequency table that its blocks share, then
+independent blocks of BLOCK ids. In a block, LANES coder states take turns (id k belongs to lane k mod LANES), and each
+state spills 32-bit words into one stream, so both directions work on whole vectors. The directory lists each block's
 offset in the payload and the checksum of its ids: the checkpoints from which blocks can be decoded alone or in
 parallel.
 
-Layout, little-endian: magic "LXA1", u32 header length, header (zlib: u32 counts of documents, ids, symbols, blocks;
-symbols u32; frequencies u32; block offsets u64, one more than blocks; block CRCs u32; document lengths u32), then
-the payload, by block: states u64 x LANES, words u32.
+Layout, little-endian: magic "LXA2", u32 header length, header (zlib: u32 part, u32 segment, u32 counts of documents,
+ids, symbols, blocks; symbols u32; frequencies u32; block offsets u64, one more than blocks; block CRCs u32; document
+lengths u32; doc_ids i64), then the payload, by block: states u64 x LANES, words u32; last a line feed.
 
-`encode_documents` range-partitions by doc_id, encodes each partition's segments as they fill and writes them with
-Spark, so files go wherever Spark can write. Segments are bounded by SEGMENT_IDS and the longest document. Cases: a
-null or empty text is its end id alone; null doc_ids come first; repeated rows stay, one after the other; an empty
-table gives no segment.
+`encode_documents` range-partitions by doc_id and encodes each partition's segments as they fill; `write_files` lets
+Spark's text writer put each segment's bytes into a file of its own, wherever Spark can write, with Spark's commit
+protocol if a task is lost; `read_files` reads them as binary files. Segments are bounded by SEGMENT_IDS and the longest
+document. Order and ties: null doc_ids come first; rows with the same doc_id go by the hash of their text, then by text,
+and are split between partitions where many share one. A null or empty text is its end id alone; repeated rows stay, one
+after the other; an empty table gives no segment; other columns are left out.
 """
 
 from __future__ import annotations
@@ -25,19 +27,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, scratch
 from .tokens import default_path, encoder
 
-MAGIC = b"LXA1"
+MAGIC = b"LXA2"
 SCALE = 18  # the frequencies of a segment add up to 2^SCALE, more than any vocabulary here
-BLOCK, LANES = 1 << 17, 1 << 10
+BLOCK, LANES = 1 << 19, 1 << 12
 LOW = np.uint64(1 << 31)
 END_ID = 0
 SEGMENT_IDS = 1 << 22
-SEGMENTS = "part int, segment int, n_ids bigint, doc_ids binary, data binary"
+NO_ID = -(1 << 63)  # stands for a null doc_id
+SEGMENTS = "part int, segment int, data binary"
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -107,18 +110,22 @@ def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbols, places[ids], counts[symbols]
 
 
-def encode_segment(docs: list[np.ndarray]) -> bytes:
-    """docs: each one's ids, none empty."""
+def encode_segment(docs: list[np.ndarray], doc_ids: list[int] | None = None, part: int = 0, segment: int = 0) -> bytes:
+    """docs: each one's ids, none empty; doc_ids: 0, 1, ... if not given."""
     ids = np.concatenate(docs).astype(np.uint32)
     symbols, index, counts = distinct(ids)
     if len(symbols) > 1 << SCALE:
         raise ValueError(f"more than {1 << SCALE} symbols")
     freq = scaled(counts).astype(np.uint64)
     start = np.cumsum(freq) - freq
-    blocks = [encode_block(index[k : k + BLOCK], freq, start) for k in range(0, len(ids), BLOCK)]
-    crcs = np.array([zlib.crc32(ids[k : k + BLOCK].astype("<u4").tobytes()) for k in range(0, len(ids), BLOCK)], dtype="<u4")
-    offsets = np.cumsum([0] + [len(b) for b in blocks]).astype("<u8")
-    header = struct.pack("<4I", len(docs), len(ids), len(symbols), len(blocks)) + symbols.astype("<u4").tobytes() + freq.astype("<u4").tobytes() + offsets.tobytes() + crcs.tobytes() + np.array([len(d) for d in docs], dtype="<u4").tobytes()
+    begins = range(0, len(ids), BLOCK)
+    blocks = [encode_block(index[k : k + BLOCK], freq, start) for k in begins]
+    arrays = [
+        symbols.astype("<u4"), freq.astype("<u4"), np.cumsum([0] + [len(b) for b in blocks]).astype("<u8"),
+        np.array([zlib.crc32(ids[k : k + BLOCK].astype("<u4").tobytes()) for k in begins], dtype="<u4"),
+        np.array([len(d) for d in docs], dtype="<u4"), np.array(range(len(docs)) if doc_ids is None else doc_ids, dtype="<i8"),
+    ]
+    header = struct.pack("<6I", part, segment, len(docs), len(ids), len(symbols), len(blocks)) + b"".join(a.tobytes() for a in arrays)
     packed = zlib.compress(header, 6)
     return MAGIC + struct.pack("<I", len(packed)) + packed + b"".join(blocks)
 
@@ -131,13 +138,13 @@ class Segment:
             raise ValueError("not a token-id segment")
         (n,) = struct.unpack_from("<I", data, 4)
         header = zlib.decompress(data[8 : 8 + n])
-        n_docs, self.n_ids, k, n_blocks = struct.unpack_from("<4I", header)
-        at = 16
+        self.part, self.segment, n_docs, self.n_ids, k, n_blocks = struct.unpack_from("<6I", header)
+        at = 24
         parts = []
-        for count, kind in ((k, "<u4"), (k, "<u4"), (n_blocks + 1, "<u8"), (n_blocks, "<u4"), (n_docs, "<u4")):
+        for count, kind in ((k, "<u4"), (k, "<u4"), (n_blocks + 1, "<u8"), (n_blocks, "<u4"), (n_docs, "<u4"), (n_docs, "<i8")):
             parts.append(np.frombuffer(header, kind, count, at))
             at += parts[-1].nbytes
-        self.symbols, freq, self.offsets, self.crcs, self.lengths = parts
+        self.symbols, freq, self.offsets, self.crcs, self.lengths, self.doc_ids = parts
         self.freq = freq.astype(np.uint64)
         self.start = np.cumsum(self.freq) - self.freq
         self.slots = np.repeat(np.arange(k, dtype=np.int32), freq)
@@ -156,59 +163,70 @@ class Segment:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """SEGMENTS rows: by part, then segment, the documents are in ascending doc_id order. doc_ids: i64 each, with a null as the least i64."""
+    """SEGMENTS rows: by part, then segment, the documents are in order."""
     path = tokenizer or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, part, number = encoder(path), TaskContext.get().partitionId(), 0
         ids, docs, total = [], [], 0
         end = end_id.to_bytes(4, "little")
-        schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("data", pa.binary())])
 
         def flush():
             nonlocal ids, docs, total, number
-            row = [[part], [number], [total], [np.array(docs, dtype="<i8").tobytes()], [encode_segment(ids)]]
+            data = encode_segment(ids, docs, part, number)
             ids, docs, total, number = [], [], 0, number + 1
-            return pa.record_batch([pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([number - 1], pa.int32()), pa.array([data], pa.binary())], names=["part", "segment", "data"])
 
         for batch in batches:
             for doc, coded in zip(batch.column(0).to_pylist(), e.encode_all(t.as_py() for t in batch.column(1)), strict=True):
                 ids.append(np.frombuffer(coded + end, dtype="<u4"))
-                docs.append(-(1 << 63) if doc is None else doc)
+                docs.append(NO_ID if doc is None else doc)
                 total += len(ids[-1])
                 if total >= SEGMENT_IDS:
                     yield flush()
         if docs:
             yield flush()
 
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(run, SEGMENTS)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    return slim.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").mapInArrow(run, SEGMENTS)
 
 
-def decode_documents(segments: DataFrame) -> DataFrame:
-    """doc_id, part, segment, before (ids of the segment's earlier documents), n_tokens, ids_crc32, in the segments' order."""
-    schema = "doc_id bigint, part int, segment int, before bigint, n_tokens bigint, ids_crc32 bigint"
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+def write_files(segments: DataFrame, path: str) -> None:
+    """One file a segment in the folder: the bytes as they are, and the line feed that ends a file."""
+    segments.select(F.col("data").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                part, segment, _, doc_ids, data = (batch.column(j)[k].as_py() for j in range(5))
-                docs, before, rows = np.frombuffer(doc_ids, "<i8").tolist(), 0, []
-                for doc, ids in zip(docs, Segment(data).documents(), strict=True):
-                    rows.append((None if doc == -(1 << 63) else doc, part, segment, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    before += len(ids)
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return segments.select("part", "segment", "n_ids", "doc_ids", "data").mapInArrow(run, schema)
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """A row (data) for each file of the folder."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.col("content").alias("data"))
 
 
-def with_starts(decoded: DataFrame, segments: DataFrame) -> DataFrame:
-    """decoded plus start, the number of ids before the document in the whole collection: sums by segment within a part, then over the parts (one row for each)."""
-    from pyspark.sql import Window
+def decode_documents(files: DataFrame) -> DataFrame:
+    """doc_id, part, segment, before (ids of the segment's earlier documents), n_tokens, ids_crc32 from rows with data."""
+    schema = "doc_id bigint, part int, segment int, before bigint, n_tokens bigint, ids_crc32 bigint"
 
-    seg = segments.select("part", "segment", "n_ids")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                if not (raw := data.as_py()):  # an empty partition's file
+                    continue
+                s = Segment(raw)
+                crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in s.documents()]
+                lengths, n = s.lengths.astype(np.int64), len(s.lengths)
+                cols = [
+                    pa.array(s.doc_ids, pa.int64(), mask=s.doc_ids == NO_ID), pa.array(np.full(n, s.part), pa.int32()), pa.array(np.full(n, s.segment), pa.int32()),
+                    pa.array(np.cumsum(lengths) - lengths), pa.array(lengths), pa.array(crcs, pa.int64()),
+                ]
+                yield pa.record_batch(cols, names=[x.split()[0] for x in schema.split(", ")])
+
+    return files.select("data").mapInArrow(run, schema)
+
+
+def with_starts(decoded: DataFrame) -> DataFrame:
+    """decoded plus start, the number of ids before the document in the whole collection: sums by segment within a part, then over the parts (one row for each)."""
+    seg = decoded.groupBy("part", "segment").agg(F.sum("n_tokens").alias("n_ids"))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     inside = seg.withColumn("_in", F.coalesce(F.sum("n_ids").over(earlier(Window.partitionBy("part").orderBy("segment"))), F.lit(0)))
     parts = seg.groupBy("part").agg(F.sum("n_ids").alias("_n"))
@@ -218,6 +236,7 @@ def with_starts(decoded: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def op5_ans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = materialize(encode_documents(read_table(spark, sf_dir, "documents")), "ans")
-    out = with_starts(decode_documents(segments), segments)
+    path = scratch(spark, "ans")
+    write_files(encode_documents(read_table(spark, sf_dir, "documents")), path)
+    out = with_starts(materialize(decode_documents(read_files(spark, path)), "decoded"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", "part", "segment")

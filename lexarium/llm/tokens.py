@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -13,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from .common import trim, works_as
+
 TOKENIZER = "byte_bpe_50k.json"
 #: A text falls into units at single spaces between characters that aren't white space: no pre-token crosses there.
 _SPACES = [c for c in map(chr, range(1 << 14)) if c.isspace() and c != " "]
@@ -126,6 +129,7 @@ class Encoder:
             if size >= CHUNK:
                 yield from self._encode_chunk(waiting)
                 waiting, size = [], 0
+                trim()
         if waiting:
             yield from self._encode_chunk(waiting)
 
@@ -134,7 +138,13 @@ class Encoder:
         cut = pc.split_pattern(pa.array([t for t, u in zip(texts, usual, strict=True) if u], pa.large_string()), " ")
         bounds = cut.offsets.to_numpy()
         coded = cut.flatten().dictionary_encode()
-        found = [self.units[u] for u in coded.dictionary.to_pylist()]
+        collects = gc.isenabled()
+        gc.disable()  # the many small objects made here hold no cycles
+        try:
+            found = [self.units[u] for u in coded.dictionary.to_pylist()]
+        finally:
+            if collects:
+                gc.enable()
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         begins, which = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
         lengths = sizes[which]
@@ -155,6 +165,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
+    works_as("tokens", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Encoder(path)
     return _loaded[path]
