@@ -18,6 +18,22 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running_sum(values: Column, block: int = 128) -> Column:
+    """array<int> of inclusive running sums: within blocks, then over the blocks, so that long arrays don't cost the square of their length."""
+
+    def scan(a: Column) -> Column:
+        return F.aggregate(a, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array((x + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))).cast("int"))))
+
+    def joined(blocks: Column) -> Column:
+        tops = scan(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return let(tops, lambda t: F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda x: x + F.coalesce(F.get(t, k - 1), F.lit(0))))))
+
+    def parts(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda k: scan(F.slice(a, k * block + 1, F.lit(block))))
+
+    return let(values, lambda a: F.when(F.size(a) <= block, scan(a)).otherwise(let(parts(a), joined)))
+
+
 def lemma_stub(word: Column | str) -> Column:
     """Stand-in lemma: lower case without leading and trailing characters that are neither letters nor numbers."""
     return F.lower(F.regexp_replace(_col(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.functions.text import extract_tags, let, native_template, paired_tags, remap_tag, strip_tags
+from lexarium.functions.text import extract_tags, let, native_template, paired_tags, remap_tag, running_sum, strip_tags
 
 #: Tags by mode, their columns, and which tag stands for which in the replacement.
 MODES = {
@@ -199,19 +199,20 @@ def known_columns(sheet: DataFrame, order: list[str] | None = None) -> DataFrame
 
 def inline_spans(text: Column) -> Column:
     """array<struct<prefix, num, content, start, end>>: tagged spans with offsets into the text without tags."""
-    raw = F.regexp_extract_all(text, F.lit(r"(?s)<([A-Z]+)(\d+)>(.*?)</\1\2>"), 0)
-    before = F.split(text, r"(?s)<([A-Z]+)(\d+)>.*?</\1\2>", -1)
-    inner = F.transform(raw, lambda s: F.regexp_extract(s, r"(?s)^<[A-Z]+\d+>(.*)</[A-Z]+\d+>$", 1))
-    items = F.arrays_zip(F.slice(before, F.lit(1), F.size(raw)).alias("b"), raw.alias("r"), inner.alias("c"))
+    pattern = r"(?s)<([A-Z]+)(\d+)>(.*?)</\1\2>"
 
-    def fold(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["b"])
-        end = start + F.length(x["c"])
-        one = F.struct(F.regexp_extract(x["r"], "^<([A-Z]+)", 1).alias("prefix"), F.regexp_extract(x["r"], r"^<[A-Z]+(\d+)", 1).alias("num"), x["c"].alias("content"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def found(t: Column) -> Column:
+        part = lambda k: F.regexp_extract_all(t, F.lit(pattern), k)
+        items = F.arrays_zip(part(1).alias("p"), part(2).alias("n"), part(3).alias("c"), F.split(t, r"(?s)<([A-Z]+)(\d+)>.*?</\1\2>", -1).alias("b"))
+        return let(F.filter(items, lambda x: x["p"].isNotNull()), placed)  # the text after the last span has no partner
+
+    def placed(items: Column) -> Column:
+        ends = running_sum(F.transform(items, lambda x: F.length(x["b"]) + F.length(x["c"])))
+        one = lambda x, end: F.struct(x["p"].alias("prefix"), x["n"].alias("num"), x["c"].alias("content"), (end - F.length(x["c"])).alias("start"), end.alias("end"))
+        return let(ends, lambda e: F.transform(items, lambda x, i: one(x, F.get(e, i))))
 
     empty = F.array().cast("array<struct<prefix:string,num:string,content:string,start:int,end:int>>")
-    return F.aggregate(items, F.struct(F.lit(0).alias("at"), empty.alias("out")), fold)["out"]
+    return let(text, lambda t: F.when(t.contains("</"), found(t)).when(t.isNotNull(), empty))
 
 
 def concat_all(frames: list[DataFrame]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.functions.text import kwic, lemma_stub, let, row_hash, strip_tags
+from lexarium.functions.text import kwic, lemma_stub, let, row_hash, running_sum, strip_tags
 from lexarium.operators.annotation import inline_spans
 
 #: In the replacement, this tag answers the label's tag.
@@ -14,13 +14,16 @@ ANSWERS = {"L": "N", "CS": "CS", "NE": "NE"}
 
 def token_facts(rows: DataFrame, text: str, keys: list[str], lemma=lemma_stub) -> DataFrame:
     """keys, tok, surface, lemma_key, prefix, tag_id: every whitespace-separated word of the text without tags, labelled by the span that covers its first character, else "o"."""
-    plain, spans = strip_tags(F.col(f"`{text}`")), inline_spans(F.col(f"`{text}`"))
-    df = rows.select(*keys, F.split(plain, " ").alias("_w"), spans.alias("_s"))
-    start = lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(w.alias("w"), acc["at"].alias("p")))).alias("out"))
-    placed = F.aggregate("_w", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<w:string,p:int>>").alias("out")), start)["out"]
-    df = df.select(*keys, "_s", F.posexplode(F.filter(placed, lambda x: x["w"] != "")).alias("tok", "_x"))
-    over = F.get(F.filter("_s", lambda s: (s["start"] <= F.col("_x.p")) & (F.col("_x.p") < s["end"])), F.lit(0))
-    return df.select(*keys, "tok", F.col("_x.w").alias("surface"), lemma(F.col("_x.w")).alias("lemma_key"), F.coalesce(over["prefix"], F.lit("o")).alias("prefix"), F.concat(over["prefix"], over["num"]).alias("tag_id"))
+    # An array of words with the spans over them is made first: everything about a row is worked out once.
+    def words(ws: Column, spans: Column) -> Column:
+        starts = running_sum(F.transform(ws, lambda w: F.length(w) + 1))
+        over = lambda at: F.get(F.filter(spans, lambda s: (s["start"] <= at) & (at < s["end"])), F.lit(0))
+        one = lambda w, at: F.struct(w.alias("w"), over(at).alias("s"))
+        return let(starts, lambda e: F.filter(F.transform(ws, lambda w, i: one(w, F.get(e, i) - F.length(w) - 1)), lambda x: x["w"] != ""))
+
+    labelled = let(F.col(f"`{text}`"), lambda t: let(F.split(strip_tags(t), " "), lambda ws: let(inline_spans(t), lambda spans: words(ws, spans))))
+    df = rows.select(*keys, F.posexplode(labelled).alias("tok", "_x"))
+    return df.select(*keys, "tok", F.col("_x.w").alias("surface"), lemma(F.col("_x.w")).alias("lemma_key"), F.coalesce("_x.s.prefix", F.lit("o")).alias("prefix"), F.concat("_x.s.prefix", "_x.s.num").alias("tag_id"))
 
 
 def _joined_lemma(content: Column) -> Column:

@@ -107,14 +107,17 @@ def tag_loanwords(tokens: Column, lemmas: list[str], primary: str | None = None)
 
 def valid_spans(labels: Column) -> Column:
     """array<struct<start, end, type>> of strict BIO spans: a span opens at B- and goes on over I- of its type."""
+    kind = lambda x: F.substring(x, 3, 1 << 20)
 
-    def step(acc: Column, x: Column) -> Column:
-        label, i = x["l"], x["i"]
-        last = F.get(acc, F.size(acc) - 1)
-        kind = F.substring(label, 3, 1 << 20)
-        fresh = F.concat(acc, F.array(F.struct(i.alias("start"), (i + 1).alias("end"), kind.alias("type"))))
-        more = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), (i + 1).alias("end"), last["type"].alias("type"))))
-        return F.when(label.startswith("B-"), fresh).when(label.startswith("I-") & (F.size(acc) > 0) & (last["end"] == i) & (last["type"] == kind), more).otherwise(acc)
+    def spans(ls: Column) -> Column:
+        # A label that doesn't go on from the one before begins a stretch; stretches that begin with B- are spans.
+        goes_on = lambda x, i: x.startswith("I-") & F.coalesce(F.get(ls, i - 1) != "O", F.lit(False)) & F.coalesce(kind(F.get(ls, i - 1)) == kind(x), F.lit(False))
+        heads = F.filter(F.transform(ls, lambda x, i: F.when(goes_on(x, i), -1).otherwise(i)), lambda i: i >= 0)
+
+        def stretches(h: Column) -> Column:
+            one = lambda i, k: F.struct(i.alias("start"), F.coalesce(F.get(h, k + 1), F.size(ls)).alias("end"), kind(F.get(ls, i)).alias("type"))
+            return F.filter(F.transform(h, one), lambda x: F.get(ls, x["start"]).startswith("B-"))
+
+        return let(heads, stretches)
 
-    indexed = F.transform(labels, lambda x, i: F.struct(F.coalesce(x, F.lit("O")).alias("l"), i.alias("i")))
-    return F.aggregate(indexed, F.array().cast("array<struct<start:int,end:int,type:string>>"), step)
+    return let(F.transform(labels, lambda x: F.coalesce(x, F.lit("O"))), spans)

@@ -387,8 +387,7 @@ def _tagged_word(w: Column, i: Column, loan: str, native: bool) -> Column:
 
 def sheet(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, line, file and the sheet's columns, from every sentence."""
-    docs = read_table(spark, d, "documents")
-    s = document_sentences(docs).join(docs.select("doc_id", F.col("source").alias("file")), "doc_id").where("size(words) > 0")
+    s = document_sentences(read_table(spark, d, "documents").withColumnRenamed("source", "file"), ("file",)).where("size(words) > 0")
     make = lambda loan, native: F.array_join(F.transform("words", lambda w, i: _tagged_word(w, i, loan, native)), " ")
     valid = F.when(F.col("line") % 5 == 0, "").when(F.col("line") % 5 == 1, "-").otherwise("+")
     reason = F.when(F.col("line") % 5 == 1, F.when(F.col("line") % 2 == 0, "NE").otherwise("")).otherwise("")

@@ -21,10 +21,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def document_sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, line, words: the non-empty lines of documents, each with its non-empty space-separated pieces. Null texts have no lines."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "_text")).where("_text != ''")
-    return lines.select("doc_id", "line", F.array_remove(F.split("_text", " "), "").alias("words"))
+def document_sentences(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep's columns, line, words: the non-empty lines of documents, each with its non-empty space-separated pieces. Null texts have no lines."""
+    lines = docs.select("doc_id", *keep, F.posexplode(F.split("text", "\n")).alias("line", "_text")).where("_text != ''")
+    return lines.select("doc_id", *keep, "line", F.array_remove(F.split("_text", " "), "").alias("words"))
 
 
 def tokens_of(words: Column) -> Column:
