@@ -4,9 +4,8 @@ Training counts every word of every training document per language, and the n-gr
 words' counts. A word or n-gram is known if it was seen MIN_COUNT times in one language, whatever the corpus; all
 languages' counts of a known key are kept. The known keys are two written tables that prediction joins with.
 
-Only words with WORD_SHARE of their language's words (more beyond eight languages, so that words times languages are
-bounded) are sent to the executors as well. That cache saves most look-ups and changes no result: scores are sums of
-log frequencies in fixed point. All other words of the documents are looked up once each by a join, and, if they are
+The most frequent words, as many as make HELD values, are sent to the executors as well. That cache saves most look-ups
+and changes no result, whatever its size: scores are sums of log frequencies in fixed point. All other words of the documents are looked up once each by a join, and, if they are
 not known, their n-grams.
 
 A known word scores its log frequency in each language. Any other word is scored by its n-grams: those of five
@@ -21,6 +20,7 @@ one by one, repeated or not; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,14 +33,16 @@ from pyspark.sql import types as T
 from .common import double_array, let, materialize, read_table
 
 MIN_COUNT = 2
-WORD_SHARE = 2e-5
+HELD = 600_000  # counts in the broadcast: words times languages
 LONGEST = 5
 FLUSH = 200_000
 CACHE = 500_000
 SMOOTH = 0.5
 #: Log frequencies are whole multiples of 1 / SCALE, so that sums don't depend on their order.
 SCALE = 1 << 20
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Runs of letters: the pattern class of word characters less digits, underscore and the numerals that aren't digits, such as a half or a superscript.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORDS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 def text_words(text: str | None) -> list[str]:
@@ -100,6 +102,7 @@ class Model:
             sums[lang, len(g) if g[-1] != "\0" else 1] += n
         self.grams, gram_logs = self._table(parts, at, sums, lambda g: len(g) if g[-1] != "\0" else 1)
         self.logs = np.concatenate([word_logs, gram_logs])
+        self.fixed = np.rint(word_logs.astype(np.float64).reshape(-1, len(self.langs)) * SCALE).astype(np.int64) if self.langs else word_logs
 
     @staticmethod
     def _table(rows, at, sums, size):
@@ -172,11 +175,13 @@ def train(labelled: DataFrame) -> Model:
     sums = {0: [totals[x] for x in langs]} | {r[0]: r[1:] for r in sums.collect()}
     flat = double_array(1.0 + (sums[size][k] if size in sums else 0) for size in range(LONGEST + 1) for k in range(len(langs)))
     vec = lambda size: F.transform("counts", lambda n, k: F.round(F.log((n + SMOOTH) / F.get(flat, size * len(langs) + k)) * SCALE).cast("long")).alias("vec")
-    share = WORD_SHARE * max(1.0, len(langs) / 8) ** 2
-    least = double_array(max(MIN_COUNT, share * totals[x]) for x in langs)
-    frequent = words.where(F.exists(F.transform("counts", lambda n, k: n >= F.get(least, k)), lambda x: x)).toArrow()
-    held = [(x, key, n) for key, ns in zip(*(c.to_pylist() for c in frequent.columns), strict=True) for x, n in zip(langs, ns, strict=True) if n]
-    return Model(langs, held, [], totals, (words.select("key", vec(F.lit(0))), parts.select("key", vec(_size(F.col("key"))))))
+    often = double_array(1.0 / max(1, totals[x]) for x in langs)
+    frequent = words.orderBy(F.array_max(F.transform("counts", lambda n, k: n * F.get(often, k))).desc(), "key").limit(max(1, HELD // len(langs))).select("key", "counts", vec(F.lit(0))).toArrow()
+    keys, counts, fixed = (frequent.column(c).to_pylist() for c in ("key", "counts", "vec"))
+    held = [(x, key, n) for key, ns in zip(keys, counts, strict=True) for x, n in zip(langs, ns, strict=True) if n]
+    model = Model(langs, held, [], totals, (words.select("key", vec(F.lit(0))), parts.select("key", vec(_size(F.col("key"))))))
+    model.fixed = np.array(fixed, dtype=np.int64).reshape(len(keys), len(langs))
+    return model
 
 
 def _sum_vec(n_langs: int, weight: Column) -> list[Column]:
@@ -208,7 +213,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """keep's columns plus lang_pred and score; the prediction sees text alone."""
     n_langs = len(model.langs)
     given = docs.select(*[F.col(c).alias(c) for c in keep], F.col("text").alias("_text"))
-    sent = docs.sparkSession.sparkContext.broadcast((model.words, np.rint(model.logs.astype(np.float64).reshape(len(model.words), n_langs) * SCALE).astype(np.int64)))
+    sent = docs.sparkSession.sparkContext.broadcast((model.words, model.fixed))
     schema = T.StructType([*given.schema.fields[:-1], *T._parse_datatype_string("_any boolean, _sum array<bigint>, _rest array<struct<word:string,n:bigint>>").fields])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
