@@ -8,8 +8,12 @@ Two recordings vote for each offset at which an integer's upper BITS_EQUAL bits
 aligned by the offset, of those with MIN_OVERLAP frames in common, at which the least share of bits differs.
 
 The search compares every recording whose id is divisible by 20 with all recordings. Recordings with the same
-fingerprint are one class and are compared once; no key is dropped for being common. Cases: null, empty or too short audio has an empty fingerprint, matches nothing; repeated rows
-share a class; an empty table gives an empty result.
+fingerprint are one class and are compared once. No key is dropped for being common (silence, a held note): the classes
+of a key with more than HOT are dealt to several tasks, and each gets the key's queries.
+
+Cases: null, empty or too short audio has an empty fingerprint and matches nothing; a null id is never a query; repeated
+rows share a class; ties between matches go to the least bit error, then the least class; an empty table gives an empty
+result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, works_as
 
 RATE = 11025
 FRAME, HOP = 2048, 512
@@ -30,6 +34,7 @@ CLASSES, WIDTH = 12, 16
 BITS_EQUAL = 20
 MAX_BIT_ERROR = 0.1
 MIN_OVERLAP = WIDTH + 1
+HOT = 10_000
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -122,6 +127,15 @@ def extract(audio: DataFrame, id_col: str, media_col: str, rate: int = RATE, dec
     return audio.select(F.col(id_col).cast("bigint").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, "id bigint, n_frames bigint, fp array<bigint>")
 
 
+def candidates(entries: DataFrame) -> DataFrame:
+    """q, class_id, common: the distinct pairs of an asked class and another, with the number of hashes they share. From class_id, asked, hash, no row twice."""
+    hot = entries.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    dealt = entries.join(hot, "hash", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    asked = dealt.where("asked = 1").select(F.col("class_id").alias("q"), "hash", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    others = dealt.select("class_id", "hash", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int").alias("part"))
+    return asked.hint("merge").join(others.hint("merge"), ["hash", "part"]).where("q != class_id").groupBy("q", "class_id").agg(F.count("*").alias("common"))
+
+
 def search(prints: DataFrame, every: int = 20) -> DataFrame:
     """id, n_frames, class_id (least id with that fingerprint), n_matches (classes that align with this one, itself excluded; for a class with a query member, else null), best_id, best_offset, best_overlap, best_error.
 
@@ -132,9 +146,7 @@ def search(prints: DataFrame, every: int = 20) -> DataFrame:
     whole = prints.where("n_frames > 0").groupBy("fp").agg(F.min("id").alias("class_id"), F.max((F.pmod("id", F.lit(every)) == 0).cast("int")).alias("asked"))
     whole = materialize(whole, "classes")
     hashes = F.when(F.size("fp") >= MIN_OVERLAP, F.array_distinct(F.transform("fp", lambda x: F.shiftright(x, 32 - BITS_EQUAL))))
-    entries = whole.select("class_id", "asked", F.explode(hashes).alias("hash"))
-    pairs = entries.where("asked = 1").select(F.col("class_id").alias("q"), "hash").join(entries.select("class_id", "hash"), "hash").where("q != class_id")
-    pairs = pairs.groupBy("q", "class_id").agg(F.count("*").alias("common"))
+    pairs = candidates(whole.select("class_id", "asked", F.explode(hashes).alias("hash")))
     both = pairs.join(whole.select(F.col("class_id").alias("q"), F.col("fp").alias("fp_q")), "q").join(whole.select("class_id", F.col("fp").alias("fp_c")), "class_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
