@@ -3,9 +3,10 @@
 The token stream of a run of documents may be cut at document ends, sentence ends and, where a sentence is longer
 than a sequence, inside it. With f(j) the least cost of cutting the stream up to j,
 
-    f(j) = penalty(j) + min( min over i >= j - L of f(i) + L - (j - i),  min over k of f(j - 2^k) )
+    f(j) = penalty(j) + S + min( min over i >= j - L of f(i) + L - (j - i),  min over k of f(j - 2^k) )
 
-(a sequence whose length is a power of two isn't padded). The first minimum is one of f(i) + i over a sliding
+(a sequence whose length is a power of two isn't padded; S is what a sequence costs in itself, so that short ones don't
+win by that alone). The first minimum is one of f(i) + i over a sliding
 window, kept in a monotone queue, so each cut is pushed and popped once.
 
 Each input partition packs its documents on its own, in runs of at least RUN_TOKENS, so memory is bounded by a run
@@ -32,10 +33,12 @@ END_ID = 1
 RUN_TOKENS = 1 << 20
 #: Cost of a cut in padding tokens: at a document's end, at a sentence's end, within a sentence.
 PENALTIES = (0, 4, 64)
+#: Cost of a sequence in padding tokens.
+SEQUENCE_COST = 64
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def cuts(ends: list[int], soft: list[int] | np.ndarray, length: int = LENGTH, penalties: tuple[int, int, int] = PENALTIES) -> list[int]:
+def cuts(ends: list[int], soft: list[int] | np.ndarray, length: int = LENGTH, penalties: tuple[int, int, int] = PENALTIES, sequence_cost: int = SEQUENCE_COST) -> list[int]:
     """The cheapest cut positions of a stream, its end included. ends: document ends, increasing, the last the stream's length; soft: sentence ends."""
     price = np.full(ends[-1] + 1, -1, dtype=np.int64)
     price[soft] = penalties[1]
@@ -62,7 +65,7 @@ def cuts(ends: list[int], soft: list[int] | np.ndarray, length: int = LENGTH, pe
             if (c := cost[p - w]) < best:
                 best, start = c, p - w
             powers -= w
-        best += penalty
+        best += penalty + sequence_cost
         cost[p], back[p] = best, start
         while queue and queue[-1][0] >= best + p:
             queue.pop()
