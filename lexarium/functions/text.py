@@ -74,6 +74,7 @@ def byte_len(word: Column | str) -> Column:
     return F.when(is_clean_word(word), F.least(F.octet_length(_col(word)), F.lit(254)))
 
 
+#: Which tags a strip removes.
 STRIPS = {"pair": r"</?[LN]\d+>", "any_case": r"</?[A-Za-z]+\d+>", "upper": r"</?[A-Z]+\d+>", "markup": r"<[^>]+>"}
 
 
@@ -132,12 +133,51 @@ def restore_spans(text: Column | str, terms: Column) -> Column:
     return F.aggregate(indexed, _col(text), lambda acc, x: F.replace(acc, F.concat(F.lit("[[TERM_"), (x["i"] + 1).cast("string"), F.lit("]]")), x["s"]))
 
 
-def clean_reply(text: Column | str) -> Column:
-    """A model's reply without thinking blocks, code fences, a leading label or wrapping quotes."""
-    t = F.regexp_replace(_col(text), r"(?is)<think>.*?</think>", "")
-    t = F.regexp_replace(t, r"(?m)^```\w*\s*$", "")
-    t = F.trim(F.regexp_replace(t, r"(?is)^\s*(translation|answer|output)\s*:\s*", ""))
-    return F.regexp_replace(t, r'(?s)^"(.*)"$', "$1")
+#: Language names at which a translation model's output goes astray, and the two prompt formats.
+STRAY_LANGUAGES = ("Russian", "English", "German", "French", "Spanish", "Chinese", "Italian", "Portuguese", "Dutch", "Polish")
+PAIR_PROMPT = "Translate the following text from {src} into {tgt}.\n{src}: {text}\n{tgt}:"
+SYSTEM_PROMPT = (
+    "You are a professional translator from {src} to {tgt}. "
+    "Translate with strict word-for-word fidelity, preserving the original "
+    "sentence structure as closely as {tgt} grammar allows. "
+    "Do not paraphrase, summarize, or interpret. "
+    "Preserve adjectives, physical descriptors, and literary tone exactly as written. "
+    "The input may contain XML-like tags such as <CS1>, <NE1>, <L1>, etc. "
+    "These tags are structural markers — preserve them exactly as-is, in their "
+    "original positions, wrapping the same content. "
+    "Do NOT translate, remove, or alter any tag names or their content. "
+    "Output ONLY the translated text — no explanations, no quotes, no labels."
+)
+_STRAY = "(?:" + "|".join(STRAY_LANGUAGES) + ")"
+
+
+def strip_white(text: Column | str) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(_col(text), r"(?U)^\s+|\s+$", "")
+
+
+def clean_request(text: Column | str) -> Column:
+    """Text for a line-based prompt: cut at the first language label after white space, white space made single."""
+    cut = F.regexp_replace(_col(text), rf"(?isU)\s+{_STRAY}\s*:.*", "")
+    return strip_white(F.regexp_replace(cut, r"(?U)\s+", " "))
+
+
+def pair_prompt(text: Column | str, src: str, tgt: str) -> Column:
+    """The prompt of models that continue a pair of labelled lines."""
+    before, after = PAIR_PROMPT.format(src=src, tgt=tgt, text="\0").split("\0")
+    return F.concat(F.lit(before), clean_request(text), F.lit(after))
+
+
+def chat_messages(text: Column | str, src: str, tgt: str) -> Column:
+    """array<struct<role, content>>: the messages of chat models; their template is the model's own."""
+    one = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    return F.array(one("system", F.lit(SYSTEM_PROMPT.format(src=src, tgt=tgt))), one("user", _col(text)))
+
+
+def clean_reply(text: Column | str, pairs: bool = True) -> Column:
+    """A model's reply, stripped; with pairs, cut at the first new line that begins with a language label."""
+    t = F.regexp_replace(_col(text), rf"(?sU)\n\s*{_STRAY}\s*:.*", "") if pairs else _col(text)
+    return strip_white(t)
 
 
 def kwic(words: Column, at: Column, width: int, before: str = " ") -> Column:
@@ -147,10 +187,11 @@ def kwic(words: Column, at: Column, width: int, before: str = " ") -> Column:
 
 
 def byte_trace(word: Column | str) -> Column:
-    """array<struct<pos, byte, bits>> of the UTF-8 bytes."""
+    """array<struct<pos, byte, bits>> of the UTF-8 bytes; [] for an empty word."""
     hexed = F.hex(F.encode(_col(word), "UTF-8"))
     value = lambda i: F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.octet_length(_col(word)) - 1), lambda i: F.struct(i.alias("pos"), value(i).alias("byte"), F.lpad(F.bin(value(i)), 8, "0").alias("bits")))
+    places = F.filter(F.sequence(F.lit(0), F.octet_length(_col(word))), lambda i: i < F.octet_length(_col(word)))
+    return F.transform(places, lambda i: F.struct(i.alias("pos"), value(i).alias("byte"), F.lpad(F.bin(value(i)), 8, "0").alias("bits")))
 
 
 def exact_token_query(sentence: Column | str) -> Column:

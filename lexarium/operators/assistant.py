@@ -139,7 +139,19 @@ def similar_pairs(sets: DataFrame, key: str, items: str, threshold: float) -> Da
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
-    """node, cluster (least node reachable) by label spreading with shortcuts; each round is checkpointed to the shared folder."""
+    """node, cluster (least node reachable), similarity (to that anchor; 0 where the two are no pair) by label spreading with shortcuts; each round is checkpointed to the shared folder."""
     from lexarium.operators.graph import least_reachable
 
-    return least_reachable(pairs, "a", "b").withColumnRenamed("component", "cluster")
+    found = least_reachable(pairs, "a", "b").withColumnRenamed("component", "cluster")
+    direct = pairs.select(F.least("a", "b").alias("cluster"), F.greatest("a", "b").alias("node"), F.col("similarity").alias("_s"))
+    own = F.when(F.col("node") == F.col("cluster"), 1.0).otherwise(F.coalesce("_s", F.lit(0.0)))
+    return found.join(direct, ["node", "cluster"], "left").select("node", "cluster", own.alias("similarity"))
+
+
+def contradiction_contexts(tokens: DataFrame, rows: DataFrame, text: str, keys: list[str], width: int = 3) -> DataFrame:
+    """lemma_key, keys, tok, prefix, surface, context: every labelled place of a contradictory lemma with the words around it in its row's plain sentence."""
+    odd = contradictions(tokens).select("lemma_key")
+    plain = rows.select(*keys, F.filter(F.split(strip_tags(F.col(f"`{text}`")), " "), lambda w: w != "").alias("_w"))
+    # Token numbers count non-empty words, which are the plain sentence's items.
+    places = tokens.where("prefix != 'o'").join(odd, "lemma_key", "left_semi").join(plain, keys)
+    return places.select("lemma_key", *keys, "tok", "prefix", "surface", kwic(F.col("_w"), F.col("tok"), width).alias("context"))

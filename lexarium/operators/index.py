@@ -19,6 +19,38 @@ def length_stats(values: DataFrame, column: str) -> DataFrame:
     return values.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.var_samp(c).alias("var"), F.stddev_samp(c).alias("std"), F.median(c).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"))
 
 
+def ranged_stats(values: DataFrame, column: str) -> DataFrame:
+    """length_stats plus lo1, hi1, lo2, hi2: one and two standard deviations around the mean."""
+    at = lambda k: F.col("mean") + k * F.col("std")
+    return length_stats(values, column).select("*", at(-1).alias("lo1"), at(1).alias("hi1"), at(-2).alias("lo2"), at(2).alias("hi2"))
+
+
+def value_ranks(values: DataFrame, column: str, mu: float | None = None, sigma: float | None = None, percentile_of: float | None = None) -> DataFrame:
+    """One row: n (non-null), excluded (null), in_range and percent_in of mu - sigma to mu + sigma, and the percentage of values up to percentile_of; null for what isn't asked."""
+    c = F.col(column)
+    null = F.lit(None).cast("double")
+    n = F.count(c)
+    inside = F.count_if(c.between(mu - sigma, mu + sigma)) if mu is not None and sigma is not None else F.lit(None).cast("bigint")
+    upto = 100.0 * F.count_if(c <= percentile_of) / n if percentile_of is not None else null
+    return values.agg(n.alias("n"), F.count_if(c.isNull()).alias("excluded"), inside.alias("in_range"), (100.0 * inside / n).alias("percent_in"), upto.alias("percentile"))
+
+
+def sentence_tokens(index: DataFrame, arrays: list[str], spos: int | None = None, cpos: int | None = None, head: int = 16) -> DataFrame:
+    """spos, cpos, count, idx and the arrays' items of the first head tokens of one sentence, found by its number or by a position in it. index: spos, cpos, count and the arrays."""
+    if (spos is None) == (cpos is None):
+        raise ValueError("give either spos or cpos")
+    one = index.where(F.col("spos") == spos) if spos is not None else index.where((F.col("cpos") <= cpos) & (cpos < F.col("cpos") + F.col("count")))
+    zipped = F.slice(F.arrays_zip(*arrays), 1, head)
+    return one.select("spos", "cpos", "count", F.posexplode(zipped).alias("idx", "_x")).select("spos", "cpos", "count", "idx", *[F.col("_x")[a].alias(a) for a in arrays])
+
+
+def describe(index: DataFrame) -> DataFrame:
+    """name, type, n (non-null values) of the index's columns: one scan."""
+    counts = index.agg(*[F.count(F.col(f"`{f.name}`")).alias(f.name) for f in index.schema.fields])
+    rows = F.array(*[F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"`{f.name}`").alias("n")) for f in index.schema.fields])
+    return counts.select(F.explode(rows).alias("x")).select("x.*")
+
+
 def histogram(values: DataFrame, column: str, bins: int) -> DataFrame:
     """bin, lower, upper, n over equal widths between least and greatest value; the last bin holds its upper edge; empty bins are listed. Nulls don't count."""
     c = F.col(column).cast("double")
@@ -67,17 +99,30 @@ def locate_positions(points: DataFrame, sentences: DataFrame, cpos: str = "cpos"
 
 
 def validate_index(index: DataFrame, block_keys: int = 4096) -> DataFrame:
-    """rule, spos, detail: rows whose cpos overlaps the sentence before, and gaps or repeats in spos. Neighbours come from blocks of spos, with the block before's last row at the edge."""
+    """rule, spos, detail: rows whose cpos overlaps the sentence before, and gaps or repeats in spos. Neighbours come from blocks of spos, a block's first row finds its neighbour among the last rows of blocks, and those in blocks of blocks."""
+    row = F.struct("spos", "cpos", "count")
     df = index.withColumn("_b", F.floor(F.col("spos") / block_keys))
-    order = Window.partitionBy("_b").orderBy("spos", "cpos")
-    last = df.groupBy("_b").agg(F.max(F.struct("spos", "cpos", "count")).alias("_edge"))
-    last = last.select("_b", F.lag("_edge").over(Window.orderBy("_b")).alias("_edge"))
-    df = df.withColumn("_prev", F.lag(F.struct("spos", "cpos", "count")).over(order)).join(last, "_b").withColumn("_prev", F.coalesce("_prev", "_edge"))
+    last = df.groupBy("_b").agg(F.max(row).alias("_edge")).withColumn("_c", F.floor(F.col("_b") / block_keys))
+    far = last.groupBy("_c").agg(F.max("_edge").alias("_e"))
+    far = far.select("_c", F.lag("_e").over(Window.orderBy("_c")).alias("_far"))
+    near = F.lag("_edge").over(Window.partitionBy("_c").orderBy("_b"))
+    last = last.withColumn("_near", near).join(far, "_c").select("_b", F.coalesce("_near", "_far").alias("_edge"))
+    own = F.lag(row).over(Window.partitionBy("_b").orderBy("spos", "cpos"))
+    df = df.withColumn("_prev", own).join(last, "_b").withColumn("_prev", F.coalesce("_prev", "_edge"))
     gap = df.where("spos != _prev.spos + 1").select(F.lit("spos_step").alias("rule"), "spos", F.col("spos").cast("long") - F.col("_prev.spos"))
     over = df.where("cpos < _prev.cpos + _prev.count").select(F.lit("cpos_overlap").alias("rule"), "spos", F.col("_prev.cpos") + F.col("_prev.count") - F.col("cpos"))
     return gap.union(over).toDF("rule", "spos", "detail")
 
 
+def validate_totals(index: DataFrame, n_tokens: int, n_sentences: int | None = None) -> DataFrame:
+    """rule, expected, found: the counts' sum against the stored tokens, and the number of sentences."""
+    found = index.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("t"), F.count("*").alias("s"))
+    checks = [F.struct(F.lit("token_total").alias("rule"), F.lit(n_tokens).cast("long").alias("expected"), F.col("t").alias("found"))]
+    if n_sentences is not None:
+        checks.append(F.struct(F.lit("sentence_total").alias("rule"), F.lit(n_sentences).cast("long").alias("expected"), F.col("s").alias("found")))
+    return found.select(F.explode(F.array(*checks)).alias("x")).select("x.*").where("expected != found")
+
+
 def first_divergence(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: the least spos at which cpos or count differ or one index has no row, null if none."""
     x, y = (d.select("spos", F.col("cpos").alias(f"c{k}"), F.col("count").alias(f"n{k}")) for k, d in enumerate((a, b)))
@@ -85,6 +130,16 @@ def first_divergence(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "spos", "full").where(differ).agg(F.min("spos").alias("spos"))
 
 
-def aligned(a: DataFrame, b: DataFrame) -> Column | bool:
-    """Whether two indices have the same number of sentences."""
-    return a.count() == b.count()
+def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a's rows with b's other columns, by spos; indices that differ anywhere in their sentences' places or lengths are an error that names the first."""
+    at = first_divergence(a, b).first()[0]
+    if at is not None:
+        raise ValueError(f"the indices differ from sentence {at} on")
+    return a.join(b.drop("cpos", "count"), "spos")
+
+
+def fetch_sentences(sentences: DataFrame, wanted: DataFrame, by: str = "spos") -> DataFrame:
+    """wanted's rows (with column `by`, a sentence's number or a position in it) with the sentence's columns; numbers that aren't there give none."""
+    if by == "spos":
+        return wanted.join(sentences, "spos")
+    return locate_positions(wanted, sentences, by).where("spos >= 0").join(sentences.drop(by), "spos")

@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from lexarium.functions.text import let
 
 
-def runs(flags: Column) -> Column:
-    """array<struct<start, length>> of the maximal runs of true in array<boolean>, from left to right."""
+def key_runs(keys: Column) -> Column:
+    """array<struct<start, end, key>>: maximal runs of equal keys from left to right; a null key is a run of its own."""
+
+    def found(ks: Column) -> Column:
+        heads = F.filter(F.transform(ks, lambda k, i: F.when(F.coalesce(F.get(ks, i - 1) == k, F.lit(False)), -1).otherwise(i)), lambda i: i >= 0)
+        return let(heads, lambda h: F.transform(h, lambda i, n: F.struct(i.alias("start"), F.coalesce(F.get(h, n + 1), F.size(ks)).alias("end"), F.get(ks, i).alias("key"))))
 
-    def step(acc: Column, x: Column, i: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), (last["length"] + 1).alias("length"))))
-        fresh = F.concat(acc, F.array(F.struct(i.alias("start"), F.lit(1).alias("length"))))
-        return F.when(~x, acc).when((F.size(acc) > 0) & (last["start"] + last["length"] == i), grown).otherwise(fresh)
+    return let(keys, found)
 
-    indexed = F.transform(flags, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    return F.aggregate(indexed, F.array().cast("array<struct<start:int,length:int>>"), lambda acc, y: step(acc, y["x"], y["i"]))
+
+def runs(flags: Column) -> Column:
+    """array<struct<start, length>> of the maximal runs of true in array<boolean>, from left to right."""
+    return F.transform(F.filter(key_runs(flags), lambda r: r["key"]), lambda r: F.struct(r["start"].alias("start"), (r["end"] - r["start"]).alias("length")))
 
 
 def best_runs(index: DataFrame, scores: str, threshold: float, min_len: int = 2, max_len: int | None = None, key: str = "spos", block_keys: int = 4096) -> DataFrame:
@@ -36,8 +38,14 @@ def best_runs(index: DataFrame, scores: str, threshold: float, min_len: int = 2,
     order = Window.partitionBy("_b").orderBy(key)
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     blocks = df.groupBy("_b").agg(F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col(key))).alias("_bl"), F.min_by("_first", F.when(F.col("_first").isNotNull(), F.col(key))).alias("_bf"))
-    edge = Window.orderBy("_b")
-    blocks = blocks.select("_b", F.last("_bl", True).over(edge.rowsBetween(Window.unboundedPreceding, -1)).alias("_pb"), F.first("_bf", True).over(edge.rowsBetween(1, Window.unboundedFollowing)).alias("_nb"))
+    # Blocks look among the blocks of their group, groups among each other (one row for some 17 million keys).
+    blocks = blocks.withColumn("_g", F.floor(F.col("_b") / block_keys))
+    groups = blocks.groupBy("_g").agg(F.max_by("_bl", F.when(F.col("_bl").isNotNull(), F.col("_b"))).alias("_gl"), F.min_by("_bf", F.when(F.col("_bf").isNotNull(), F.col("_b"))).alias("_gf"))
+    looking = lambda last, first, w: (F.last(last, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first(first, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    far = looking("_gl", "_gf", Window.orderBy("_g"))
+    near = looking("_bl", "_bf", Window.partitionBy("_g").orderBy("_b"))
+    blocks = blocks.select("_b", "_g", near[0].alias("_p1"), near[1].alias("_n1")).join(groups.select("_g", far[0].alias("_p2"), far[1].alias("_n2")), "_g")
+    blocks = blocks.select("_b", F.coalesce("_p1", "_p2").alias("_pb"), F.coalesce("_n1", "_n2").alias("_nb"))
     df = df.withColumn("_p", F.last("_last", True).over(before)).withColumn("_n", F.first("_first", True).over(after)).join(blocks, "_b")
     prev_on, next_on = F.coalesce("_p", "_pb", F.lit(False)), F.coalesce("_n", "_nb", F.lit(False))
     df = df.withColumn("_prev", prev_on).withColumn("_next", next_on)
@@ -48,25 +56,34 @@ def best_runs(index: DataFrame, scores: str, threshold: float, min_len: int = 2,
     return df.where("_best is not null").select(*own, (-F.col("_best.s")).alias("run_start"), F.col("_best.length").alias("run_length"))
 
 
-def tag_runs(words: Column, keys: Column, prefix: Column | None = None) -> Column:
-    """Words joined by spaces, each maximal run of equal non-null keys within <Pk>...</Pk>; P is prefix(key) or the key itself, k counts from 1 per P."""
-    items = F.transform(F.arrays_zip(words.alias("w"), keys.alias("k")), lambda x: F.struct(x["w"].alias("w"), x["k"].alias("k")))
+def _numbered(keys: Column) -> Column:
+    """key_runs with tag: the key up to a colon and a number from 1 for each such name; null for a null key."""
+    name = lambda k: F.substring_index(k, ":", 1)
+
+    def tagged(rs: Column) -> Column:
+        number = lambda r, j: F.size(F.filter(F.slice(rs, F.lit(1), j + 1), lambda y: name(y["key"]) == name(r["key"])))
+        return F.transform(rs, lambda r, j: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["key"].alias("key"), F.concat(name(r["key"]), number(r, j).cast("string")).alias("tag")))
+
+    return let(key_runs(keys), tagged)
+
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.concat(last["w"], F.lit(" "), x["w"]).alias("w"), last["k"].alias("k"))))
-        return F.when((F.size(acc) > 0) & x["k"].isNotNull() & (last["k"] == x["k"]), joined).otherwise(F.concat(acc, F.array(x)))
+def tag_runs(words: Column, keys: Column) -> Column:
+    """Words joined by spaces, each maximal run of equal non-null keys within <Pk>...</Pk>; P is the key up to a colon, k counts from 1 for each P."""
+    part = lambda ws, r: F.array_join(F.slice(ws, r["start"] + 1, r["end"] - r["start"]), " ")
+    render = lambda ws, r: F.when(r["tag"].isNull(), part(ws, r)).otherwise(F.concat(F.lit("<"), r["tag"], F.lit(">"), part(ws, r), F.lit("</"), r["tag"], F.lit(">")))
+    return let(words, lambda ws: F.array_join(F.transform(_numbered(keys), lambda r: render(ws, r)), " "))
 
-    groups = F.aggregate(items, F.array().cast("array<struct<w:string,k:string>>"), step)
 
-    def render(g: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            number = F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda y: y["k"] == x["k"])).cast("string")
-            return F.when(x["k"].isNull(), x["w"]).otherwise(F.concat(F.lit("<"), x["k"], number, F.lit(">"), x["w"], F.lit("</"), x["k"], number, F.lit(">")))
+def tag_map(keys: Column, texts: dict[str, Column]) -> Column:
+    """map<tag, text> of the runs that tag_runs() tags; texts: for each name P the array whose items are joined."""
 
-        return F.array_join(F.transform(g, one), " ")
+    def text(r: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, items in texts.items():
+            out = F.when(F.substring_index(r["key"], ":", 1) == name, F.array_join(F.slice(items, r["start"] + 1, r["end"] - r["start"]), " ")).otherwise(out)
+        return out
 
-    return let(groups, render)
+    return F.map_from_entries(F.transform(F.filter(_numbered(keys), lambda r: r["tag"].isNotNull()), lambda r: F.struct(r["tag"], text(r))))
 
 
 def entity_types(labels: Column, wanted: list[str] | None = None, ignored: list[str] = ()) -> Column:
@@ -79,11 +96,29 @@ def entity_types(labels: Column, wanted: list[str] | None = None, ignored: list[
     return F.transform(labels, kind)
 
 
+def switch_keys(in_run: Column, labels: Column | None = None, ignored: list[str] = ()) -> Column:
+    """Per token CS where it is flagged, NE:type for an entity outside, else null; without labels only CS."""
+    if labels is None:
+        return F.transform(in_run, lambda r: F.when(r, "CS"))
+    return F.transform(F.arrays_zip(in_run.alias("r"), entity_types(labels, None, ignored).alias("k")), lambda x: F.when(x["r"], "CS").when(x["r"].isNotNull() & x["k"].isNotNull(), F.concat(F.lit("NE:"), x["k"])))
+
+
 def tag_switch_and_entities(words: Column, in_run: Column, labels: Column | None = None, ignored: list[str] = ()) -> Column:
-    """CS tags around the flagged tokens, NE tags around entities outside them; without labels only CS."""
-    kinds = F.transform(words, lambda w: F.lit(None).cast("string")) if labels is None else entity_types(labels, None, ignored)
-    keys = F.transform(F.arrays_zip(in_run.alias("r"), kinds.alias("k")), lambda x: F.when(x["r"], "CS").when(x["k"].isNotNull(), F.lit("NE")))
-    return tag_runs(words, keys)
+    """CS tags around the flagged tokens, NE tags around entities outside them; neighbours of one type share a tag."""
+    return tag_runs(words, switch_keys(in_run, labels, ignored))
+
+
+def entity_keys(labels: Column, wanted: list[str], ignored: list[str] = ()) -> Column:
+    """Per token NE:type for a wanted entity, else null."""
+    return F.transform(entity_types(labels, list(wanted) or None, ignored), lambda k: F.when(k.isNotNull(), F.concat(F.lit("NE:"), k)))
+
+
+def entity_tag_map(words: Column, labels: Column, wanted: list[str], ignored: list[str] = ()) -> Column:
+    """map<NEk:label, word>: the k-th token with a wanted label, ignored labels left out after counting."""
+    items = F.filter(F.arrays_zip(words.alias("w"), labels.alias("l"), entity_types(labels, list(wanted) or None).alias("k")), lambda x: x["k"].isNotNull())
+    named = F.transform(items, lambda x, i: F.struct(F.concat(F.lit("NE"), (i + 1).cast("string"), F.lit(":"), x["l"]), x["w"], x["k"].alias("k")))
+    kept = F.filter(named, lambda x: ~x["k"].isin(list(ignored))) if ignored else named
+    return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["col1"], x["w"])))
 
 
 def tag_loanwords(tokens: Column, lemmas: list[str], primary: str | None = None) -> Column:
@@ -121,3 +156,13 @@ def valid_spans(labels: Column) -> Column:
         return let(heads, stretches)
 
     return let(F.transform(labels, lambda x: F.coalesce(x, F.lit("O"))), spans)
+
+
+def tagged_lemmas(tokens: Column, lemmas: list[str], primary: str | None = None) -> Column:
+    """map<Lk, lemma as requested>, numbered like tag_loanwords(); without a hit L1 is the primary lemma."""
+    by_low = {x.lower(): x for x in lemmas}
+    asked = F.create_map(*[F.lit(v) for kv in by_low.items() for v in kv])
+    hits = F.filter(F.transform(tokens, lambda t, i: F.struct((F.lower(t["lemma"]) != F.lit((primary or "").lower())).alias("later"), i.alias("i"), F.element_at(asked, F.lower(t["lemma"])).alias("lemma"))), lambda x: x["lemma"].isNotNull())
+    named = F.transform(F.array_sort(hits), lambda x, k: F.struct(F.concat(F.lit("L"), (k + 1).cast("string")).alias("k"), x["lemma"].alias("v")))
+    alone = F.array(F.struct(F.lit("L1").alias("k"), F.lit(primary).cast("string").alias("v")))
+    return F.map_from_entries(let(named, lambda a: F.when(F.size(a) > 0, a).otherwise(alone)))

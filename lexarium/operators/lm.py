@@ -5,9 +5,11 @@ A context is the hex string of its bytes. Words are padded with order - 1 spaces
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexarium.sources.files import read_index, write_index
+
 ORDER = 3
 FLOOR = 1e-10
 
@@ -90,7 +92,7 @@ def parse_frequency_list(lines: DataFrame) -> DataFrame:
     return lines.where(F.size(part) == 2).select(F.lower(F.when(second, a).otherwise(b)).alias("word"), F.when(second, b).otherwise(a).try_cast("bigint").alias("freq")).where("freq is not null")
 
 
-def mean_deviation(index: DataFrame, key: str, scores: str = "mean") -> DataFrame:
+def mean_deviation(index: DataFrame, scores: str = "mean") -> DataFrame:
     """index plus dm_mad: per sentence (mean - median) / median absolute deviation of the non-zero scores; 0 with fewer than two of them or no deviation."""
 
     def middle(a: Column) -> Column:
@@ -107,3 +109,24 @@ def mean_deviation(index: DataFrame, key: str, scores: str = "mean") -> DataFram
         return F.when((F.size(clean) < 2) | (mad == 0), 0.0).otherwise((mean - mid) / mad)
 
     return index.withColumn("dm_mad", let(F.filter(F.col(scores), lambda x: x != 0), of))
+
+
+def save_counts(counts: DataFrame, path: str, order: int = ORDER, mode: str = "error") -> None:
+    """A model: its counts as Parquet, with the order beside them."""
+    write_index(counts.withColumnRenamed("order", "n"), path, {"kind": "byte counts", "order": order}, mode, sort=["n", "ctx"])
+
+
+def load_counts(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(counts, order); anything but a saved model is an error."""
+    rows, meta = read_index(spark, path)
+    if meta.get("kind") != "byte counts":
+        raise TypeError(f"{path} holds no language model")
+    return rows.withColumnRenamed("n", "order"), meta["order"]
+
+
+def traced_bytes(scored: DataFrame) -> DataFrame:
+    """word, pos, byte, bits, surprisal of every byte of the words in score_words() rows."""
+    from lexarium.functions.text import byte_trace
+
+    t = scored.select("word").distinct().select("word", F.explode(byte_trace("word")).alias("t")).select("word", "t.pos", "t.byte", "t.bits")
+    return t.join(scored.select("word", "pos", "surprisal"), ["word", "pos"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.functions.text import argmax, let, softmax
+from lexarium.functions.text import argmax, half_precision, let, softmax
 
 
 def _literal(names: list[str]) -> Column:
@@ -90,3 +90,13 @@ def sentences_with(index: DataFrame, labels: str, wanted: list[str], excluded: l
     if excluded:
         df = df.where(~F.arrays_overlap(kinds, _literal(list(excluded))))
     return df if allowed is None else df.join(allowed.select("spos"), "spos", "left_semi")
+
+
+def convert_index(index: DataFrame, id2label: list[str], logits: str = "logits", with_confidence: bool = True) -> DataFrame:
+    """A logits index as a labels index: labels whose steps are legal and, on request, the confidence of the likeliest label in half precision."""
+    names = _literal(id2label)
+    labels = F.transform(constrained_labels(F.col(logits), id2label), lambda k: F.element_at(names, k + 1))
+    out = index.withColumn("labels", labels)
+    if with_confidence:
+        out = out.withColumn("confidence", F.transform(logits, lambda x: half_precision(confidence(x))))
+    return out.drop(logits)

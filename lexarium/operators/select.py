@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,17 +26,23 @@ def strata_of(tag_map: Column) -> Column:
 def select_stratified(pool: DataFrame, k: int, strata: str, score: str = "score_total", tie: str = "spos") -> DataFrame:
     """Strata in alphabetical order take their quota of best records that no stratum before has taken: k over the number of strata, one more for the first k modulo that many; without filling up. k = 0: all. pool needs the unique column tie.
 
-    A stratum can need no more than its quota plus what earlier strata may have taken, so that many of its best rows
-    (k at most) go to the driver, as (stratum, tie) pairs; the chosen rows are joined back.
+    Strata beyond the k-th have no quota, and a stratum needs no more than its quota plus what earlier ones may have
+    taken, so at most k (k + 1) / 2 pairs (stratum, tie) go to the driver; the chosen rows are joined back.
     """
     slim = pool.select(F.explode(strata).alias("stratum"), score, tie)
     if not k:
         first = slim.groupBy(tie).agg(F.min("stratum").alias("stratum"))
         return pool.join(first, tie)
-    names = [r[0] for r in slim.select("stratum").distinct().orderBy("stratum").collect()]
-    quota = {s: k // len(names) + (i < k % len(names)) for i, s in enumerate(names)} if names else {}
+    every = slim.select("stratum").distinct()
+    n, names = every.count(), [r[0] for r in every.orderBy("stratum").limit(k).collect()]
+    quota = {s: k // n + (i < k % n) for i, s in enumerate(names)}
+    reach, total = [], 0
+    for s in names:
+        total += quota[s]
+        reach.append((s, total))
     best = Window.partitionBy("stratum").orderBy(F.desc(score), tie)
-    rows = slim.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).orderBy("stratum", "_r").collect()
+    rank = slim.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+    rows = rank.join(F.broadcast(pool.sparkSession.createDataFrame(reach, "stratum string, _reach int")), "stratum").where("_r <= _reach").orderBy("stratum", "_r").collect()
     used, chosen, taken = set(), [], Counter()
     for r in rows:
         if taken[r["stratum"]] < quota[r["stratum"]] and r[tie] not in used:
@@ -49,26 +55,19 @@ def select_stratified(pool: DataFrame, k: int, strata: str, score: str = "score_
 
 def greedy_choice(records: list[tuple], max_per_lemma: int = 1) -> list:
     """ids from (id, score, lemmas) in pool order. Lemmas in order of (records, lemma), each once: its best unused record all of whose lemmas are below the limit; the first of equal scores."""
-    by_lemma = defaultdict(list)
-    for k, (_, _, lemmas) in enumerate(records):
-        for x in lemmas:
-            by_lemma[x].append(k)
-    queue = [(len(v), x) for x, v in by_lemma.items()]
-    heapq.heapify(queue)
-    used, usage, out = set(), Counter(), []
-    while queue:
-        _, lemma = heapq.heappop(queue)
-        if usage[lemma] >= max_per_lemma:
-            continue
-        best = None
-        for k in by_lemma[lemma]:
-            if k not in used and all(usage[x] < max_per_lemma for x in records[k][2]) and records[k][1] > (-1 if best is None else records[best][1]):
-                best = k
-        if best is not None:
-            used.add(best)
-            usage.update(records[best][2])
-            out.append(records[best][0])
-    return out
+    frequency, having = Counter(), defaultdict(list)
+    for k in sorted(range(len(records)), key=lambda k: -records[k][1]):
+        frequency.update(records[k][2])
+        for lemma in set(records[k][2]):
+            having[lemma].append(k)
+    uses, free, picks = Counter(), set(range(len(records))), []
+    for lemma in sorted(frequency, key=lambda x: (frequency[x], x)):
+        open_ = (k for k in having[lemma] if k in free and max(uses[x] for x in records[k][2]) < max_per_lemma)
+        if (k := next(open_, None)) is not None:
+            free.remove(k)
+            uses.update(records[k][2])
+            picks.append(records[k][0])
+    return picks
 
 
 def select_greedy(pool: DataFrame, max_per_lemma: int = 1, lemmas: str = "matched_lemmas", score: str = "score_total", tie: str = "spos") -> DataFrame:
@@ -112,15 +111,47 @@ def sentence_sample(spark: SparkSession, n: int, k: int | None, sequential: bool
     return spark.createDataFrame([(int(x),) for x in drawn], "spos bigint")
 
 
+def md5_order(key: Column, seed: int = 42) -> Column:
+    """A pseudorandom order of keys that any engine with md5 can repeat."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
+
+
 def hash_split(rows: DataFrame, key: str, test_percent: int = 20, seed: int = 42) -> DataFrame:
     """rows plus split: test for about test_percent of the keys, the same on every run and for every partitioning."""
-    return rows.withColumn("split", F.when(F.pmod(F.crc32(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.lit(100)) < test_percent, "test").otherwise("train"))
+    draw = F.conv(F.substring(md5_order(F.col(key), seed), 1, 8), 16, 10).cast("bigint")
+    return rows.withColumn("split", F.when(draw % 100 < test_percent, "test").otherwise("train"))
+
+
+def shuffled(rows: DataFrame, key: str, n: int | None = None, seed: int = 42) -> DataFrame:
+    """rows in pseudorandom order of key, the first n of them if n is given; equal keys keep together."""
+    mixed = rows.orderBy(md5_order(F.col(key), seed), key)
+    return mixed if n is None else mixed.limit(n)
+
+
+def reduced_matches(matches: DataFrame, query: str, keys: list[str], limits: dict[str, int], seed: int = 42) -> DataFrame:
+    """One row per match of every query; a query with a limit keeps that many, drawn by seed."""
+    if not limits:
+        return matches
+    most = F.element_at(F.create_map(*[x for k, n in limits.items() for x in (F.lit(k), F.lit(n))]), F.col(query))
+    at = F.row_number().over(Window.partitionBy(query).orderBy(md5_order(F.concat_ws(":", *keys), seed), *keys))
+    return matches.withColumn("_r", at).where(most.isNull() | (most <= 0) | (F.col("_r") <= most)).drop("_r")
 
 
 def kfold(spark: SparkSession, n: int, k: int, seed: int = 42) -> DataFrame:
-    """pos, fold: a permutation cut into k equal folds, the last with the remainder. For labelled sets: n rows pass through the driver."""
-    order, size = np.random.default_rng(seed).permutation(n), n // k
-    return spark.createDataFrame([(int(p), min(i // size, k - 1) if size else k - 1) for i, p in enumerate(order)], "pos bigint, fold int")
+    """pos, fold: a permutation cut into k equal folds, the last with the remainder. For labelled sets: the driver draws the permutation (ten bytes a row) and sends two bytes a row to the executors, which make the rows; more than 2^27 rows are refused."""
+    if n > 1 << 27:
+        raise ValueError(f"{n} rows are too many for a permutation on the driver; use hash_split")
+    size = n // k
+    folds = np.empty(n, dtype=np.int16)
+    folds[np.random.default_rng(seed).permutation(n)] = np.minimum(np.arange(n) // size, k - 1) if size else k - 1
+    sent = spark.sparkContext.broadcast(folds)
+
+    def run(batches):
+        for b in batches:
+            pos = b.column(0).to_numpy()
+            yield pa.record_batch([b.column(0), pa.array(sent.value[pos], pa.int32())], names=["pos", "fold"])
+
+    return spark.range(n).withColumnRenamed("id", "pos").mapInArrow(run, "pos bigint, fold int")
 
 
 def class_weights(rows: DataFrame, label: str, classes: list[str]) -> DataFrame:

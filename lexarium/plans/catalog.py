@@ -144,18 +144,11 @@ def lm_word_surprisal(spark, d):
     return s.select("word", F.round("surprisal", 6).alias("surprisal"), F.round(F.pow(F.lit(2.0), -F.col("surprisal")), 6).alias("mean_probability"))
 
 
-@query("surprisal_dm_mad")
-def surprisal_dm_mad(spark, d):
-    s = document_sentences(read_table(spark, d, "documents"))
-    out = search.surprisal_index(s, keys=("doc_id", "line"))
-    return out.select("doc_id", F.col("line").cast("bigint"), F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.round("dm_mad", 4).alias("dm_mad"))
-
-
-@query("byte_trace", "SELECT item_id, (i - 1)::BIGINT AS pos, ('0x' || substring(hex(encode(w)), 2 * i - 1, 2))::BIGINT AS byte FROM (SELECT item_id, string_split(text, ' ')[1] AS w, unnest(range(1, strlen(string_split(text, ' ')[1]) + 1)) AS i FROM benchmark)")
+@query("byte_trace", "WITH w AS (SELECT item_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS k FROM benchmark) SELECT item_id, k::BIGINT AS word, (i - 1)::BIGINT AS pos, ('0x' || substring(hex(encode(w)), 2 * i - 1, 2))::BIGINT AS byte FROM (SELECT *, unnest(range(1, strlen(w) + 1)) AS i FROM w)")
 def byte_trace(spark, d):
-    b = read_table(spark, d, "benchmark").select("item_id", F.split("text", " ")[0].alias("w")).where("w != ''")
-    t = b.select("item_id", F.explode(X.byte_trace("w")).alias("t"))
-    return t.select("item_id", F.col("t.pos").cast("bigint").alias("pos"), F.col("t.byte").cast("bigint").alias("byte"))
+    b = read_table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("word", "w"))
+    t = b.select("item_id", "word", F.explode(X.byte_trace("w")).alias("t"))
+    return t.select("item_id", F.col("word").cast("bigint"), F.col("t.pos").cast("bigint").alias("pos"), F.col("t.byte").cast("bigint").alias("byte"))
 
 
 # ---- runs and searches ----
@@ -244,10 +237,12 @@ def sentence_dedup_best(spark, d):
     return select.dedup_best(s, F.concat_ws(" ", "words")).select(F.col("spos").cast("bigint"), F.size("words").cast("bigint").alias("n"))
 
 
-@query("cpos_asof_lookup", SENT + ", pts AS (SELECT l_orderkey AS id, (l_partkey * 7919 + l_linenumber) % 600000 AS cpos FROM lineitem), st AS (SELECT spos, cpos AS start, len(words) AS n FROM sent WHERE len(words) > 0) SELECT p.id, p.cpos::BIGINT AS cpos, CASE WHEN p.cpos < s.start + s.n THEN s.spos ELSE -1 END::BIGINT AS spos FROM pts p ASOF LEFT JOIN st s ON p.cpos >= s.start")
+@query("cpos_asof_lookup", SENT + ", pts AS (SELECT l_orderkey AS id, (l_partkey * 7919 * 7919 + l_linenumber) % (SELECT sum(len(words))::BIGINT + 1000 FROM sent) AS cpos FROM lineitem), st AS (SELECT spos, cpos AS start, len(words) AS n FROM sent WHERE len(words) > 0) SELECT p.id, p.cpos::BIGINT AS cpos, CASE WHEN p.cpos < s.start + s.n THEN s.spos ELSE -1 END::BIGINT AS spos FROM pts p ASOF LEFT JOIN st s ON p.cpos >= s.start")
 def cpos_asof_lookup(spark, d):
+    """Points over the whole range of positions, and some beyond it."""
     s = sentences(spark, d).select("spos", "cpos", F.size("words").alias("count"))
-    pts = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), ((F.col("l_partkey") * 7919 + F.col("l_linenumber")) % 600000).alias("cpos"))
+    n = document_sentences(read_table(spark, d, "documents")).agg(F.sum(F.size("words"))).first()[0] or 0
+    pts = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), ((F.col("l_partkey") * 7919 * 7919 + F.col("l_linenumber")) % (n + 1000)).alias("cpos"))
     return index.locate_positions(pts, s).select("id", F.col("cpos").cast("bigint"), F.col("spos").cast("bigint"))
 
 
@@ -364,11 +359,6 @@ def kfold_assign(spark, d):
     return select.kfold(spark, read_table(spark, d, "labels").count(), 5)
 
 
-@query("split_assign")
-def split_assign(spark, d):
-    return select.hash_split(read_table(spark, d, "labels").select("doc_id"), "doc_id")
-
-
 @query("class_weights", "WITH c AS (SELECT quality::VARCHAR AS label, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1), d AS (SELECT unnest(['0', '1', '2']) AS label) SELECT d.label, coalesce(n, 0) AS n, round(CASE WHEN n IS NULL THEN 1 ELSE (SELECT sum(n) FROM c) / (3 * n) END, 6) AS weight FROM d LEFT JOIN c USING (label)")
 def class_weights(spark, d):
     w = select.class_weights(read_table(spark, d, "labels"), "quality", ["0", "1", "2"])
@@ -428,30 +418,12 @@ def tag_extract_pairs(spark, d):
     return sheet(spark, d).select("doc_id", F.col("line").cast("bigint"), F.explode(p).alias("k", "v")).select("doc_id", "line", "k", F.get("v", F.lit(0)).alias("loan"), F.get("v", F.lit(1)).alias("native"))
 
 
-@query("sheet_validate")
-def sheet_validate(spark, d):
-    v = annotation.validate_rows(sheet(spark, d).withColumn("row_index", F.concat_ws("-", "doc_id", "line")), "extended")
-    return annotation.error_rows(v).groupBy("rule_id", "field", "severity").agg(F.count("*").alias("n"))
-
-
 @query("sheet_metadata_rules", SHEET_SQL + "SELECT CASE WHEN line % 5 = 0 THEN 'V0.4' ELSE 'V0.2' END AS rule_id, count(*) AS n FROM sh WHERE line % 5 = 0 OR (line % 5 = 1 AND line % 2 = 1) GROUP BY 1")
 def sheet_metadata_rules(spark, d):
     v = annotation.validate_rows(sheet(spark, d), "extended")
     return v.select(F.explode("errors").alias("e")).where("e.rule_id like 'V0%'").groupBy("e.rule_id").agg(F.count("*").alias("n"))
 
 
-@query("sheet_replacements")
-def sheet_replacements(spark, d):
-    r = annotation.generate_replacements(sheet(spark, d), "extended", overwrite=True)
-    return r.select("doc_id", F.col("line").cast("bigint"), "status", F.col(annotation.REPLACEMENT).alias("replacement"))
-
-
-@query("dataset_export")
-def dataset_export(spark, d):
-    r = annotation.dataset_records(sheet(spark, d), "extended")
-    return r.select("source_plain", F.size("words_in_L_tags").alias("n_loans"), F.size("corresponding_words").alias("n_pairs"))
-
-
 @query("disqualified_rows", SHEET_SQL + "SELECT count(*) AS n FROM sh WHERE line % 5 = 1 AND line % 2 = 0")
 def disqualified_rows(spark, d):
     return annotation.disqualified(sheet(spark, d), ["NE", "NF"]).agg(F.count("*").alias("n"))
@@ -484,12 +456,13 @@ def replacement_listing(spark, d):
     return assistant.replacements(_spans(spark, d))
 
 
-@query("multiword_spans", SENT + ", b AS (SELECT doc_id, line, w, lead(w) OVER (PARTITION BY doc_id, line ORDER BY i) AS v, i FROM tok) SELECT doc_id, line::BIGINT AS line, w || ' ' || v AS surface, 2::BIGINT AS n_words FROM b WHERE i = 0 AND v IS NOT NULL")
+@query("multiword_spans", SENT + ", b AS (SELECT doc_id, line, w, lead(w) OVER (PARTITION BY doc_id, line ORDER BY i) AS v, i FROM tok) SELECT doc_id, line::BIGINT AS line, 'L' || (i // 2 + 1) AS tag_id, w || ' ' || v AS surface, 2::BIGINT AS n_words FROM b WHERE i % 2 = 0 AND v IS NOT NULL")
 def multiword_spans(spark, d):
-    s = document_sentences(read_table(spark, d, "documents")).where("size(words) > 1")
-    tagged = F.concat(F.lit("<L1>"), F.col("words")[0], F.lit(" "), F.col("words")[1], F.lit("</L1>"))
-    spans = assistant.span_facts(s.select("doc_id", "line", tagged.alias("a"), F.lit("").alias("b")), "a", "b", ["doc_id", "line"])
-    return assistant.multiword_spans(spans, ["doc_id", "line"]).select("doc_id", F.col("line").cast("bigint"), "surface", F.col("n_words").cast("bigint"))
+    """Every line's words tagged in pairs."""
+    s = document_sentences(read_table(spark, d, "documents")).where("size(words) > 0")
+    wrap = lambda w, k: F.when(k % 2 == 0, F.concat(F.lit("<L"), F.floor(k / 2 + 1).cast("string"), F.lit(">"), w, F.when(k + 1 == F.size("words"), F.concat(F.lit("</L"), F.floor(k / 2 + 1).cast("string"), F.lit(">"))).otherwise(""))).otherwise(F.concat(w, F.lit("</L"), F.floor(k / 2 + 1).cast("string"), F.lit(">")))
+    spans = assistant.span_facts(s.select("doc_id", "line", F.array_join(F.transform("words", wrap), " ").alias("a"), F.lit("").alias("b")), "a", "b", ["doc_id", "line"])
+    return assistant.multiword_spans(spans, ["doc_id", "line"]).select("doc_id", F.col("line").cast("bigint"), "tag_id", "surface", F.col("n_words").cast("bigint"))
 
 
 @query("row_collisions", SHEET_SQL + "SELECT file, sha1(lab || chr(0) || rep) AS row_hash, count(*) AS n FROM sh GROUP BY 1, 2 HAVING count(*) > 1")
@@ -533,27 +506,7 @@ def near_dupes(spark, d):
     return p.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("near_dupe_clusters")
-def near_dupe_clusters(spark, d):
-    return assistant.clusters(assistant.similar_pairs(_lemma_sets(spark, d), "doc_id", "items", 0.8))
-
-
-# ---- dictionary dump, from pages: a heading per language of the url, an etymology from the title ----
-
-
-def _dump(spark, d):
-    p = read_table(spark, d, "pages")
-    word = F.regexp_extract("html", "<title>([^ <]*)", 1)
-    lines = F.array(F.concat(F.lit("<title>"), word, F.lit("</title>")), F.lit("==Latvian=="), F.lit("===Etymology==="), F.concat(F.lit("From {{bor|lv|de|"), word, F.lit("}},  see {{der|lv|gem-pro|x}}.")), F.lit("===Noun==="), F.lit("text"))
-    return p.select("page_id", F.posexplode(lines).alias("k", "line")).select("page_id", (F.col("page_id") * 10 + F.col("k")).alias("line_no"), "line")
-
-
-@query("wiki_entries")
-def wiki_entries(spark, d):
-    dump = _dump(spark, d)
-    closing = dump.select("page_id").distinct().select("page_id", (F.col("page_id") * 10 + 9).alias("line_no"), F.lit("<title>end</title>").alias("line"))
-    return wiki.entries(dump.unionByName(closing), ["Latvian"], page="page_id")
-
+# ---- dictionary, from pages ----
 
 FUNNEL_SQL = r"""WITH w AS (SELECT regexp_extract(html, '<title>([^ <]*)', 1) AS word, page_id FROM pages), r AS (SELECT *, CASE WHEN regexp_matches(word, '^\p{Lu}') AND page_id % 3 = 0 THEN 'uppercase_initial' WHEN length(w) BETWEEN 1 AND 2 THEN 'too_short' WHEN page_id % 5 = 0 THEN 'no_templates' WHEN page_id % 5 = 1 THEN 'no_valid_loan_template' ELSE '' END AS reason FROM (SELECT page_id, word, CASE WHEN page_id % 3 = 0 THEN word ELSE lower(word) END AS w FROM w))
 SELECT reason, count(*) AS n FROM r GROUP BY reason"""

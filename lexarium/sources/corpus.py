@@ -33,12 +33,13 @@ def tokens_of(words: Column) -> Column:
 
 
 def running_start(rows: DataFrame, key: str, order: list[str], amount: Column, out: str, block_keys: int = BLOCK_KEYS) -> DataFrame:
-    """rows plus out: the sum of amount over all rows before, by (key, order). key: a long that spreads the rows."""
+    """rows plus out: the sum of amount over all rows before, by (key, order). key: a long that spreads the rows. Three levels: rows in blocks of keys, blocks in blocks of blocks, and those, one row for some 17 million keys."""
     rows = rows.withColumn("_b", F.floor(F.col(key) / block_keys)).withColumn("_n", amount.cast("long"))
-    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum("_n").over(earlier(Window.partitionBy("_b").orderBy(key, *order))), F.lit(0))
-    blocks = rows.groupBy("_b").agg(F.sum("_n").alias("_t"))
-    blocks = blocks.select("_b", F.coalesce(F.sum("_t").over(earlier(Window.orderBy("_b"))), F.lit(0)).alias("_before"))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = rows.groupBy("_b").agg(F.sum("_n").alias("_t")).withColumn("_c", F.floor(F.col("_b") / block_keys))
+    tops = blocks.groupBy("_c").agg(F.sum("_t").alias("_u")).select("_c", earlier("_u", Window.orderBy("_c")).alias("_far"))
+    blocks = blocks.withColumn("_near", earlier("_t", Window.partitionBy("_c").orderBy("_b"))).join(tops, "_c").select("_b", (F.col("_near") + F.col("_far")).alias("_before"))
+    inside = earlier("_n", Window.partitionBy("_b").orderBy(key, *order))
     return rows.withColumn("_in", inside).join(blocks, "_b").withColumn(out, F.col("_in") + F.col("_before")).drop("_b", "_n", "_in", "_before")
 
 

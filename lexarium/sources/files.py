@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
+import zipfile
 from pathlib import Path
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +22,9 @@ RECORD = (
 )
 
 
+_XML_BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
+
+
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CANDIDATE).json(path).where("mode is not null or sentence is not null")
 
@@ -35,6 +42,16 @@ def write_dataset(rows: DataFrame, path: str, mode: str = "error") -> None:
     rows.write.mode(mode).json(path)
 
 
+def write_dataset_array(rows: DataFrame, path: str) -> None:
+    """One JSON array in a file on the driver's disk, as other tools expect it; records stream through the driver one by one."""
+    with Path(path).open("w", encoding="utf-8") as f:
+        f.write("[")
+        for k, r in enumerate(rows.toLocalIterator()):
+            f.write(",\n" if k else "\n")
+            json.dump(r.asDict(recursive=True), f, ensure_ascii=False)
+        f.write("\n]\n")
+
+
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A CSV sheet as strings; xlsx goes through pandas where openpyxl is installed."""
     if path.endswith((".xlsx", ".xls")):
@@ -50,6 +67,39 @@ def write_sheet(rows: DataFrame, path: str, mode: str = "error") -> None:
     known_columns(rows).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def write_xlsx(rows: DataFrame, path: str, widths: dict[str, float] | None = None, name: str = "Annotation") -> None:
+    """The known columns as a workbook on the driver's disk: wrapped text, a bold first row, column widths. Rows stream through the driver one by one; a workbook holds 1,048,575 of them."""
+    from lexarium.operators.annotation import known_columns
+
+    sheet = known_columns(rows)
+    cell = lambda ref, v, style: f'<c r="{ref}" t="inlineStr" s="{style}"><is><t xml:space="preserve">{escape(_XML_BAD.sub("", "" if v is None else str(v)))}</t></is></c>'
+    letters = [chr(65 + k) for k in range(len(sheet.columns))]
+    cols = "".join(f'<col min="{k + 1}" max="{k + 1}" width="{(widths or {}).get(c, 40)}" customWidth="1"/>' for k, c in enumerate(sheet.columns))
+    main, rel, doc = ("http://schemas.openxmlformats.org/" + x for x in ("spreadsheetml/2006/main", "package/2006/relationships", "officeDocument/2006/relationships"))
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+    font = lambda x: f"<font>{x}<sz val='11'/><name val='Calibri'/></font>"
+    style = "".join(f'<xf fontId="{k}" applyFont="1" applyAlignment="1"><alignment wrapText="1" vertical="top"/></xf>' for k in range(2))
+    parts = {
+        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
+        + "".join(f'<Override PartName="/xl/{f}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.{k}+xml"/>' for f, k in (("workbook", "sheet.main"), ("worksheets/sheet1", "worksheet"), ("styles", "styles")))
+        + "</Types>",
+        "_rels/.rels": f'<Relationships xmlns="{rel}"><Relationship Id="r1" Type="{doc}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{doc}"><sheets><sheet name="{escape(name)}" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{rel}"><Relationship Id="r1" Type="{doc}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="{doc}/styles" Target="styles.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet xmlns="{main}"><fonts count="2">{font("")}{font("<b/>")}</fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellXfs count="2">{style}</cellXfs></styleSheet>',
+    }
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for part, text in parts.items():
+            z.writestr(part, head + text)
+        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as f:
+            f.write((head + f'<worksheet xmlns="{main}"><cols>{cols}</cols><sheetData>').encode())
+            for n, values in enumerate(itertools.chain([sheet.columns], sheet.toLocalIterator()), 1):
+                if n > 1 << 20:
+                    raise ValueError("too many rows for a workbook")
+                f.write(f'<row r="{n}">{"".join(cell(f"{a}{n}", v, int(n == 1)) for a, v in zip(letters, values, strict=True))}</row>'.encode())
+            f.write(b"</sheetData></worksheet>")
+
+
 def write_pairs(rows: DataFrame, path: str, mode: str = "error") -> None:
     """Tab-separated, without a header."""
     rows.write.mode(mode).option("sep", "\t").csv(path)
@@ -69,13 +119,19 @@ def read_words(spark: SparkSession, path: str, column: str, valid_column: str |
     return rows.select(cell.alias("word"))
 
 
+def unexpected_validity(spark: SparkSession, path: str, valid_column: str, valid_value: str = "x") -> DataFrame:
+    """value, n: what stands in the validity column that is neither empty nor the expected value."""
+    value = F.trim(F.coalesce(F.col(f"`{valid_column}`"), F.lit("")))
+    return spark.read.option("header", True).csv(path).select(value.alias("value")).where((F.col("value") != "") & (F.col("value") != valid_value)).groupBy("value").agg(F.count("*").alias("n"))
+
+
 def read_languages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema("code string, canonical_name string").csv(path)
 
 
-def write_index(index: DataFrame, path: str, meta: dict, mode: str = "error") -> None:
-    """Parquet in order of spos within files, with the metadata as a one-row JSON table beside it."""
-    index.sortWithinPartitions("spos").write.mode(mode).option("compression", "zstd").parquet(f"{path}/rows")
+def write_index(index: DataFrame, path: str, meta: dict, mode: str = "error", sort: list[str] | None = None) -> None:
+    """Parquet in order of spos (or sort) within files, with the metadata as a one-row JSON table beside it."""
+    index.sortWithinPartitions(*(sort or ["spos"])).write.mode(mode).option("compression", "zstd").parquet(f"{path}/rows")
     index.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").coalesce(1).write.mode(mode).text(f"{path}/meta")
 
 

@@ -71,7 +71,7 @@ def test_witten_bell(spark):
 
 def test_mean_deviation(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0, 2.0, 2.0]), (2, [1.0, 0.0, 2.0, 9.0, 4.0]), (3, [])], "spos int, mean array<double>")
-    got = {r.spos: r.dm_mad for r in lm.mean_deviation(df, "spos").collect()}
+    got = {r.spos: r.dm_mad for r in lm.mean_deviation(df).collect()}
     # clean 1 2 9 4: median 3, deviations 2 1 6 1, their median 1.5
     assert got == {0: 0.0, 1: 0.0, 2: pytest.approx((4 - 3) / 1.5), 3: 0.0}
 
