@@ -82,7 +82,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables that materialize() made, once nothing reads them any more."""
+    """Delete tables that materialize() made, once nothing reads them any more. An empty one has no files to go by and stays until the driver ends."""
     for df in tables:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             _remove(df.sparkSession, path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     before = mark(e)
     while before[0]:
-        e = materialize(_small(_large(e).distinct()).distinct(), "edges")
+        last, e = e, materialize(_small(_large(e).distinct()).distinct(), "edges")
+        release(last)
         if (now := mark(e)) == before:
             break
         before = now

@@ -8,11 +8,14 @@ pair misses all of them with probability 7e-9 (0.8: 3e-6).
 
 No bucket is ever held in one task or expanded into its pairs. Documents with equal sets are one class, compared
 once. Each class is then compared with its buckets' least member, on the full shingle sets of both texts; components
-of the confirmed links follow. Only buckets that still join different components go on: members outside the least
-member's component and the bucket's members meet as blocks of at most about BLOCK, where low bytes of all T
-coordinates are compared as matrices; a pair goes on to the exact comparison if their agreement is less than
-SIGMAS standard deviations under the threshold's (a linked pair falls short with probability 6e-8). So every pair of
-a bucket is in one component already, or ruled out by its sketches, or compared exactly.
+of the confirmed links follow. Only buckets that still join different components go on. In those of up to BLOCK
+members, the members outside the least member's component meet the others, and low bytes of all T coordinates are
+compared as matrices; a pair goes on to the exact comparison if their agreement is less than SIGMAS standard deviations
+under the threshold's (a linked pair falls short with probability 6e-8). Members of larger buckets, such as pages of one
+template, are paired by their rarest shingles instead: of two linked sets, the smaller one's first n - ceil(2 t n /
+(1 + t)) + 1 shingles and the larger one's first n - ceil(t n) + 1, from rare to frequent, have one in common, which
+pages with too much text of their own haven't. So every pair of a bucket is in one component already, or ruled out by
+its sketches or its rarest shingles, or compared exactly; and no list grows with the square of a bucket.
 
 Cases: a null or empty text, or one of white space, has an empty set and links with nothing; under five words the
 whole sequence is the only shingle; every row gets a result, and a component is named by its least doc_id, so rows
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, release, works_as
 from .components import components
 
 SHINGLE = 5
@@ -117,6 +120,7 @@ def features(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("bands", pa.list_(pa.int64())), ("low", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        works_as("shingles", _words.clear)
         for batch in batches:
             n, sigs, bands, low = [], [], [], []
             for text in batch.column(1):
@@ -161,10 +165,79 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def least_agreement(percent: int) -> float:
+    """The number of equal low bytes under which the sketches rule a link out."""
+    p = percent / 100
+    return T * (p + (1 - p) / 256) - SIGMAS * (T * p * (1 - p)) ** 0.5
+
+
+def _ceil(a, b):
+    return F.floor((a + (b - 1)) / b)
+
+
+def rare_prefixes(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """token, rep, component, n, pos, own: each set's shingles, from rare to frequent, up to the length that a link with a smaller set needs; own: also up to that for a larger one. Tokens of one component only are left out. From reps (rep, component)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        works_as("shingles", _words.clear)
+        for batch in batches:
+            sets = [shingles(t.as_py()) for t in batch.column(2)]
+            ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))
+            yield pa.record_batch([batch.column(0), batch.column(1), lists], names=["rep", "component", "tokens"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("binary").alias("text"))
+    sets = texts.join(reps, "rep").select("rep", "component", "text").mapInArrow(run, "rep bigint, component bigint, tokens array<bigint>")
+    sets = sets.withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(sets.select("row", "rep", "component", F.size("tokens").cast("bigint").alias("n"), F.explode("tokens").alias("token")), "tokens")
+    often = rows.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = rows.join(often, "token").groupBy("row", "rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+    n, part = F.col("n"), lambda a, b: F.col("n") - _ceil(a * F.col("n"), F.lit(b)) + 1
+    ranked = ranked.select("rep", "component", "n", F.posexplode(F.slice("r", F.lit(1), part(percent, 100).cast("int"))).alias("pos", "t"))
+    entries = ranked.where("t.df > 1").select("t.token", "rep", "component", "n", F.col("pos").cast("bigint").alias("pos"), (F.col("pos") < part(2 * percent, 100 + percent)).alias("own"))
+    shared = entries.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("m")).where("_lo < _hi").select("token", "m")
+    entries = materialize(entries.join(shared, "token"), "prefixes")
+    release(rows)
+    return entries
+
+
+def paired(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a token of their prefixes and may be linked by their sizes and the token's places. The sets of a token meet as blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (xr, xc, xn, xp), (yr, yc, yn, yp) = ([np.array([m[f] for m in batch.column(c)[k].as_py()], dtype=np.int64) for f in ("rep", "component", "n", "pos")] for c in (0, 1))
+                found = []
+                for i in range(len(xr)):
+                    need = (percent * (xn[i] + yn) + 99 + percent) // (100 + percent)
+                    left = np.minimum(xn[i] - xp[i], yn - yp)
+                    at = np.flatnonzero((xc[i] != yc) & (xr[i] != yr) & (xn[i] <= yn) & (percent * yn <= 100 * xn[i]) & (left >= need))
+                    found += [(int(xr[i]), int(yr[j])) for j in at]
+                yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    dealt = prefixes.withColumn("_block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK)))
+    lists = lambda rows, name: rows.groupBy("token", F.col("_block").alias(f"_{name}")).agg(F.collect_list(F.struct("rep", "component", "n", "pos")).alias(name))
+    return lists(dealt.where("own"), "smaller").join(lists(dealt, "larger"), "token").select("smaller", "larger").mapInArrow(run, "a bigint, b bigint")
+
+
+def alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches (rep, low) don't rule a link out."""
+    least = least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, T) for c in (2, 3))
+            fits = pa.array((x == y).sum(axis=1) >= least)
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(fits)
+
+    low = lambda k: sketches.select(F.col("rep").alias(k), F.col("low").alias(f"low_{k}"))
+    return pairs.join(low("a"), "a").join(low("b"), "b").select("a", "b", "low_a", "low_b").mapInArrow(run, "a bigint, b bigint")
+
+
 def likely(blocks: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components whose sketches don't rule out a link, from rows (key, odd, others): arrays of struct<rep, component, n, bands, low>. A pair that shares several buckets comes from the first of its bands only."""
-    p = percent / 100
-    least = T * (p + (1 - p) / 256) - SIGMAS * (T * p * (1 - p)) ** 0.5
+    least = least_agreement(percent)
 
     def side(x):
         bands = np.array(x["bands"], dtype=np.int64)
@@ -209,17 +282,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     named = materialize(named, "named")
     split = named.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
     home = named.where("rep = low_rep").select("key", F.col("component").alias("home"))
+    scratch = [members, named]
     named = materialize(named.join(split, "key").join(home, "key"), "split")
+    release(*scratch)
     sketches = found.select("sig1", "sig2", "n_shingles", "bands", "low").join(classes.select("sig1", "sig2", "n_shingles", "rep"), ["sig1", "sig2", "n_shingles"])
-    sketches = sketches.join(named.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.first("bands").alias("bands"), F.first("low").alias("low"))
-    full = named.join(sketches, "rep").withColumn("_block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK)))
+    sketches = materialize(sketches.join(named.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.first("bands").alias("bands"), F.first("low").alias("low")), "sketches")
+    full = named.where(F.col("m") <= BLOCK).join(sketches, "rep")
     member = F.struct("rep", "component", "n", "bands", "low")
-    others = full.where("rep != low_rep").groupBy("key", "_block").agg(F.collect_list(member).alias("others"))
-    odd = full.where("component != home and rep != low_rep").groupBy("key", F.col("_block").alias("_odd_block")).agg(F.collect_list(member).alias("odd"))
-    more = materialize(_distinct(likely(odd.join(others, "key"), percent)), "pairs")
+    others = full.where("rep != low_rep").groupBy("key").agg(F.collect_list(member).alias("others"))
+    odd = full.where("component != home and rep != low_rep").groupBy("key").agg(F.collect_list(member).alias("odd"))
+    more = likely(odd.join(others, "key"), percent)
+    crowded = named.where(F.col("m") > BLOCK).select("rep", "component").distinct()
+    if not crowded.isEmpty():
+        prefixes = rare_prefixes(crowded, docs, percent)
+        more = more.union(alike(materialize(_distinct(paired(prefixes, percent)), "pairs"), sketches, percent))
+    more = materialize(_distinct(more), "pairs")
     if not more.isEmpty():
         new = confirmed(more, docs, percent)
         labels = components(links.union(new))
+    release(named, sketches, links, more)
 
     of_class = classes.select("sig1", "sig2", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("sig1", "sig2", "n_shingles", F.coalesce("component", "rep").alias("_c"))
