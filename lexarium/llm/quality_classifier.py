@@ -44,7 +44,7 @@ _SYMBOLS = re.compile(r"[#*$%&|<>]")
 
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = zlib.crc32(word) % DIM
         return value
