@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: five operators, one after the other."""
+"""From raw documents to packed training sequences: five operators, one after the other.
+
+Every stage takes rows with nulls in any column, empty and very long texts, repeated ids and rows, extra columns of any
+name, and an empty table, which it passes on empty. Rows are handled one by one; equal rows fare alike unless said.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,27 @@ from lexarium.llm.common import materialize
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels among them, doesn't reject."""
+    """Documents that the classifier, fitted on the labels among them, doesn't reject. A null text is scored as an empty one; a null doc_id has no label; without labels of both classes all stay."""
     return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8): the first by doc_id."""
+    """One document of each group of near-duplicates (five words, similarity 0.8): the first by doc_id. Null and empty texts, and null doc_ids, belong to no group and stay; rows that repeat a doc_id stay or go together."""
     return neardup.drop_near_duplicates(docs, 80)
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in text give way to a placeholder; every document stays."""
+    """Secrets in text give way to a placeholder; every document stays, a null text as it is."""
     return secrets.redact_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and with those words, as the mix of sources takes them."""
+    """Documents as often, up to three times, and with those words, as the mix of sources takes them. Texts without a word, null ones too, have nothing to take; a null source is a source of its own; equal rows are mixed one by one."""
     return mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens. A null or empty text is its end token; null doc_ids are kept."""
     return packing.pack(docs)
 
 
