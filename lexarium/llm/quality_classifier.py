@@ -8,7 +8,7 @@ labelled documents (Platt scaling) and their log-odds, less one prior, give the
 The fit is bounded where labels come in: LABELLED labelled documents, chosen by hash of doc_id, and PER_ROUND
 pseudo-labels a view and round. The driver holds their features (at most DIM values a document), no texts. Candidates
 for pseudo-labels are all unlabelled documents, whose features are written once and scored anew in each round.
-Scoring covers all documents in one pass without a shuffle; only text and record go through Python.
+Scoring covers all documents in one pass without a shuffle.
 
 Labels: null labels don't count; a document labelled both ways counts as low quality. A fourth of each class is held
 out; a class with a single document has it in both parts. Without both classes every score is 0.5 and every document
@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, read_table, release, works_as
 
@@ -264,28 +265,30 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     return model
 
 
-def score(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """_row (docs' columns) and scores (struct of p_content, p_metadata, quality)."""
+def score(docs: DataFrame, model: CoTrained, least: float | None = None) -> DataFrame:
+    """_row (docs' columns) and scores (struct of p_content, p_metadata, quality) of all rows, or of those with that quality or more. A row goes through Python once; its text isn't sent again."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    given = docs.select(F.struct("*").alias("_row"), metadata(F.col("source"), F.col("lang"), F.col("n_chars")).alias("meta"))
+    kinds = T.StructType([T.StructField(c, T.DoubleType()) for c in ("p_content", "p_metadata", "quality")])
+    schema = T.StructType([given.schema["_row"], T.StructField("scores", kinds)])
 
-    @F.arrow_udf("p_content double, p_metadata double, quality double")
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         works_as("quality", _hashes.clear)
-        for text, meta in batches:
-            parts = []
-            for k in range(0, len(text), SLICE):
-                rows = {"content": content_rows(text.slice(k, SLICE).to_pylist()), "metadata": list_rows(meta.slice(k, SLICE))}
-                parts.append(shared.value.score(rows))
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate([p[j] for p in parts] or [np.empty(0)]), pa.float64()) for j in range(3)], names=["p_content", "p_metadata", "quality"])
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                rows = {"content": content_rows(pc.struct_field(part.column(0), "text").to_pylist()), "metadata": list_rows(part.column(1))}
+                found = [pa.array(x, pa.float64()) for x in shared.value.score(rows)]
+                out = pa.record_batch([part.column(0), pa.StructArray.from_arrays(found, names=kinds.names)], names=schema.names)
+                yield out if least is None else out.filter(pc.greater_equal(found[2], least))
 
-    meta = metadata(F.col("source"), F.col("lang"), F.col("n_chars"))
-    return docs.select(F.struct("*").alias("_row"), run(F.col("text").cast("string"), meta).alias("scores"))
+    return given.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those whose quality is under KEEP_FROM."""
     model = fit(docs.select("doc_id", "text", "source", "lang", "n_chars"), labels)
-    return score(docs, model).where(F.col("scores.quality") >= KEEP_FROM).select("_row.*")
+    return score(docs, model, KEEP_FROM).select("_row.*")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
