@@ -26,27 +26,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import double_array, let, materialize, read_table
+from .common import double_array, let, materialize, read_table, works_as
 
 MIN_COUNT = 2
-HELD = 600_000  # counts in the broadcast: words times languages
+HELD = 1_600_000  # counts in the broadcast: words times languages
 LONGEST = 5
 FLUSH = 200_000
 CACHE = 500_000
 SMOOTH = 0.5
 #: Log frequencies are whole multiples of 1 / SCALE, so that sums don't depend on their order.
 SCALE = 1 << 20
-#: Runs of letters: the pattern class of word characters less digits, underscore and the numerals that aren't digits, such as a half or a superscript.
+_WORDS = re.compile(r"[^\W\d_]+")
+#: Numerals that aren't digits, such as a half or a superscript, count among the word characters; they end a word here.
 _NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORDS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 def text_words(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if text else []
+    """The runs of letters of the lower-case text."""
+    words = _WORDS.findall(text.lower()) if text else []
+    if words and not "".join(words).isalpha():  # rare, so that the slow pattern sees few words
+        words = [x for w in words for x in ([w] if w.isalpha() else _LETTERS.findall(w))]
+    return words
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -176,11 +182,10 @@ def train(labelled: DataFrame) -> Model:
     flat = double_array(1.0 + (sums[size][k] if size in sums else 0) for size in range(LONGEST + 1) for k in range(len(langs)))
     vec = lambda size: F.transform("counts", lambda n, k: F.round(F.log((n + SMOOTH) / F.get(flat, size * len(langs) + k)) * SCALE).cast("long")).alias("vec")
     often = double_array(1.0 / max(1, totals[x]) for x in langs)
-    frequent = words.orderBy(F.array_max(F.transform("counts", lambda n, k: n * F.get(often, k))).desc(), "key").limit(max(1, HELD // len(langs))).select("key", "counts", vec(F.lit(0))).toArrow()
-    keys, counts, fixed = (frequent.column(c).to_pylist() for c in ("key", "counts", "vec"))
-    held = [(x, key, n) for key, ns in zip(keys, counts, strict=True) for x, n in zip(langs, ns, strict=True) if n]
-    model = Model(langs, held, [], totals, (words.select("key", vec(F.lit(0))), parts.select("key", vec(_size(F.col("key"))))))
-    model.fixed = np.array(fixed, dtype=np.int64).reshape(len(keys), len(langs))
+    frequent = words.orderBy(F.array_max(F.transform("counts", lambda n, k: n * F.get(often, k))).desc(), "key").limit(max(1, HELD // len(langs))).select("key", vec(F.lit(0))).toArrow().combine_chunks()
+    model = Model(langs, [], [], totals, (words.select("key", vec(F.lit(0))), parts.select("key", vec(_size(F.col("key"))))))
+    model.words = {key: k for k, key in enumerate(frequent.column("key").to_pylist())}
+    model.fixed = pc.list_flatten(frequent.column("vec")).to_numpy().reshape(len(model.words), len(langs))
     return model
 
 
@@ -190,8 +195,11 @@ def _sum_vec(n_langs: int, weight: Column) -> list[Column]:
 
 def resolve(vocabulary: DataFrame, words: DataFrame, parts: DataFrame, n_langs: int) -> DataFrame:
     """word, vec of those distinct words that are known, or have a known n-gram: the mean of the longest known ones."""
-    looked_up = materialize(vocabulary.join(words.withColumnRenamed("key", "word").hint("merge"), "word", "left"), "vocabulary")
-    found, rest = looked_up.where("vec is not null"), looked_up.where("vec is null").select("word")
+    looked_up = vocabulary.join(words.withColumnRenamed("key", "word").hint("merge"), "word", "left").withColumn("wid", F.monotonically_increasing_id())
+    looked_up = materialize(looked_up, "vocabulary")
+    # n-grams go with the word's number: a word of a million characters has as many n-grams.
+    rest = looked_up.where("vec is null").select("wid", "word")
+    found = looked_up.where("vec is not null").select("wid", "vec")
 
     def of_size(marked: Column, size: int) -> Column:
         if size == 1:  # without the marks
@@ -201,12 +209,12 @@ def resolve(vocabulary: DataFrame, words: DataFrame, parts: DataFrame, n_langs:
     # The longest n-grams first: few words are left for the shorter ones.
     for sizes in ((LONGEST,), range(1, LONGEST)):
         split = let(F.concat(F.lit("<"), "word", F.lit(">")), lambda marked: F.concat(*[of_size(marked, n) for n in sizes]))  # noqa: B023
-        hits = rest.select("word", F.explode(split).alias("key")).hint("merge").join(parts.where(_size(F.col("key")).isin(*sizes)).hint("merge"), "key")
-        hits = hits.groupBy("word", _size(F.col("key")).alias("size")).agg(F.count("*").alias("found"), *_sum_vec(n_langs, F.lit(1)))
+        hits = rest.select("wid", F.explode(split).alias("key")).hint("merge").join(parts.where(_size(F.col("key")).isin(*sizes)).hint("merge"), "key")
+        hits = hits.groupBy("wid", _size(F.col("key")).alias("size")).agg(F.count("*").alias("found"), *_sum_vec(n_langs, F.lit(1)))
         mean = F.array(*[F.round(F.col(f"s{k}") / F.col("found")).cast("long") for k in range(n_langs)])
-        hits = materialize(hits.groupBy("word").agg(F.max_by(mean, "size").alias("vec")), "resolved")
-        found, rest = found.unionByName(hits), rest.join(hits.hint("merge"), "word", "left_anti")
-    return found
+        hits = materialize(hits.groupBy("wid").agg(F.max_by(mean, "size").alias("vec")), "resolved")
+        found, rest = found.unionByName(hits), rest.join(hits.hint("merge"), "wid", "left_anti")
+    return looked_up.select("wid", "word").join(found.hint("merge"), "wid").drop("wid")
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -217,6 +225,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     schema = T.StructType([*given.schema.fields[:-1], *T._parse_datatype_string("_any boolean, _sum array<bigint>, _rest array<struct<word:string,n:bigint>>").fields])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        works_as("languages", lambda: None)
         index, logs = sent.value
         for batch in batches:
             seen, sums, words, times, ends = [], [], [], [], [0]
