@@ -8,11 +8,11 @@ pair misses all of them with probability 7e-9 (0.8: 3e-6).
 
 No bucket is ever held in one task or expanded into its pairs. Documents with equal sets are one class, compared
 once. Each class is then compared with its buckets' least member, on the full shingle sets of both texts; components
-of the confirmed links follow. Only buckets that still join different components go on. In those of up to BLOCK
-members, the members outside the least member's component meet the others, and low bytes of all T coordinates are
-compared as matrices; a pair goes on to the exact comparison if their agreement is less than SIGMAS standard deviations
-under the threshold's (a linked pair falls short with probability 6e-8). Members of larger buckets, such as pages of one
-template, are paired by their rarest shingles instead: of two linked sets, the smaller one's first n - ceil(2 t n /
+of the confirmed links follow. Only buckets that still join different components go on. In those of up to LARGE
+members, the members outside the least member's component meet the others in blocks of about BLOCK, where low bytes of
+all T coordinates are compared as matrices; a pair goes on to the exact comparison if their agreement is less than
+SIGMAS standard deviations under the threshold's (a linked pair falls short with probability 6e-8). Members of larger
+buckets, such as pages of one template, are paired by their rarest shingles instead: of two linked sets, the smaller one's first n - ceil(2 t n /
 (1 + t)) + 1 shingles and the larger one's first n - ceil(t n) + 1, from rare to frequent, have one in common, which
 pages with too much text of their own haven't. So every pair of a bucket is in one component already, or ruled out by
 its sketches or its rarest shingles, or compared exactly; and no list grows with the square of a bucket.
@@ -39,7 +39,7 @@ from .components import components
 SHINGLE = 5
 ROWS, BANDS = 5, 32
 T = 1024
-BLOCK = 256
+BLOCK, LARGE = 256, 20_000
 SIGMAS = 5.3
 _MASK = (1 << 64) - 1
 
@@ -287,12 +287,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     release(*scratch)
     sketches = found.select("sig1", "sig2", "n_shingles", "bands", "low").join(classes.select("sig1", "sig2", "n_shingles", "rep"), ["sig1", "sig2", "n_shingles"])
     sketches = materialize(sketches.join(named.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.first("bands").alias("bands"), F.first("low").alias("low")), "sketches")
-    full = named.where(F.col("m") <= BLOCK).join(sketches, "rep")
+    full = named.where(F.col("m") <= LARGE).join(sketches, "rep").withColumn("_block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK)))
     member = F.struct("rep", "component", "n", "bands", "low")
-    others = full.where("rep != low_rep").groupBy("key").agg(F.collect_list(member).alias("others"))
-    odd = full.where("component != home and rep != low_rep").groupBy("key").agg(F.collect_list(member).alias("odd"))
+    others = full.where("rep != low_rep").groupBy("key", "_block").agg(F.collect_list(member).alias("others"))
+    odd = full.where("component != home and rep != low_rep").groupBy("key", F.col("_block").alias("_odd_block")).agg(F.collect_list(member).alias("odd"))
     more = likely(odd.join(others, "key"), percent)
-    crowded = named.where(F.col("m") > BLOCK).select("rep", "component").distinct()
+    crowded = named.where(F.col("m") > LARGE).select("rep", "component").distinct()
     if not crowded.isEmpty():
         prefixes = rare_prefixes(crowded, docs, percent)
         more = more.union(alike(materialize(_distinct(paired(prefixes, percent)), "pairs"), sketches, percent))
