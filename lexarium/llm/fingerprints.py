@@ -8,8 +8,10 @@ Two recordings vote for each offset at which an integer's upper BITS_EQUAL bits
 aligned by the offset, of those with MIN_OVERLAP frames in common, at which the least share of bits differs.
 
 The search compares every recording whose id is divisible by 20 with all recordings. Recordings with the same
-fingerprint are one class and are compared once. No key is dropped for being common (silence, a held note): the classes
-of a key with more than HOT are dealt to several tasks, and each gets the key's queries.
+fingerprint are one class and are compared once. Queries and classes meet in blocks: within a block the classes'
+integers are sorted by their upper bits, a query marks the offsets that get a vote, and the bit errors of all marked
+offsets are counted together, each until it has too many. Every pair that align() would link is found; no key is dropped for being common (silence,
+a held note), and nothing but links leaves a block, however many pairs share a key.
 
 Cases: null, empty or too short audio has an empty fingerprint and matches nothing; a null id is never a query; repeated
 rows share a class; ties between matches go to the least bit error, then the least class; an empty table gives an empty
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, works_as
+from .common import materialize, read_table
 
 RATE = 11025
 FRAME, HOP = 2048, 512
@@ -34,7 +36,8 @@ CLASSES, WIDTH = 12, 16
 BITS_EQUAL = 20
 MAX_BIT_ERROR = 0.1
 MIN_OVERLAP = WIDTH + 1
-HOT = 10_000
+#: Queries and frames of classes in a block; offsets that are looked at together.
+QUERIES, FRAMES, MARKS = 1024, 1 << 20, 1 << 25
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -127,41 +130,89 @@ def extract(audio: DataFrame, id_col: str, media_col: str, rate: int = RATE, dec
     return audio.select(F.col(id_col).cast("bigint").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, "id bigint, n_frames bigint, fp array<bigint>")
 
 
-def candidates(entries: DataFrame) -> DataFrame:
-    """q, class_id, common: the distinct pairs of an asked class and another, with the number of hashes they share. From class_id, asked, hash, no row twice."""
-    hot = entries.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
-    dealt = entries.join(hot, "hash", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    asked = dealt.where("asked = 1").select(F.col("class_id").alias("q"), "hash", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    others = dealt.select("class_id", "hash", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int").alias("part"))
-    return asked.hint("merge").join(others.hint("merge"), ["hash", "part"]).where("q != class_id").groupBy("q", "class_id").agg(F.count("*").alias("common"))
+class Classes:
+    """Fingerprints that queries are aligned with: flat[starts[k] : starts[k + 1]] is class k. The integers are sorted by their upper bits once."""
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray):
+        self.flat, self.starts, self.sizes = flat, starts, np.diff(starts)
+        keys = flat >> np.uint32(32 - BITS_EQUAL)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], np.repeat(np.arange(len(self.sizes)), self.sizes)[order]
+        self.back = self.sizes[self.owner] - (order - starts[self.owner])  # a class's length less the place
+
+    def align(self, a: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(k, offset, overlap, bit error) of align(a, b_k) for each class k that it links."""
+        n = len(self.sizes)
+        if n > 1 and n * len(a) + len(self.flat) > MARKS:  # a very long query: fewer classes at a time
+            cut = n // 2
+            first, rest = Classes(self.flat[: self.starts[cut]], self.starts[: cut + 1]), Classes(self.flat[self.starts[cut] :], self.starts[cut:] - self.starts[cut])
+            return first.align(a) + [(cut + k, *x) for k, *x in rest.align(a)]
+        # Offset o of class k has the mark begins[k] + sizes[k] + o.
+        span = self.sizes + len(a)
+        begins = np.cumsum(span) - span
+        hashes = a >> np.uint32(32 - BITS_EQUAL)
+        lo, hi = (np.searchsorted(self.keys, hashes, side=x) for x in ("left", "right"))
+        marks = np.zeros(int(span.sum()) + 1, dtype=bool)
+        for k in np.flatnonzero(hi > lo):
+            part = slice(lo[k], hi[k])
+            marks[begins[self.owner[part]] + self.back[part] + k] = True
+        at = np.flatnonzero(marks)
+        which = np.searchsorted(begins, at, side="right") - 1
+        offset = at - begins[which] - self.sizes[which]
+        left, right = np.maximum(0, offset), np.minimum(len(a), self.sizes[which] + offset)
+        keep = right - left >= MIN_OVERLAP
+        which, offset, left, right = which[keep], offset[keep], left[keep], right[keep]
+        wrong, base, limit = np.zeros(len(which), dtype=np.int64), self.starts[which] - offset, 32 * MAX_BIT_ERROR * (right - left)
+        for t in range(len(a)):
+            on = np.flatnonzero((left <= t) & (t < right))
+            wrong[on] += np.bitwise_count(a[t] ^ self.flat[base[on] + t])
+            if t % 8 == 7 and not (able := wrong <= limit).all():  # too many errors already
+                which, offset, left, right, wrong, base, limit = (x[able] for x in (which, offset, left, right, wrong, base, limit))
+        error = wrong / (32 * np.maximum(1, right - left))
+        good = np.flatnonzero(error <= MAX_BIT_ERROR)
+        best = good[np.lexsort((offset[good], (left - right)[good], error[good], which[good]))]
+        best = best[np.diff(which[best], prepend=-1) > 0]
+        return [(int(which[k]), int(offset[k]), int(right[k] - left[k]), float(error[k])) for k in best]
+
+
+def links(whole: DataFrame) -> DataFrame:
+    """q, c, offset, overlap, error: the asked classes and the other classes that align with them. From class_id, asked, n_frames, fp."""
+    asked = whole.where("asked = 1").select("class_id", "fp")
+    usable = whole.where(F.col("n_frames") >= MIN_OVERLAP)
+    n_queries, frames = asked.count(), usable.agg(F.coalesce(F.sum("n_frames"), F.lit(0))).first()[0]
+    q_blocks, c_blocks = max(1, -(-n_queries // QUERIES)), max(1, -(-frames // FRAMES))
+    at = lambda n: F.pmod(F.xxhash64("class_id", F.lit(n)), F.lit(n))
+    queries = asked.groupBy(at(q_blocks).cast("int").alias("qb")).agg(F.collect_list(F.struct("class_id", "fp")).alias("queries"))
+    dealt = usable.select("class_id", "fp", at(c_blocks).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    classes = dealt.groupBy("qb", "cb").agg(F.collect_list(F.struct("class_id", "fp")).alias("classes"))
+
+    def parts(column: pa.Array, k: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+        rows = column[k].values
+        fps = rows.field("fp")
+        starts = fps.offsets.to_numpy().astype(np.int64)
+        return rows.field("class_id").to_pylist(), fps.values.to_numpy(zero_copy_only=False)[starts[0] : starts[-1]].astype(np.uint32), starts - starts[0]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (q_ids, q_flat, q_starts), (c_ids, c_flat, c_starts) = (parts(batch.column(j), k) for j in (0, 1))
+                rows, classes = [], Classes(c_flat, c_starts)
+                for i, q in enumerate(q_ids):
+                    a = q_flat[q_starts[i] : q_starts[i + 1]]
+                    if len(a) >= MIN_OVERLAP:
+                        rows += [(q, c_ids[j], offset, overlap, error) for j, offset, overlap, error in classes.align(a) if c_ids[j] != q]
+                cols = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["q", "c", "offset", "overlap", "error"])
+
+    return classes.join(queries, "qb").select("queries", "classes").mapInArrow(run, "q bigint, c bigint, offset bigint, overlap bigint, error double")
 
-def search(prints: DataFrame, every: int = 20) -> DataFrame:
-    """id, n_frames, class_id (least id with that fingerprint), n_matches (classes that align with this one, itself excluded; for a class with a query member, else null), best_id, best_offset, best_overlap, best_error.
 
-    Candidates share one integer's upper BITS_EQUAL bits, which is a vote of align(): no pair that align() would link is
-    left out. Keys that a pair shares are summed before it is compared.
-    """
+def search(prints: DataFrame, every: int = 20) -> DataFrame:
+    """id, n_frames, class_id (least id with that fingerprint), n_matches (classes that align with this one, itself excluded; for a class with a query member, else null), best_id, best_offset, best_overlap, best_error."""
     prints = materialize(prints, "prints")
     whole = prints.where("n_frames > 0").groupBy("fp").agg(F.min("id").alias("class_id"), F.max((F.pmod("id", F.lit(every)) == 0).cast("int")).alias("asked"))
-    whole = materialize(whole, "classes")
-    hashes = F.when(F.size("fp") >= MIN_OVERLAP, F.array_distinct(F.transform("fp", lambda x: F.shiftright(x, 32 - BITS_EQUAL))))
-    pairs = candidates(whole.select("class_id", "asked", F.explode(hashes).alias("hash")))
-    both = pairs.join(whole.select(F.col("class_id").alias("q"), F.col("fp").alias("fp_q")), "q").join(whole.select("class_id", F.col("fp").alias("fp_c")), "class_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for k in range(batch.num_rows):
-                q, c, fq, fc = (batch.column(j)[k].as_py() for j in range(4))
-                offset, overlap, error = align(np.array(fq, dtype=np.uint32), np.array(fc, dtype=np.uint32))
-                if overlap >= MIN_OVERLAP and error <= MAX_BIT_ERROR:
-                    rows.append((q, c, offset, overlap, error))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["q", "c", "offset", "overlap", "error"])
-
-    matched = both.select("q", "class_id", "fp_q", "fp_c").mapInArrow(run, "q bigint, c bigint, offset bigint, overlap bigint, error double")
-    best = matched.groupBy("q").agg(F.count("*").alias("n_matches"), F.min(F.struct("error", "c", "offset", "overlap")).alias("b"))
+    whole = materialize(whole.withColumn("n_frames", F.size("fp")), "classes")
+    best = links(whole).groupBy("q").agg(F.count("*").alias("n_matches"), F.min(F.struct("error", "c", "offset", "overlap")).alias("b"))
     found = whole.join(best, whole["class_id"] == best["q"], "left")
     found = found.select("fp", "class_id", F.when(F.col("asked") == 1, F.coalesce("n_matches", F.lit(0))).alias("n_matches"), F.col("b.c").alias("best_id"), F.col("b.offset").alias("best_offset"), F.col("b.overlap").alias("best_overlap"), F.col("b.error").alias("best_error"))
     return prints.join(found, "fp", "left").select("id", "n_frames", "class_id", "n_matches", "best_id", "best_offset", "best_overlap", "best_error")
