@@ -381,6 +381,38 @@ def test_leftover_pairs_meet_in_blocks(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, 85).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_large_buckets_are_paired_by_rare_shingles(spark, percent, monkeypatch):
+    """Pages of one template that aren't linked share all buckets; linked pairs hide among them. Equal to brute force with every bucket taken for a large one, and the pages make no pairs."""
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    monkeypatch.setattr(neardup, "LARGE", 2)
+    rng = random.Random(11)
+    template = [f"t{k}" for k in range(300)]
+    texts = []
+    for _ in range(40):
+        texts.append(template[:150] + [f"u{rng.randrange(10**9)}" for _ in range(60)] + template[150:])
+    for k in range(0, 12, 2):  # near copies of some pages, of different strength
+        w = list(texts[k])
+        for _ in range(k):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(10**9)}"
+        texts.append(w[: len(w) - 3 * k])
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    sets = sets_of([(k, t) for k, t in rows])
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    least = {k: k for k in sets}
+    for _ in sets:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, percent).collect()}
+    assert got == least and links
+    alone = spark.createDataFrame([(k, k) for k in range(40)], "rep long, component long")
+    assert neardup.paired(neardup.rare_prefixes(alone, df, percent), percent).count() == 0
+    every = spark.createDataFrame([(k, k) for k in sets], "rep long, component long")
+    met = {(min(r.a, r.b), max(r.a, r.b)) for r in neardup.paired(neardup.rare_prefixes(every, df, percent), percent).collect()}
+    assert links <= met
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(2)
     for n in (1, 3, 40, 3000):
@@ -707,6 +739,18 @@ def test_a_short_overlap_does_not_hide_the_long_alignment():
     assert fingerprints.align(a, b)[:2] == (30, 30)
 
 
+def test_aligning_a_block_equals_aligning_pairs():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        bs = [rng.integers(0, 6, rng.integers(1, 60)).astype(np.uint32) << np.uint32(12 + 4 * (k % 2)) for k in range(12)]
+        a = np.concatenate([bs[3], bs[5]])[: rng.integers(17, 80)].copy()
+        a[rng.random(len(a)) < 0.2] ^= np.uint32(1 << 20)
+        want = [(k, *r) for k, b in enumerate(bs) if (r := fingerprints.align(a, b))[1] >= fingerprints.MIN_OVERLAP and r[2] <= fingerprints.MAX_BIT_ERROR]
+        got = fingerprints.Classes(np.concatenate(bs), np.cumsum([0] + [len(b) for b in bs])).align(a)
+        assert [x[0] for x in got] == [x[0] for x in want]
+        assert all(x[2:] == pytest.approx(y[2:]) for x, y in zip(got, want, strict=True))
+
+
 def test_search_finds_every_pair_that_aligns(spark):
     rng, fps = np.random.default_rng(4), []
     for k in range(60):  # a recording, and a noisy one that shares 17 to 32 frames with it
@@ -726,7 +770,7 @@ def test_search_finds_every_pair_that_aligns(spark):
 
 
 def test_search_recall_against_brute_force(spark, monkeypatch):
-    """Recordings, and noisy, cut copies of them, from samples to matches: all pairs by align() against search(), with hot keys dealt to several tasks."""
+    """Recordings, and noisy, cut copies of them, from samples to matches: all pairs by align() against search(), in one block and in many."""
     rng, t = np.random.default_rng(1), np.arange(2 * fingerprints.HOP) / fingerprints.RATE
 
     def song(v):
@@ -751,8 +795,10 @@ def test_search_recall_against_brute_force(spark, monkeypatch):
                     links.add(c)
         want[q] = len(links)
     assert sum(want.values()) >= 20
-    for hot in (10_000, 3):
-        monkeypatch.setattr(fingerprints, "HOT", hot)
+    for queries, frames, marks in ((1024, 1 << 19, 1 << 24), (7, 500, 300)):
+        monkeypatch.setattr(fingerprints, "QUERIES", queries)
+        monkeypatch.setattr(fingerprints, "FRAMES", frames)
+        monkeypatch.setattr(fingerprints, "MARKS", marks)
         assert {r.id: r.n_matches for r in fingerprints.search(prints, 1).collect()} == want
 
 
