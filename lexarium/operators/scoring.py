@@ -14,7 +14,7 @@ from lexarium.functions.text import is_alnum
 
 @dataclass(frozen=True)
 class ScoringConfig:
-    """Gates first, then mean and width of each criterion, then weights (normalised when used)."""
+    """Gates first, then mean and width of each criterion, then weights (normalised when used). Names and defaults are fixed values: they are those of the configuration format."""
 
     min_tokens: int = 0
     max_tokens: int = 9999

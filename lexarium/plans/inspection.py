@@ -10,10 +10,10 @@ from lexarium.operators import annotation, assistant, classify, index, islands,
 from lexarium.operators.scoring import scoring_config
 from lexarium.plans import search
 from lexarium.plans.catalog import (
-    BROKEN_SQL, CLEAN_SQL, DENSITY_SQL, KEYS, LEMMA_LIST, LEMMA_SQL, LEMMAS, LM_SQL, LOGIT_SQL, LONG, NEAR_SQL, NER_LABELS, RUNS_SQL, SENT, SEQ_SQL, SHEET_SQL,
-    _freq, _label_sentences, _lemma_rows, _lemma_sets, _logits, _sequences, _spans, _tokens, long_word_index, query, sentences, sheet, token_rows,
+    CLEAN_SQL, DENSITY_SQL, KEYS, LEMMA_LIST, LEMMA_SQL, LEMMAS, LM_SQL, LOGIT_SQL, LONG, NEAR_SQL, NER_LABELS, RUNS_SQL, SENT, SEQ_SQL, SHEET_SQL,
+    _freq, _label_sentences, _lemma_rows, _lemma_sets, _logits, _sequences, _tokens, long_word_index, query, sentences, sheet, token_rows,
 )
-from lexarium.sources.corpus import document_sentences, positions, read_table, tokens_of
+from lexarium.sources.corpus import document_sentences, read_table, tokens_of
 
 LENGTHS = SENT + f", ln AS (SELECT spos, i, CASE WHEN {CLEAN_SQL} THEN least(length(w), 254) END AS c, CASE WHEN {CLEAN_SQL} THEN least(strlen(w), 254) END AS b FROM tok)"
 
