@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, release, works_as
+from .common import materialize, read_table, release, trim, works_as
 from .components import components
 
 SHINGLE = 5
@@ -61,7 +61,7 @@ class WordHashes(dict):
     """word -> 64-bit hash; bounded, filled on demand."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -133,6 +133,7 @@ def features(docs: DataFrame) -> DataFrame:
             ends = np.cumsum([0] + [len(b) for b in bands]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands) if bands else [], pa.int64()))
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array([s[0] for s in sigs], pa.int64()), pa.array([s[1] for s in sigs], pa.int64()), lists, pa.array(low, pa.binary())], schema=schema)
+            trim()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, FEATURES)
 

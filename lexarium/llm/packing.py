@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
-from .tokens import default_path, encoder
+from .tokens import CACHE, CHUNK, default_path, encoder
 
 LENGTH = 2048
 END_ID = 1
@@ -97,12 +97,12 @@ def pack_run(docs: list[tuple[int | None, np.ndarray]], closing: np.ndarray, fir
     return out, seq
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece, see SCHEMA. sequence_id: the partition's number times 2^33 plus the sequence's number within it."""
+def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE, chunk: int = CHUNK) -> DataFrame:
+    """One row per piece, see SCHEMA. cache, chunk: the encoder's bounds, which trade memory for time. sequence_id: the partition's number times 2^33 plus the sequence's number within it."""
     path = tokenizer or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(path, cache, chunk)
         closing = np.zeros(e.tokenizer.get_vocab_size() + 1, dtype=bool)
         for piece, k in e.tokenizer.get_vocab().items():
             closing[k] = piece[-1:] in ".!?" or piece.startswith("Ċ")

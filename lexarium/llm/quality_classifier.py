@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, read_table, release, works_as
+from .common import materialize, read_table, release, trim, works_as
 
 LABELLED = 6000
 ROUNDS, PER_ROUND, SURE = 3, 400, 0.97
@@ -202,6 +202,7 @@ def features(docs: DataFrame) -> DataFrame:
                 starts, index, value = content_rows(part.column(2).to_pylist())
                 lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x, t)) for x, t in ((index, pa.int32()), (value, pa.float32()))]
                 yield pa.record_batch([part.column(0), part.column(1), *lists], names=["doc_id", "meta", "index", "value"])
+            trim()
 
     meta = metadata(F.col("source"), F.col("lang"), F.col("n_chars"))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), meta.alias("meta"), F.col("text").cast("string").alias("text")).mapInArrow(run, FEATURES)
@@ -281,6 +282,7 @@ def score(docs: DataFrame, model: CoTrained, least: float | None = None) -> Data
                 found = [pa.array(x, pa.float64()) for x in shared.value.score(rows)]
                 out = pa.record_batch([part.column(0), pa.StructArray.from_arrays(found, names=kinds.names)], names=schema.names)
                 yield out if least is None else out.filter(pc.greater_equal(found[2], least))
+            trim()
 
     return given.mapInArrow(run, schema)
 

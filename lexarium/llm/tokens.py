@@ -27,7 +27,7 @@ _SOLID = regex.compile(r"[\p{L}\p{N}\p{P}\p{S}\p{M}]+")
 _PLAIN = regex.compile(r"[\p{L}\p{N}\p{P}\p{S}\p{M} \n]+")
 CACHE, CHUNK = 600_000, 8_000_000
 
-_loaded: dict[str, "Encoder"] = {}
+_loaded: dict[tuple[str, int, int], "Encoder"] = {}
 
 
 class Cache(dict):
@@ -63,10 +63,11 @@ class Encoder:
     stands, and a text that may hold a special token's string is encoded whole.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE, chunk: int = CHUNK):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.chunk = chunk
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.units, self.pieces = Cache(self._unit, cache, 64), Cache(self._piece, cache // 4, 200)
@@ -121,12 +122,12 @@ class Encoder:
         return self.starts[first] + b"".join(map(self.units.__getitem__, units))
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """encode() of each text, in order. About CHUNK characters go together, so that a unit is looked up once for all of them."""
+        """encode() of each text, in order. About chunk characters go together, so that a unit is looked up once for all of them."""
         waiting, size = [], 0
         for text in texts:
             waiting.append(text)
             size += len(text or "")
-            if size >= CHUNK:
+            if size >= self.chunk:
                 yield from self._encode_chunk(waiting)
                 waiting, size = [], 0
                 trim()
@@ -163,9 +164,10 @@ class Encoder:
                 yield self.encode(text)
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
+def encoder(path: str, cache: int = CACHE, chunk: int = CHUNK) -> Encoder:
+    """One encoder per worker process, file and bounds: cache units are kept, chunk characters encoded at a time."""
     works_as("tokens", _loaded.clear)
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    key = (path, cache, chunk)
+    if key not in _loaded:
+        _loaded[key] = Encoder(*key)
+    return _loaded[key]
