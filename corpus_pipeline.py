@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens. A null or empty text is its end token; null doc_ids are kept."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache=200_000, chunk=4_000_000)  # workers hold the memory of the stages before
 
 
 STAGES = [
