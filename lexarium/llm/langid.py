@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import double_array, let, materialize, read_table, works_as
+from .common import double_array, materialize, read_table, works_as
 
 MIN_COUNT = 2
 HELD = 1_600_000  # counts in the broadcast: words times languages
@@ -201,15 +201,26 @@ def resolve(vocabulary: DataFrame, words: DataFrame, parts: DataFrame, n_langs:
     rest = looked_up.where("vec is null").select("wid", "word")
     found = looked_up.where("vec is not null").select("wid", "vec")
 
-    def of_size(marked: Column, size: int) -> Column:
-        if size == 1:  # without the marks
-            return F.transform(F.sequence(F.lit(2), F.length(marked) - 1), lambda k: F.concat(F.substring(marked, k, F.lit(1)), F.lit("\0")))
-        return F.when(F.length(marked) >= size, F.transform(F.sequence(F.lit(1), F.length(marked) - size + 1), lambda k: F.substring(marked, k, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    def split(sizes: tuple[int, ...]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            works_as("languages", lambda: None)
+            for batch in batches:
+                wids, keys = [], []
+                for wid, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for n in sizes:
+                        new = grams(word, n) if n > 1 else [f"{g}\0" for g in word]
+                        wids += [wid] * len(new)
+                        keys += new
+                    if len(keys) >= FLUSH:
+                        yield pa.record_batch([pa.array(wids, pa.int64()), pa.array(keys, pa.string())], names=["wid", "key"])
+                        wids, keys = [], []
+                yield pa.record_batch([pa.array(wids, pa.int64()), pa.array(keys, pa.string())], names=["wid", "key"])
+
+        return rest.select("wid", "word").mapInArrow(run, "wid bigint, key string")
 
     # The longest n-grams first: few words are left for the shorter ones.
-    for sizes in ((LONGEST,), range(1, LONGEST)):
-        split = let(F.concat(F.lit("<"), "word", F.lit(">")), lambda marked: F.concat(*[of_size(marked, n) for n in sizes]))  # noqa: B023
-        hits = rest.select("wid", F.explode(split).alias("key")).hint("merge").join(parts.where(_size(F.col("key")).isin(*sizes)).hint("merge"), "key")
+    for sizes in ((LONGEST,), tuple(range(1, LONGEST))):
+        hits = split(sizes).hint("merge").join(parts.where(_size(F.col("key")).isin(*sizes)).hint("merge"), "key")
         hits = hits.groupBy("wid", _size(F.col("key")).alias("size")).agg(F.count("*").alias("found"), *_sum_vec(n_langs, F.lit(1)))
         mean = F.array(*[F.round(F.col(f"s{k}") / F.col("found")).cast("long") for k in range(n_langs)])
         hits = materialize(hits.groupBy("wid").agg(F.max_by(mean, "size").alias("vec")), "resolved")
