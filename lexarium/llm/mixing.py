@@ -135,17 +135,18 @@ def with_sizes(docs: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: the c-th copy of a document (up to 3) has the words in blocks that the mix uses c times or more, with the white space that follows them; a copy of all words is the text itself. docs' columns."""
-    kept = docs.select(F.struct("*").alias("_row"), "doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    kept = materialize(with_sizes(kept), "sized")
+    text = F.coalesce(F.col("_row")["text"], F.lit(""))  # texts are written and shuffled inside their row only
+    kept = materialize(with_sizes(docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text")).drop("text"), "sized")
     _, pieces, _ = plan_mix(kept.select("_rid", "doc_id", "source", "size", "text_hash"))
+    kept = kept.select("_rid", "_row", "size")
     parts = pieces.groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("first", "last", F.size("shards").alias("uses")))).alias("_parts"))
     df = kept.join(parts, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_parts", lambda p: p["uses"])))))
     df = df.withColumn("_use", F.filter("_parts", lambda p: p["uses"] >= F.col("_copy")))
     n_used = F.aggregate("_use", F.lit(0).cast("long"), lambda a, p: a + p["last"] - p["first"])
     # Each word with the white space after it; white space before the first word goes.
-    units = F.array_remove(F.split(F.regexp_replace("text", f"^{WS}+", ""), f"(?<={WS})(?={NOT_WS})"), "")
+    units = F.array_remove(F.split(F.regexp_replace(text, f"^{WS}+", ""), f"(?<={WS})(?={NOT_WS})"), "")
     some = let(units, lambda u: F.array_join(F.transform(F.col("_use"), lambda p: F.array_join(F.slice(u, (p["first"] + 1).cast("int"), (p["last"] - p["first"]).cast("int")), "")), ""))
-    df = df.withColumn("_new", F.when(n_used == F.col("size"), F.col("text")).otherwise(F.regexp_replace(some, f"{WS}+$", "")))
+    df = df.withColumn("_new", F.when(n_used == F.col("size"), text).otherwise(F.regexp_replace(some, f"{WS}+$", "")))
     cols = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
     return df.select(*[cols.get(f.name, F.col("_row")[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
 
