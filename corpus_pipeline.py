@@ -12,13 +12,20 @@ from lexarium.llm import mixing, neardup, packing, quality_classifier, secrets
 from lexarium.llm.common import materialize
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers by 2000, so that neither side holds tens of MB of text per task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels among them, doesn't reject. A null text is scored as an empty one; a null doc_id has no label; without labels of both classes all stay."""
+    _small_batches(spark)
     return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8): the first by doc_id. Null and empty texts, and null doc_ids, belong to no group and stay; rows that repeat a doc_id stay or go together."""
+    _small_batches(spark)
     return neardup.drop_near_duplicates(docs, 80)
 
 
@@ -34,6 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens. A null or empty text is its end token; null doc_ids are kept."""
+    _small_batches(spark)
     return packing.pack(docs, cache=200_000, chunk=4_000_000)  # workers hold the memory of the stages before
 
 
