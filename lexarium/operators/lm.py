@@ -5,10 +5,11 @@ A context is the hex string of its bytes. Words are padded with order - 1 spaces
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexarium.sources.files import read_index, write_index
+from lexarium.sources.shared import dropped, kept
 
 ORDER = 3
 FLOOR = 1e-10
@@ -62,26 +63,63 @@ def word_surprisal(scores: DataFrame) -> DataFrame:
     return scores.groupBy("word").agg(F.avg("surprisal").alias("surprisal"))
 
 
-def complete(counts: DataFrame, prompt: str, length: int = 20, order: int = ORDER, temperature: float = 0.0, seed: int = 0) -> str:
-    """prompt followed by the likeliest (or, with a temperature, sampled) bytes up to a space. One small filter per byte; only the 256 counts of a context reach the driver."""
-    import random
-
-    rng, raw = random.Random(seed), prompt.encode()
-    for _ in range(length):
-        tail = b" " * (order - 1) + raw
-        for n in range(order, 0, -1):
-            ctx = tail[len(tail) - (n - 1) :].hex().upper() if n > 1 else ""
-            rows = counts.where((F.col("order") == n) & (F.col("ctx") == ctx)).select("byte", "c").collect()
-            if rows:
-                break
+def next_bytes(contexts: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """ctx, byte (0 to 255), p: the full Witten-Bell distribution after each distinct context, hex of at most order - 1 bytes. A shorter context is unknown to every order but the first."""
+    c = contexts.select("ctx").distinct()
+    known = context_table(counts)
+    rows = c.select("ctx", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("byte"))
+    prob = F.lit(1 / 256)
+    for n in range(1, order + 1):
+        # At order n the context has lost order - n bytes from its front.
+        here = F.expr(f"substring(ctx, {2 * (order - n) + 1}, length(ctx))")
+        seen = counts.where(F.col("order") == n).select(F.col("ctx").alias("_x"), F.conv("byte", 16, 10).cast("int").alias("_y"), F.col("c").alias(f"c{n}"))
+        rest = known.where(F.col("order") == n).select(F.col("ctx").alias("_x"), F.col("n").alias(f"n{n}"), F.col("r").alias(f"r{n}"))
+        rows = rows.withColumn("_k", here).join(rest, F.col("_k") == F.col("_x"), "left").drop("_x")
+        rows = rows.join(seen, (F.col("_k") == F.col("_x")) & (F.col("byte") == F.col("_y")), "left").drop("_x", "_y", "_k")
+        total, r, k = F.col(f"n{n}"), F.col(f"r{n}"), F.col(f"c{n}")
+        rows = rows.withColumn(f"q{n}", F.when(total.isNull(), prob).when(k.isNotNull(), k / (total + r)).otherwise(r / (total + r) * prob))
+        prob = F.col(f"q{n}")
+    return rows.select("ctx", "byte", prob.alias("p"))
+
+
+def complete(prompts: DataFrame, counts: DataFrame, length: int = 20, order: int = ORDER, temperature: float = 0.0, seed: int = 0, generate: bool = False) -> DataFrame:
+    """id, prompt, bytes (hex of the prompt and what follows), text of (id, prompt).
+
+    All prompts advance by a byte a round, in joins with the distributions of the contexts that the round meets: the
+    likeliest byte, the least among equals, or at a temperature a draw by seed, id and step from p ** (1 / temperature),
+    so that reruns agree. A prompt ends before a space or after `length` bytes. generate: prompts are preceded by
+    order - 1 spaces, as words are in training, and a space ends only what has another byte. Bytes that aren't UTF-8
+    read as U+FFFD in text. A null prompt is an empty one; ids tell rows apart.
+    """
+    hexed = F.hex(F.encode(F.coalesce("prompt", F.lit("")), "UTF-8"))
+    pad = F.lit("20" * (order - 1) if generate else "")
+    state = prompts.select("id", "prompt", F.concat(pad, hexed).alias("h"), F.lit(True).alias("on"))
+    counts = kept(counts, "counts")
+    for step in range(length):
+        now = state.withColumn("ctx", F.when(F.col("on"), F.right("h", F.lit(2 * (order - 1)))))
+        after = next_bytes(now.where("on"), counts, order)
+        if temperature <= 0:
+            chosen = after.groupBy("ctx").agg(F.max(F.struct("p", (-F.col("byte")).alias("b"))).alias("m")).select("ctx", (-F.col("m.b")).alias("byte"))
+            new = now.join(chosen, "ctx", "left")
         else:
+            weight = F.pow(F.col("p") + FLOOR, F.lit(1 / temperature))
+            upto = Window.partitionBy("ctx").orderBy("byte")
+            table = after.select("ctx", "byte", F.sum(weight).over(upto).alias("_to"), F.sum(weight).over(Window.partitionBy("ctx")).alias("_all"))
+            ladder = table.groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("byte", (F.col("_to") / F.col("_all")).alias("to")))).alias("_l"))
+            u = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(step)), F.lit(1 << 40)) / float(1 << 40)
+            first = lambda ladder, x: F.coalesce(F.get(F.filter(ladder, lambda y: y["to"] > x), F.lit(0))["byte"], F.lit(255))
+            new = now.join(ladder, "ctx", "left").withColumn("byte", F.when(F.col("on"), first(F.col("_l"), u)))
+        word_yet = F.regexp_replace("h", "^(20)+", "") != "" if generate else F.lit(True)
+        ends = (F.col("byte") == 32) & word_yet
+        longer = F.concat("h", F.lpad(F.hex(F.col("byte").cast("bigint")), 2, "0"))
+        done = kept(new.select("id", "prompt", F.when(F.col("on") & ~ends, longer).otherwise(F.col("h")).alias("h"), (F.col("on") & ~ends).alias("on")), "step")
+        if step:
+            dropped(state)
+        state = done
+        if state.where("on").isEmpty():
             break
-        rows = sorted((int(r["byte"], 16), r["c"]) for r in rows)
-        byte = max(rows, key=lambda r: (r[1], -r[0]))[0] if temperature <= 0 else rng.choices([b for b, _ in rows], [c ** (1 / temperature) for _, c in rows])[0]
-        if byte == 32:
-            break
-        raw += bytes([byte])
-    return raw.decode(errors="replace")
+    whole = F.regexp_replace("h", "^(20)+", "") if generate else F.col("h")
+    return state.select("id", "prompt", whole.alias("bytes"), F.make_valid_utf8(F.unhex(whole).cast("string")).alias("text"))
 
 
 def parse_frequency_list(lines: DataFrame) -> DataFrame:

@@ -35,23 +35,6 @@ def stub_lemmas(words: Column) -> Column:
     return F.transform(words, lemma_stub)
 
 
-class MarkerDetector:
-    """Stand-in language detector: the language with most of its marker words in the text, None under min_share."""
-
-    #: A few frequent words per language.
-    MARKERS = {"en": ["the", "of", "and", "to", "is", "that"], "fr": ["le", "la", "les", "des", "et", "que"], "de": ["der", "die", "und", "das", "ist", "nicht"], "es": ["el", "los", "las", "que", "y", "por"]}
-
-    def __init__(self, min_share: float = 0.0):
-        self.min_share = min_share
-
-    def column(self, words: Column) -> Column:
-        """The same as an expression over array<string>."""
-        n = F.greatest(F.size(words), F.lit(1))
-        share = lambda v: F.size(F.filter(words, lambda w: F.lower(w).isin(v))) / n
-        best = F.array_max(F.array(*[F.struct(share(v).alias("s"), F.lit(k).alias("k")) for k, v in sorted(self.MARKERS.items())]))
-        return F.when((best["s"] > 0) & (best["s"] >= self.min_share), best["k"])
-
-
 def translate_sheet(sheet: DataFrame, translate: Factory, source: str = "Label sentence", target: str = "Target", valid_only: bool = True, overwrite: bool = False, protect: bool = True, batch: int = 32) -> DataFrame:
     """sheet with target filled for the selected rows (valid ones without a target, or all with overwrite): tags go, code-switched spans pass through untouched."""
     chosen = (F.trim("Valid") == "+") if valid_only else F.lit(True)

@@ -179,12 +179,6 @@ def _rounded(rows: DataFrame, *extra: str) -> DataFrame:
     return rows.select(F.col("spos").cast("bigint").alias("spos"), *extra, "filtered", F.coalesce("filter_reason", F.lit("")).alias("filter_reason"), *[F.round(c, 6).alias(c) for c in _SCORED])
 
 
-@query("code_switch_search")
-def code_switch_search(spark, d):
-    cfg = scoring_config("code-switch", filter_forbid_named_entity=False)
-    return _rounded(search.code_switch_search(long_word_index(spark, d), cfg, LONG, lang="en"), "sentence")
-
-
 DENSITY_SQL = f"""tk AS (SELECT *, {LEMMA_SQL} AS lemma FROM tok),
 den AS (SELECT spos, count(*) AS n, count(*) FILTER (regexp_matches(w, '^[\\p{{L}}\\p{{N}}]+$')) / count(*) AS alpha, count(*) FILTER (lemma IN ({LEMMA_LIST})) / count(*) AS lw, count(*) FILTER (i > 0 AND regexp_matches(w, '^\\p{{Lu}}')) / count(*) AS ne, array_to_string(list_sort(list_distinct(list(lemma) FILTER (lemma IN ({LEMMA_LIST})))), ',') AS matched_lemmas, count(DISTINCT lemma) FILTER (lemma IN ({LEMMA_LIST})) AS k FROM tk GROUP BY spos),
 gate AS (SELECT *, CASE WHEN n < 8 THEN 'too_short' WHEN n > 128 THEN 'too_long' WHEN alpha < 0.5 THEN 'low_alpha' WHEN lw = 0 THEN 'zero_loanwords' WHEN ne > 0 THEN 'forbidden_named_entities' ELSE '' END AS filter_reason FROM den WHERE k > 0),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lexarium.functions.text import half_precision, is_clean_word
 from lexarium.operators.islands import best_runs, entity_keys, entity_tag_map, switch_keys, tag_loanwords, tag_map, tag_runs, tagged_lemmas
+from lexarium.operators.language import LanguageModel, with_languages
 from lexarium.operators.lm import ORDER, count_table, mean_deviation, score_words, word_surprisal
-from lexarium.operators.models import MarkerDetector
 from lexarium.operators.ner import sentences_with
 from lexarium.operators.scoring import ScoringConfig, entity_mask, label_mask, loanword_mask, score_mask, score_sentences
 from lexarium.operators.index import aligned
@@ -40,17 +40,20 @@ def lemma_search(sentences: DataFrame, lemmas: list[str], cfg: ScoringConfig, mo
     return scored.withColumn("sentence", tag_loanwords(F.col("tokens"), lemmas, primary)).withColumn("tag_map", tagged_lemmas(F.col("tokens"), lemmas, primary))
 
 
-def code_switch_search(index: DataFrame, cfg: ScoringConfig, threshold: float, scores: str = "scores", lang: str | None = None, min_run: int = 2, max_run: int | None = None, labels: str | None = None, detector: MarkerDetector | None = None) -> DataFrame:
-    """Sentences whose longest run of scores above threshold is long enough, scored, with CS (and NE) tags, their tag_map (lemmas of CS, words of NE) and matched_lemmas, the run's. index: spos, tokens and scores arrays."""
+def code_switch_search(index: DataFrame, cfg: ScoringConfig, threshold: float, scores: str = "scores", lang: str | None = None, min_run: int = 2, max_run: int | None = None, labels: str | None = None, languages: LanguageModel | None = None, context_confidence: float = 0.0, span_confidence: float = 0.0) -> DataFrame:
+    """Sentences whose longest run of scores above threshold is long enough, scored, with CS (and NE) tags, their tag_map (lemmas of CS, words of NE), matched_lemmas, the run's, and context_lang and span_lang: the languages of the words outside and inside the run, null without a model or under the confidence asked for. index: spos, tokens and scores arrays."""
     rows = best_runs(index, scores, threshold, min_run, max_run)
     words = F.transform("tokens", lambda t: t["word"])
+    if languages is None:
+        rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("context_lang", "span_lang")})
+    else:
+        span = F.slice(words, F.col("run_start") + 1, F.col("run_length"))
+        context = F.concat(F.slice(words, F.lit(1), F.col("run_start")), F.slice(words, F.col("run_start") + F.col("run_length") + 1, F.size(words)))
+        rows = with_languages(rows, "spos", {"context_lang": (context, context_confidence), "span_lang": (span, span_confidence)}, languages)
     in_run = F.transform(words, lambda _, i: (i >= F.col("run_start")) & (i < F.col("run_start") + F.col("run_length")))
     n = F.size("tokens")
     entities = entity_mask(F.col("tokens")) if labels is None else label_mask(F.col(labels), n, cfg.ner_ignore_labels)
-    d = detector or MarkerDetector()
-    span = F.slice(words, F.col("run_start") + 1, F.col("run_length"))
-    context = F.concat(F.slice(words, F.lit(1), F.col("run_start")), F.slice(words, F.col("run_start") + F.col("run_length") + 1, F.size(words)))
-    scored = score_sentences(rows, cfg, {"code_switch": score_mask(F.col(scores), threshold, n), "named_entity": entities}, context_lang=d.column(context), span_lang=d.column(span), lang=lang)
+    scored = score_sentences(rows, cfg, {"code_switch": score_mask(F.col(scores), threshold, n), "named_entity": entities}, context_lang=F.col("context_lang"), span_lang=F.col("span_lang"), lang=lang)
     keys = switch_keys(in_run, F.col(labels) if labels else None, sorted(cfg.ner_ignore_labels))
     lemmas = F.transform("tokens", lambda t: t["lemma"])
     return scored.withColumns({"sentence": tag_runs(words, keys), "tag_map": tag_map(keys, {"CS": lemmas, "NE": words}), "matched_lemmas": F.slice(lemmas, F.col("run_start") + 1, F.col("run_length"))})
