@@ -15,7 +15,7 @@ from lexarium.functions import text as X
 from lexarium.operators import annotation, assistant, classify, index, islands, lm, ner, select, wiki
 from lexarium.operators.scoring import scoring_config
 from lexarium.plans import search
-from lexarium.sources.corpus import document_sentences, positions, read_table, tokens_of
+from lexarium.sources.corpus import corpus_sentences, document_sentences, read_table, tokens_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,7 +49,7 @@ LEMMA_SQL = r"lower(regexp_replace(regexp_replace(w, '^[^\p{L}\p{N}]+', ''), '[^
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
-    return positions(document_sentences(read_table(spark, d, "documents")))
+    return corpus_sentences(read_table(spark, d, "documents"))
 
 
 def token_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Corpora as tables: sentences, tokens and their global positions.
 
 Sentences are rows with a token array, so searches stay scans; tokens are exploded only where single tokens are asked
-for. Positions are sums in two steps, inside blocks of a key range and over one row per block, never in one ordered
+for. Positions are sums in two steps, inside ranges of the order and over one row per range, never in one ordered
 window over all rows.
 """
 
@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexarium.functions.text import lemma_stub, pos_stub
+from lexarium.functions.text import lemma_stub, let, pos_stub, running_sum
+from lexarium.sources.shared import kept
 
 TOKEN = T.StructType([T.StructField("word", T.StringType()), T.StructField("pos", T.StringType()), T.StructField("lemma", T.StringType())])
-BLOCK_KEYS = 4096
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,21 +32,48 @@ def tokens_of(words: Column) -> Column:
     return F.transform(words, lambda w: F.struct(w.alias("word"), pos_stub(w).alias("pos"), lemma_stub(w).alias("lemma")))
 
 
-def running_start(rows: DataFrame, key: str, order: list[str], amount: Column, out: str, block_keys: int = BLOCK_KEYS) -> DataFrame:
-    """rows plus out: the sum of amount over all rows before, by (key, order). key: a long that spreads the rows. Three levels: rows in blocks of keys, blocks in blocks of blocks, and those, one row for some 17 million keys."""
-    rows = rows.withColumn("_b", F.floor(F.col(key) / block_keys)).withColumn("_n", amount.cast("long"))
+def running_totals(rows: DataFrame, order: list[Column], amounts: dict[str, Column]) -> DataFrame:
+    """rows plus, for each name, the sum of its amount over all rows before, by order.
+
+    Rows are dealt out by ranges of the order and written once; sums run inside a range, and what lies before a range is
+    a table of one row a range, which is broadcast. Any keys will do: dense, sparse, hot or null. Equal rows stay in one
+    range, one after the other.
+    """
+    names = [f"_k{i}" for i in range(len(order))]
+    dealt = rows.withColumns(dict(zip(names, order, strict=True)) | {f"_a_{n}": c.cast("bigint") for n, c in amounts.items()})
+    dealt = kept(dealt.repartitionByRange(*[F.col(n).asc_nulls_last() for n in names]).withColumn("_range", F.spark_partition_id()), "ranges")
     earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = rows.groupBy("_b").agg(F.sum("_n").alias("_t")).withColumn("_c", F.floor(F.col("_b") / block_keys))
-    tops = blocks.groupBy("_c").agg(F.sum("_t").alias("_u")).select("_c", earlier("_u", Window.orderBy("_c")).alias("_far"))
-    blocks = blocks.withColumn("_near", earlier("_t", Window.partitionBy("_c").orderBy("_b"))).join(tops, "_c").select("_b", (F.col("_near") + F.col("_far")).alias("_before"))
-    inside = earlier("_n", Window.partitionBy("_b").orderBy(key, *order))
-    return rows.withColumn("_in", inside).join(blocks, "_b").withColumn(out, F.col("_in") + F.col("_before")).drop("_b", "_n", "_in", "_before")
+    totals = dealt.groupBy("_range").agg(*[F.sum(f"_a_{n}").alias(f"_t_{n}") for n in amounts])
+    totals = totals.select(F.col("_range").alias("_r"), *[earlier(f"_t_{n}", Window.orderBy("_range")).alias(f"_b_{n}") for n in amounts])
+    inside = Window.partitionBy("_range").orderBy(*[F.col(n).asc_nulls_last() for n in names])
+    out = dealt.withColumns({n: earlier(f"_a_{n}", inside) for n in amounts}).join(F.broadcast(totals), F.col("_range") == F.col("_r"))
+    return out.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in amounts}).select(*rows.columns, *amounts)
 
 
 def positions(sentences: DataFrame) -> DataFrame:
-    """sentences plus spos (ordinal) and cpos (tokens before), in order of doc_id and line."""
-    out = running_start(sentences, "doc_id", ["line"], F.lit(1), "spos")
-    return running_start(out, "doc_id", ["line"], F.size("words"), "cpos")
+    """sentences (doc_id, line, words, ...) plus spos (ordinal) and cpos (tokens before), in order of doc_id (nulls last) and line. Of documents, use corpus_sentences(), which moves no words."""
+    return running_totals(sentences, [F.col("doc_id"), F.col("line")], {"spos": F.lit(1), "cpos": F.size("words")})
+
+
+def corpus_sentences(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """document_sentences() of docs plus spos and cpos, in order of doc_id (nulls last) and line.
+
+    Lines and words are counted a document, and running totals are taken over these counts. They come back to the texts
+    by doc_id and a hash of the text, which is all that the texts are moved for; lines are numbered inside their
+    document. Documents that share a doc_id follow one another in order of that hash; equal ones are told apart by
+    their place among themselves.
+    """
+    text = F.col("text")
+    own = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("text", F.isnull("doc_id")).alias("_h")]
+    full = docs.where("text is not null").select("doc_id", *keep, "text", *own)
+    lines, words = F.size(F.array_remove(F.split(text, "\n"), "")), F.size(F.array_remove(F.split(text, "[ \n]"), ""))
+    counts = full.groupBy("_id", "_h").agg(F.min("doc_id").alias("_d"), F.count("*").alias("_copies"), F.max(lines).alias("_lines"), F.max(words).alias("_words"))
+    starts = running_totals(counts, [F.col("_d"), F.col("_h")], {"_s": F.col("_copies") * F.col("_lines"), "_c": F.col("_copies") * F.col("_words")})
+    placed = full.join(starts.drop("_d", "_copies"), ["_id", "_h"]).withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_s")) - 1)
+    pieces = F.filter(F.transform(F.split(text, "\n"), lambda t, i: F.struct(i.alias("line"), F.array_remove(F.split(t, " "), "").alias("words"), (t != "").alias("on"))), lambda x: x["on"])
+    before = lambda ps: F.transform(F.arrays_zip(ps.alias("p"), running_sum(F.transform(ps, lambda x: F.size(x["words"]))).alias("n")), lambda x: F.struct(x["p"]["line"].alias("line"), x["p"]["words"].alias("words"), (x["n"] - F.size(x["p"]["words"])).alias("before")))
+    rows = placed.select("doc_id", *keep, (F.col("_s") + F.col("_k") * F.col("_lines")).alias("_s"), (F.col("_c") + F.col("_k") * F.col("_words")).alias("_c"), F.posexplode(let(pieces, before)).alias("_i", "_x"))
+    return rows.select("doc_id", *keep, "_x.line", "_x.words", (F.col("_s") + F.col("_i")).alias("spos"), (F.col("_c") + F.col("_x.before")).alias("cpos"))
 
 
 def read_vertical(spark: SparkSession, path: str, limit_lines: int | None = None, limit_sentences: int | None = None, limit_bytes: int | None = None) -> DataFrame:

@@ -117,3 +117,42 @@ def test_stream_appends_once(spark, tmp_path):
         q = append_index(document_stream(spark, f"{p}/in/a"), f"{p}/out", f"{p}/cp")
         q.awaitTermination()
     assert spark.read.parquet(f"{p}/out").count() == 2
+
+
+ODD_DOCUMENTS = [(3, "a b\n\nc  d e\n"), (1, "one"), (None, "null id\nsecond line"), (None, "another"), (2, None), (-5, "minus five"), (2**62, "far\naway " * 3), (7, "\n \n"), (3, "a b\n\nc  d e\n"), (3, "other text of three"), (0, "zero"), (4, "")] + [(10**15 * k + 17, f"sparse {k}\nids") for k in range(1, 40)]
+
+
+def test_positions_of_documents_with_null_sparse_and_repeated_ids(spark):
+    docs = spark.createDataFrame(ODD_DOCUMENTS, "doc_id long, text string").repartition(5)
+    rows = sorted(corpus.corpus_sentences(docs).collect(), key=lambda r: r.spos)
+    assert [r.spos for r in rows] == list(range(len(rows)))
+    at = 0
+    for r in rows:
+        assert r.cpos == at
+        at += len(r.words)
+    ids = [r.doc_id for r in rows]
+    assert ids == sorted(ids, key=lambda i: (i is None, i or 0)), "in order of doc_id, null ones last"
+    want = sorted((str(i), n, t.split(" ")) for i, x in ODD_DOCUMENTS if x for n, t in enumerate(x.split("\n")) if t)
+    assert sorted((str(r.doc_id), r.line, r.words) for r in rows) == [(i, n, [w for w in t if w]) for i, n, t in want]
+    three = [(r.line, r.words) for r in rows if r.doc_id == 3]
+    copy = [(0, ["a", "b"]), (2, ["c", "d", "e"])]
+    assert three in ([*copy, *copy, (0, ["other", "text", "of", "three"])], [(0, ["other", "text", "of", "three"]), *copy, *copy]), "documents of one id follow one another"
+    assert corpus.corpus_sentences(docs.limit(0)).count() == 0
+
+
+def test_positions_move_texts_once_and_words_never(spark, tmp_path):
+    spark.createDataFrame([(k, f"a b {k}\nc") for k in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    s = corpus.corpus_sentences(spark.read.parquet(f"{tmp_path}/d")).select("spos", "cpos", "words")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = s._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning(_id" in x]
+    assert len(shuffles) == 2 and plan.count("text#") and plan.index("Generate") < plan.index("Exchange hashpartitioning"), "texts and counts move to be joined, lines are cut out above"
+
+
+def test_positions_of_sentences_equal_those_of_documents(spark):
+    docs = spark.createDataFrame([x for x in ODD_DOCUMENTS if x[0] != 3 and x[0] is not None], "doc_id long, text string").repartition(3)
+    key = lambda df: sorted((r.doc_id, r.line, r.words, r.spos, r.cpos) for r in df.collect())
+    assert key(corpus.positions(corpus.document_sentences(docs))) == key(corpus.corpus_sentences(docs))

@@ -88,7 +88,7 @@ def test_misaligned_indices_are_an_error(spark):
 
 def test_sums_and_neighbours_over_blocks_of_blocks(spark):
     df = spark.range(300).select((F.col("id") * 3 % 299 + 1000 * (F.col("id") % 2)).alias("doc_id"), (F.col("id") % 5).alias("n"))
-    got = corpus.running_start(df, "doc_id", [], F.col("n"), "s", block_keys=4).orderBy("doc_id").collect()
+    got = corpus.running_totals(df, [F.col("doc_id")], {"s": F.col("n")}).orderBy(F.col("doc_id").asc_nulls_last()).collect()
     at = 0
     for r in got:
         assert r.s == at
