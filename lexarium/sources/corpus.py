@@ -115,6 +115,31 @@ def read_vertical(spark: SparkSession, path: str, limit_lines: int | None = None
     return out if limit_sentences is None else out.where(F.col("spos") < limit_sentences)
 
 
+def vertical_lines(sentence_id: Column, tokens: Column) -> Column:
+    """array<string>: a sentence's lines in a one-token-per-line file. White space inside fields that would end a field or line reads as a space; a word that would read as a sentence's mark gets a full-width bracket."""
+    field = lambda x: F.translate(F.coalesce(x, F.lit("")), "\t\r\n", "   ")
+    word = lambda w: F.regexp_replace(field(w), "^<(?=/?s[ >]|/?s$)", "\uff1c")
+    mark = F.concat(F.lit('<s id="'), F.replace(field(sentence_id.cast("string")), F.lit('"'), F.lit("'")), F.lit('">'))
+    line = lambda t: F.concat(word(t["word"]), F.lit("\t"), field(t["pos"]), F.lit("\t"), field(t["lemma"]))
+    return F.concat(F.array(mark), F.transform(tokens, line), F.array(F.lit("</s>")))
+
+
+def write_vertical(sentences: DataFrame, path: str, sentence_id: str = "spos", order: str = "spos", mode: str = "error") -> None:
+    """sentences (order, sentence_id, tokens) as vertical text in files whose names follow the order; what read_vertical() reads again. Sentences are dealt by ranges of the order, so any number of tasks writes."""
+    lines = vertical_lines(F.col(sentence_id), F.col("tokens")).alias("_lines")
+    dealt = sentences.select(F.col(order).alias("_o"), lines).repartitionByRange("_o").sortWithinPartitions("_o")
+    dealt.select(F.explode("_lines").alias("value")).write.mode(mode).text(path)
+
+
+def concordance_markup(number: Column, tokens: Column, first: Column, length: Column) -> Column:
+    """A concordance line as parse_concordance() reads it, with a match of `length` tokens from place `first`."""
+    text = lambda t: F.concat(F.lit("<TOKEN>"), t["word"], F.lit("/"), t["pos"], F.lit("/"), t["lemma"], F.lit("</TOKEN>"))
+    part = lambda a: F.array_join(F.transform(a, text), " ")
+    inside = lambda low, high: F.filter(tokens, lambda t, i: (i >= low) & (i < high))
+    zero, end = F.lit(0), first + length
+    return F.concat(F.lit("<LINE><MATCHNUM>"), number.cast("string"), F.lit("</MATCHNUM><CONTENT>"), part(inside(zero, first)), F.lit("<MATCH>"), part(inside(first, end)), F.lit("</MATCH>"), part(inside(end, F.size(tokens))), F.lit("</CONTENT></LINE>"))
+
+
 def parse_concordance(text: Column) -> Column:
     """array<struct<cqp_id, tokens, match_index>> from concordance markup; a token is word/pos/lemma split at its last two slashes, with UNK and the word standing in."""
     lines = F.regexp_extract_all(text, F.lit(r"(?s)<LINE>(.*?)</LINE>"), 1)

@@ -34,8 +34,10 @@ def write_candidates(rows: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def read_dataset(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files with one object or a list of them."""
-    return spark.read.option("multiLine", True).schema(RECORD).json(paths)
+    """Files with one object a line, as write_dataset() makes them, or with one object or a list of them over many lines; the first line that isn't blank tells which, for all of them."""
+    first = spark.read.text(paths).where("trim(value) != ''").head(1)
+    lines = bool(first) and first[0]["value"].strip().startswith("{") and first[0]["value"].strip().endswith("}")
+    return spark.read.option("multiLine", not lines).schema(RECORD).json(paths)
 
 
 def write_dataset(rows: DataFrame, path: str, mode: str = "error") -> None:
@@ -139,6 +141,18 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/rows"), json.loads(spark.read.text(f"{path}/meta").first()[0])
 
 
+def store_index(index: DataFrame, name: str, path: str, buckets: int = 64, key: str = "spos", mode: str = "error") -> None:
+    """An index as the table `name` in path, dealt into buckets by key and sorted by it inside each: stored indices of one number of buckets join on key without a shuffle, and a look-up of a key reads one bucket's matching row groups."""
+    spread = index.repartition(buckets, key).sortWithinPartitions(key)
+    spread.write.mode(mode).bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(name)
+
+
+def stored_index(spark: SparkSession, name: str, keys: list[int] | None = None, key: str = "spos") -> DataFrame:
+    """A stored index, or its rows of some keys."""
+    rows = spark.table(name)
+    return rows if keys is None else rows.where(F.col(key).isin(keys))
+
+
 def write_splits(rows: DataFrame, path: str, sources: list[str], mode: str = "error") -> None:
     """Parquet by split, and the SHA-256 of each source file."""
     rows.write.mode(mode).partitionBy("split").parquet(f"{path}/rows")

@@ -156,3 +156,56 @@ def test_positions_of_sentences_equal_those_of_documents(spark):
     docs = spark.createDataFrame([x for x in ODD_DOCUMENTS if x[0] != 3 and x[0] is not None], "doc_id long, text string").repartition(3)
     key = lambda df: sorted((r.doc_id, r.line, r.words, r.spos, r.cpos) for r in df.collect())
     assert key(corpus.positions(corpus.document_sentences(docs))) == key(corpus.corpus_sentences(docs))
+
+
+def test_vertical_round_trip_at_any_split(spark, tmp_path):
+    """Written by several tasks, read in one split and in fifty; words that look like marks stay words."""
+    words = ["a", "<s>", "</s>", "<s id=1>", "<b>", "x y\tz", "é", "", "<"]
+    rows = [(k, f"d{k}", [(w, "n", f"l{k}") for w in words[: k % 10]]) for k in range(120)]
+    df = spark.createDataFrame(rows, "spos long, id string, tokens array<struct<word string, pos string, lemma string>>").repartition(4)
+    corpus.write_vertical(df, f"{tmp_path}/v", "id")
+    seen = [w.replace("\t", " ") for w in words]
+    seen[1:4] = ["＜" + w[1:] for w in words[1:4]]
+    want, at = [], 0
+    for k, name, tokens in rows:
+        got = [w for w in seen[: k % 10]]
+        want.append((k, name, at, got))
+        at += len(got)
+    for size in ("128m", "100"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            back = corpus.read_vertical(spark, f"{tmp_path}/v")
+            assert size == "128m" or spark.read.text(f"{tmp_path}/v").rdd.getNumPartitions() >= 50
+            got = sorted((r.spos, r.sentence_id, r.cpos, [t.word for t in r.tokens]) for r in back.collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want]
+        assert all(g[2] == w[2] for g, w in zip(got, want, strict=True))
+
+
+def test_stored_indices_join_without_a_shuffle(spark, tmp_path):
+    s = spark.createDataFrame([(k, 2 * k, 2, k % 5) for k in range(500)], "spos long, cpos long, count int, x int")
+    for name in ("one", "two"):
+        files.store_index(s.withColumnRenamed("x", name), f"test_{name}", f"{tmp_path}/{name}", buckets=8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, b = (files.stored_index(spark, f"test_{n}") for n in ("one", "two"))
+        joined = a.join(b.drop("cpos", "count"), "spos")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and joined.count() == 500
+        lookup = files.stored_index(spark, "test_one", [7])
+        assert "EqualTo(spos,7)" in lookup._jdf.queryExecution().executedPlan().toString() and lookup.first()["cpos"] == 14
+        assert index.aligned(a, b).count() == 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table test_one")
+        spark.sql("drop table test_two")
+
+
+def test_datasets_of_both_layouts(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s {k}", f"t {k}") for k in range(5)], "source_plain string, target string")
+    files.write_dataset(rows.repartition(2), f"{tmp_path}/lines")
+    (tmp_path / "list.json").write_text('\n[\n {"source_plain": "a"},\n {"source_plain": "b"}\n]\n')
+    (tmp_path / "one.json").write_text('{\n"source_plain": "a"\n}\n')
+    read = lambda p: sorted(r.source_plain for r in files.read_dataset(spark, str(tmp_path / p)).collect())
+    assert read("lines") == [f"s {k}" for k in range(5)] and read("list.json") == ["a", "b"] and read("one.json") == ["a"]
