@@ -263,6 +263,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
                 extra[other].append((part.column("label").to_numpy().astype(int), _views(part)[other]))
         model.learn(y, rows, extra)
     release(table)
+    del known, y, rows, extra
+    trim()
+    pa.default_memory_pool().release_unused()  # the driver's part; later stages run beside it
     return model
 
 
