@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from lexarium.plans.inspection import LENGTHS
 from lexarium.sources import corpus, files
 from lexarium.sources.corpus import read_table, tokens_of
 from lexarium.sources.shared import kept, scratch
+from lexarium.streaming import append
 
 # ---- corpora ----
 
@@ -76,3 +76,20 @@ def dataset_round_trip(spark, d):
     back = files.read_dataset(spark, path)
     loans = F.size(F.filter(F.map_values("words_in_L_tags"), lambda x: x.isNotNull()))
     return back.select("source_plain", F.col("source_annotated_loanwords").alias("source_annotated"), loans.cast("bigint").alias("n_loans"))
+
+
+# ---- growing indices ----
+
+
+@query("growing_index", LENGTHS + ", v AS (SELECT spos, sum(c)::BIGINT AS chars FROM ln GROUP BY spos) SELECT doc_id, line::BIGINT AS line, s.spos::BIGINT AS spos, s.cpos::BIGINT AS cpos, len(words)::BIGINT AS count, coalesce(chars, 0) AS chars FROM sent s LEFT JOIN v USING (spos)")
+def growing_index(spark, d):
+    """All documents as they arrive in three parts, each indexed by a stream that goes on where it stopped."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    folder, out, progress = scratch(spark, "arrivals"), scratch(spark, "grown"), scratch(spark, "progress")
+    low, high = docs.approxQuantile("doc_id", [1 / 3, 2 / 3], 0.01) or (0, 0)
+    part = F.when(F.col("doc_id") <= low, 0).when(F.col("doc_id") <= high, 1).otherwise(2)
+    for k in range(3):
+        docs.where(part == k).write.mode("append").parquet(folder)
+        append.append_positions(append.document_stream(spark, folder, files_per_batch=1 << 30), out, progress).awaitTermination()
+    total = F.aggregate(F.filter("char_len", lambda x: x.isNotNull()), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return append.grown_index(spark, out).select("doc_id", F.col("line").cast("bigint").alias("line"), "spos", "cpos", F.col("count").cast("bigint").alias("count"), total.alias("chars"))
