@@ -133,20 +133,14 @@ def restore_spans(text: Column | str, terms: Column) -> Column:
     return F.aggregate(indexed, _col(text), lambda acc, x: F.replace(acc, F.concat(F.lit("[[TERM_"), (x["i"] + 1).cast("string"), F.lit("]]")), x["s"]))
 
 
-#: Language names at which a translation model's output goes astray, and the two prompt formats.
+#: Language names at which a translation model's output goes astray, and the format of paired prompts.
 STRAY_LANGUAGES = ("Russian", "English", "German", "French", "Spanish", "Chinese", "Italian", "Portuguese", "Dutch", "Polish")
 PAIR_PROMPT = "Translate the following text from {src} into {tgt}.\n{src}: {text}\n{tgt}:"
+#: The instruction of chat models, in words of our own; chat_messages() takes any other.
 SYSTEM_PROMPT = (
-    "You are a professional translator from {src} to {tgt}. "
-    "Translate with strict word-for-word fidelity, preserving the original "
-    "sentence structure as closely as {tgt} grammar allows. "
-    "Do not paraphrase, summarize, or interpret. "
-    "Preserve adjectives, physical descriptors, and literary tone exactly as written. "
-    "The input may contain XML-like tags such as <CS1>, <NE1>, <L1>, etc. "
-    "These tags are structural markers — preserve them exactly as-is, in their "
-    "original positions, wrapping the same content. "
-    "Do NOT translate, remove, or alter any tag names or their content. "
-    "Output ONLY the translated text — no explanations, no quotes, no labels."
+    "Translate what the user sends from {src} to {tgt}, sentence by sentence and as literally as {tgt} allows; leave nothing out and add nothing. "
+    "Marks such as <L1>...</L1> belong to the text: keep each one, unchanged and around the words that translate its content. "
+    "Answer with the translation alone."
 )
 _STRAY = "(?:" + "|".join(STRAY_LANGUAGES) + ")"
 
@@ -168,10 +162,10 @@ def pair_prompt(text: Column | str, src: str, tgt: str) -> Column:
     return F.concat(F.lit(before), clean_request(text), F.lit(after))
 
 
-def chat_messages(text: Column | str, src: str, tgt: str) -> Column:
-    """array<struct<role, content>>: the messages of chat models; their template is the model's own."""
+def chat_messages(text: Column | str, src: str, tgt: str, instruction: str = SYSTEM_PROMPT) -> Column:
+    """array<struct<role, content>>: the messages of chat models; their template is the model's own. instruction: with {src} and {tgt}."""
     one = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    return F.array(one("system", F.lit(SYSTEM_PROMPT.format(src=src, tgt=tgt))), one("user", _col(text)))
+    return F.array(one("system", F.lit(instruction.format(src=src, tgt=tgt))), one("user", _col(text)))
 
 
 def clean_reply(text: Column | str, pairs: bool = True) -> Column:

@@ -123,6 +123,33 @@ def validate_totals(index: DataFrame, n_tokens: int, n_sentences: int | None = N
     return found.select(F.explode(F.array(*checks)).alias("x")).select("x.*").where("expected != found")
 
 
+def sentence_strata(rows: DataFrame, size: int, each: int, seed: int = 42) -> DataFrame:
+    """rows of a sample: the `each` sentences of least md5("seed:spos") in every stretch of `size` numbers. The same on every run; a stretch is a window of its own."""
+    stretch = F.floor(F.col("spos") / size)
+    at = F.row_number().over(Window.partitionBy("_s").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("spos").cast("string")).cast("binary")), "spos"))
+    return rows.withColumn("_s", stretch).withColumn("_at", at).where(F.col("_at") <= each).drop("_s", "_at")
+
+
+def validate_sample(index: DataFrame, sentences: DataFrame, size: int = 4096, each: int = 8, seed: int = 42) -> DataFrame:
+    """rule, spos, detail: what recounting a sample of the index's sentences in the corpus shows. index: spos, cpos, count; sentences: spos, cpos, words. Rules: missing (the corpus has no such sentence), cpos (by how much the index is ahead), count (by how much it is larger). Arrays are recounted for sampled sentences only."""
+    sample = sentence_strata(index.select("spos", "cpos", "count"), size, each, seed)
+    found = sample.join(sentences.select("spos", F.col("cpos").alias("_c"), F.size("words").alias("_n")), "spos", "left")
+    flaw = lambda rule, detail, bad: F.struct(F.lit(rule).alias("rule"), detail.cast("bigint").alias("detail"), F.coalesce(bad, F.lit(False)).alias("bad"))
+    flaws = F.array(
+        flaw("missing", F.lit(0), F.col("_n").isNull()), flaw("cpos", F.col("cpos") - F.col("_c"), F.col("cpos") != F.col("_c")), flaw("count", F.col("count") - F.col("_n"), F.col("count") != F.col("_n")),
+    )
+    return found.select("spos", F.explode(F.filter(flaws, lambda x: x["bad"])).alias("x")).select("x.rule", "spos", "x.detail")
+
+
+def sample_bound(index: DataFrame, violations: DataFrame, size: int = 4096, each: int = 8, seed: int = 42, z: float = 1.645) -> DataFrame:
+    """sampled, wrong (sentences), at_most: Wilson's upper bound, at 95 percent, for the share of wrong sentences in the whole index."""
+    n = sentence_strata(index.select("spos"), size, each, seed).agg(F.count("*").alias("sampled"))
+    wrong = violations.agg(F.count_distinct("spos").alias("wrong"))
+    p, m = F.col("wrong") / F.col("sampled"), F.col("sampled")
+    bound = (p + z * z / (2 * m) + z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+    return n.crossJoin(wrong).select("sampled", "wrong", F.when(m > 0, bound).otherwise(1.0).alias("at_most"))  # one row each
+
+
 def first_divergence(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: the least spos at which cpos or count differ or one index has no row, null if none."""
     x, y = (d.select("spos", F.col("cpos").alias(f"c{k}"), F.col("count").alias(f"n{k}")) for k, d in enumerate((a, b)))

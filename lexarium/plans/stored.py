@@ -93,3 +93,34 @@ def growing_index(spark, d):
         append.append_positions(append.document_stream(spark, folder, files_per_batch=1 << 30), out, progress).awaitTermination()
     total = F.aggregate(F.filter("char_len", lambda x: x.isNotNull()), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return append.grown_index(spark, out).select("doc_id", F.col("line").cast("bigint").alias("line"), "spos", "cpos", F.col("count").cast("bigint").alias("count"), total.alias("chars"))
+
+
+# ---- cross-check of a sample ----
+
+#: An index with planted flaws: every 97th count is one too large, every 89th position three ahead, and sentences that aren't there at its end.
+SAMPLE_SQL = SENT + """, ix AS (SELECT spos, cpos + CASE WHEN spos % 89 = 0 THEN 3 ELSE 0 END AS cpos, len(words) + CASE WHEN spos % 97 = 0 THEN 1 ELSE 0 END AS n FROM sent UNION ALL SELECT spos + (SELECT count(*) FROM sent), 0, 1 FROM sent WHERE spos < 100),
+sm AS (SELECT * FROM ix QUALIFY row_number() OVER (PARTITION BY spos // 64 ORDER BY md5('42:' || spos), spos) <= 16),
+jn AS (SELECT sm.spos, sm.cpos, sm.n, s.cpos AS c, len(s.words) AS m FROM sm LEFT JOIN sent s USING (spos)),
+vi AS (SELECT 'missing' AS rule, spos, 0 AS detail FROM jn WHERE m IS NULL UNION ALL SELECT 'cpos', spos, cpos - c FROM jn WHERE cpos <> c UNION ALL SELECT 'count', spos, n - m FROM jn WHERE n <> m)
+"""
+
+
+def _flawed(spark, d):
+    s = kept(sentences(spark, d).select("spos", "cpos", "words"), "sentences")
+    own = s.select("spos", (F.col("cpos") + F.when(F.col("spos") % 89 == 0, 3).otherwise(0)).alias("cpos"), (F.size("words") + F.when(F.col("spos") % 97 == 0, 1).otherwise(0)).alias("count"))
+    beyond = s.where("spos < 100").select((F.col("spos") + s.count()).alias("spos"), F.lit(0).alias("cpos"), F.lit(1).alias("count"))
+    return own.union(beyond), s
+
+
+@query("index_sample_check", SAMPLE_SQL + "SELECT rule, spos::BIGINT AS spos, detail::BIGINT AS detail FROM vi")
+def index_sample_check(spark, d):
+    """What a sample of a quarter of the sentences shows of a flawed index."""
+    flawed, s = _flawed(spark, d)
+    return index.validate_sample(flawed, s, 64, 16).select("rule", F.col("spos").cast("bigint"), "detail")
+
+
+@query("index_sample_bound", SAMPLE_SQL + "SELECT sampled, wrong, round((p + 1.645 * 1.645 / (2 * sampled) + 1.645 * sqrt(p * (1 - p) / sampled + 1.645 * 1.645 / (4 * sampled * sampled))) / (1 + 1.645 * 1.645 / sampled), 6) AS at_most FROM (SELECT *, wrong / sampled AS p FROM (SELECT (SELECT count(*) FROM sm) AS sampled, (SELECT count(DISTINCT spos) FROM vi) AS wrong))")
+def index_sample_bound(spark, d):
+    """How much of the index can be wrong, by that sample."""
+    flawed, s = _flawed(spark, d)
+    return index.sample_bound(flawed, index.validate_sample(flawed, s, 64, 16), 64, 16).select("sampled", "wrong", F.round("at_most", 6).alias("at_most"))

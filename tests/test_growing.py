@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexarium.operators import classify
+from lexarium.operators import classify, index
 from lexarium.sources import corpus
 from lexarium.streaming import append
 
@@ -80,3 +80,18 @@ def test_model_error_cards(spark):
     }
     alone = classify.model_error_cards(rows.withColumn("runs", F.slice("runs", 1, 1))).where("seq_id = 1 and gold_type = 'B'").first()
     assert alone.kind == "FN" and alone.context == "w0 w1 w2 w3 w4 w5 w6 w7"
+
+
+def test_sample_finds_planted_flaws_and_bounds_the_rest(spark):
+    s = spark.createDataFrame([(k, 2 * k, ["a", "b"]) for k in range(1000)], "spos long, cpos long, words array<string>")
+    good = s.select("spos", "cpos", F.size("words").alias("count"))
+    assert index.validate_sample(good, s, 100, 10).count() == 0
+    clean = index.sample_bound(good, index.validate_sample(good, s, 100, 10), 100, 10).first()
+    assert (clean.sampled, clean.wrong) == (100, 0) and clean.at_most == pytest.approx(1.645**2 / (100 + 1.645**2))
+    bad = good.withColumn("count", F.col("count") + F.when(F.col("spos") % 10 == 3, 1).otherwise(0)).union(spark.createDataFrame([(5000, 1, 1)], "spos long, cpos long, count int"))
+    every = {(r.rule, r.spos, r.detail) for r in index.validate_sample(bad, s, 100, 100).collect()}
+    assert every == {("count", k, 1) for k in range(3, 1000, 10)} | {("missing", 5000, 0)}
+    some = {(r.rule, r.spos, r.detail) for r in index.validate_sample(bad, s, 100, 20).collect()}
+    assert some < every and some == {(r.rule, r.spos, r.detail) for r in index.validate_sample(bad.repartition(5), s, 100, 20).collect()}
+    bound = index.sample_bound(bad, index.validate_sample(bad, s, 100, 20), 100, 20).first()
+    assert bound.wrong / bound.sampled < bound.at_most < 0.25
