@@ -807,6 +807,7 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], EMPTY).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     from lexarium.llm.queries import QUERIES
 
     for name, f in QUERIES.items():
