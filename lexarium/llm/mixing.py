@@ -1,9 +1,9 @@
 """Mixing sources to target weights, DataFrame functions only.
 
 The words of each source are packed into fixed-length blocks. The mix is a row of output shards of about
-SLOTS_PER_SHARD slots each. Every shard draws its source counts: with an expected count for each source, the whole parts
-are given and the remaining slots are drawn from a multinomial over the fractional parts (so a source's total stays
-within a few slots a shard of its target, which independent draws of all slots would miss by the root of its size).
+SLOTS_PER_SHARD slots each. Every shard draws its source counts from a multinomial over all its slots with the targets'
+shares. Independent draws miss a target by the root of its size, and a source might be asked for more than its cap, so
+totals are settled afterwards: the surplus of some sources, about that root, goes slot by slot to those that fell short.
 Prefix sums of the counts number a source's slots; a slot's ordinal goes through that source's pseudorandom permutation
 of block indices, a fresh one for each pass over the source, and slots meet blocks by a join on (source, index), which
 carries the shard along.
@@ -70,27 +70,46 @@ def ranked(sized: DataFrame) -> DataFrame:
 
 def draw(counts: DataFrame) -> DataFrame:
     """source_id, blocks, shard, first, n: how many slots of each shard a source gets, and the source's slots in the shards before. From source_id, blocks, expected (blocks that the target takes, a real number); one row per source."""
-    everything, n_sources = Window.partitionBy(), F.count("*").over(Window.partitionBy())
-    src = counts.withColumn("_sum", F.sum("expected").over(everything)).withColumn("_all", F.round("_sum").cast("long"))
-    src = src.withColumn("_shards", F.greatest(F.lit(1), F.floor(F.col("_all") / F.greatest(F.lit(SLOTS_PER_SHARD), SLOTS_PER_SOURCE * n_sources)))).where("_all > 0")
+    everything, by_id = Window.partitionBy(), Window.orderBy("source_id")
+    before = lambda c: F.coalesce(F.sum(c).over(by_id.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    src = counts.withColumn("_sum", F.sum("expected").over(everything)).withColumn("_all", F.round("_sum").cast("long")).where("_all > 0")
+    src = src.withColumn("_from", before("expected") / F.col("_sum")).withColumn("_to", F.sum("expected").over(by_id.rowsBetween(Window.unboundedPreceding, 0)) / F.col("_sum"))
+    whole = lambda c: F.floor(F.col(c) * F.col("_all") + 0.5)
+    src = src.withColumn("quota", whole("_to") - whole("_from"))
+    least = F.greatest(F.lit(SLOTS_PER_SHARD), SLOTS_PER_SOURCE * F.count("*").over(everything))
+    src = src.withColumn("_shards", F.greatest(F.lit(1), F.floor(F.col("_all") / least)))
     cells = src.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shards") - 1)))
+
+    # The multinomial: each slot's uniform number falls into the stretch of one source.
     edge = lambda k: F.floor(k * F.col("_all") / F.col("_shards"))
-    cells = cells.withColumn("_slots", edge(F.col("shard") + 1) - edge(F.col("shard"))).withColumn("_mean", F.col("_slots") * F.col("expected") / F.col("_sum"))
-    cells = cells.withColumn("_whole", F.floor("_mean")).withColumn("_part", F.col("_mean") - F.col("_whole"))
-    cells = cells.select("source_id", "blocks", "shard", "_slots", "_whole", "_part")
-    # The draws: a uniform number falls into the stretch of a source's fractional part.
-    in_shard = Window.partitionBy("shard")
-    upto = F.sum("_part").over(in_shard.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)) / F.sum("_part").over(in_shard)
-    stretches = cells.where("_part > 0").select("shard", F.coalesce(upto, F.lit(0.0)).alias("_at"), F.lit(0).alias("_draw"), "source_id")
-    rest = cells.groupBy("shard").agg((F.first("_slots") - F.sum("_whole")).alias("_rest")).where("_rest > 0")
-    draws = rest.select("shard", F.explode(F.sequence(F.lit(1), F.col("_rest").cast("int"))).alias("_draw"))
+    slots = cells.groupBy("shard").agg(F.first(edge(F.col("shard") + 1) - edge(F.col("shard"))).alias("_slots"))
+    slots = slots.select("shard", F.explode(F.sequence(F.lit(1), F.col("_slots").cast("int"))).alias("_draw"))
     uniform = (F.pmod(F.xxhash64("shard", "_draw", F.lit(SEED)), F.lit(1 << 53)) / float(1 << 53)).alias("_at")
-    both = stretches.union(draws.select("shard", uniform, "_draw", F.lit(None).cast("int").alias("source_id")))
-    met = F.last("source_id", ignorenulls=True).over(in_shard.orderBy("_at", "_draw").rowsBetween(Window.unboundedPreceding, 0))
-    drawn = both.select("shard", "_draw", met.alias("source_id")).where("_draw > 0").groupBy("shard", "source_id").agg(F.count("*").alias("_more"))
-    cells = cells.join(drawn.hint("merge"), ["shard", "source_id"], "left").withColumn("n", F.col("_whole") + F.coalesce("_more", F.lit(0)))
-    before = Window.partitionBy("source_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return cells.select("source_id", "blocks", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "n")
+    both = cells.select("shard", F.col("_from").alias("_at"), F.lit(0).alias("_draw"), "source_id")
+    both = both.union(slots.select("shard", uniform, "_draw", F.lit(None).cast("int").alias("source_id")))
+    met = F.last("source_id", ignorenulls=True).over(Window.partitionBy("shard").orderBy("_at", "_draw").rowsBetween(Window.unboundedPreceding, 0))
+    drawn = both.select("shard", "_draw", met.alias("source_id")).where("_draw > 0").groupBy("shard", "source_id").agg(F.count("*").alias("n"))
+    cells = cells.select("source_id", "blocks", "quota", "shard").join(drawn.hint("merge"), ["shard", "source_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return _settled(materialize(cells, "drawn"))
+
+
+def _settled(cells: DataFrame) -> DataFrame:
+    """Draws whose totals are the quotas: a source with too many slots gives up the surplus, evenly over those it drew, and sources with too few take these slots in pseudorandom order. See draw()."""
+    before = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    src = cells.groupBy("source_id").agg(F.sum("n").alias("_total"), F.first("quota").alias("_quota"))
+    src = src.withColumn("_over", F.greatest(F.col("_total") - F.col("_quota"), F.lit(0))).withColumn("_under", F.greatest(F.col("_quota") - F.col("_total"), F.lit(0)))
+    src = src.withColumns({"_over_at": before("_over"), "_under_at": before("_under"), "_moved": F.sum("_over").over(Window.partitionBy())})
+    src = materialize(src, "totals")
+    upto = F.sum("n").over(Window.partitionBy("source_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.drop("quota").join(small(src.select("source_id", "_total", "_over", "_over_at", "_moved"), SMALL_ROWS), "source_id").withColumn("_upto", upto)
+    cells = cells.withColumn("_hi", F.expr("if(_over = 0, 0, _upto * _over div _total)")).withColumn("_lo", F.expr("if(_over = 0, 0, (_upto - n) * _over div _total)"))
+    given = cells.where("_hi > _lo").select("shard", "_moved", F.explode(F.sequence(F.col("_over_at") + F.col("_lo"), F.col("_over_at") + F.col("_hi") - 1)).alias("_k"))
+    given = given.select("shard", permuted(F.col("_k"), F.col("_moved"), F.lit(SEED).cast("long")).alias("_unit"))
+    wanted = src.where("_under > 0").select("source_id", F.explode(F.sequence(F.col("_under_at"), F.col("_under_at") + F.col("_under") - 1)).alias("_unit"))
+    gained = given.join(wanted.hint("merge"), "_unit").groupBy("shard", "source_id").agg(F.count("*").alias("_gain"))
+    cells = cells.join(gained.hint("merge"), ["shard", "source_id"], "left").withColumn("n", F.col("n") - (F.col("_hi") - F.col("_lo")) + F.coalesce("_gain", F.lit(0)))
+    before_shard = Window.partitionBy("source_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.select("source_id", "blocks", "shard", F.coalesce(F.sum("n").over(before_shard), F.lit(0)).alias("first"), "n")
 
 
 def plan_mix(sized: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
