@@ -18,9 +18,10 @@ pages with too much text of their own haven't. So every pair of a bucket is in o
 its sketches or its rarest shingles, or compared exactly; and no list grows with the square of a bucket.
 
 Cases: a null or empty text, or one of white space, has an empty set and links with nothing; under five words the
-whole sequence is the only shingle; every row gets a result, and a component is named by its least doc_id, so rows
-that repeat a document stay or go together; a null doc_id links with nothing, has a null component and is kept; an
-empty table gives an empty result; other columns don't matter.
+whole sequence is the only shingle; every row gets a result, and a component is named by its least doc_id; rows of one
+doc_id are one document, which stays or goes as a whole: each of its texts' sets is compared once, however many rows have
+it, and what any of them links with, it links with; a null doc_id links with nothing, has a null component and is kept;
+an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -113,6 +114,11 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
+def signature(s: np.ndarray) -> list[int]:
+    """Two signed 64-bit sums that, with the size, stand for a set."""
+    return [int(mixed(s ^ c).sum(dtype=np.uint64).astype(np.int64)) for c in _SIG]
+
+
 FEATURES = "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, bands array<bigint>, low binary"
 
 
@@ -126,7 +132,7 @@ def features(docs: DataFrame) -> DataFrame:
             for text in batch.column(1):
                 s = shingles(text.as_py())
                 n.append(len(s))
-                sigs.append([int(mixed(s ^ c).sum(dtype=np.uint64).astype(np.int64)) for c in _SIG])
+                sigs.append(signature(s))
                 c = sketch(s) if len(s) else None
                 bands.append(np.empty(0, dtype=np.int64) if c is None else band_keys(c))
                 low.append(b"" if c is None else c.astype(np.uint8).tobytes())
@@ -138,9 +144,51 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, FEATURES)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids with 100 * intersection >= percent * union of their full shingle sets. Texts move to the pair's first document, then, with it, to the second; AQE splits a document with many partners."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("binary").alias("_text"))
+SET = ["sig1", "sig2", "n_shingles"]
+
+
+def repeated_texts(docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """rep, text: one text for each class whose doc_id has several rows, found among them by its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        works_as("shingles", _words.clear)
+        for batch in batches:
+            sets = [shingles(t.as_py()) for t in batch.column(1)]
+            sigs = [signature(s) for s in sets]
+            columns = [[x[0] for x in sigs], [x[1] for x in sigs], [len(s) for s in sets]]
+            yield pa.record_batch([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "text", *SET])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(repeated, "doc_id", "left_semi")
+    rows = rows.mapInArrow(run, "doc_id bigint, text binary, sig1 bigint, sig2 bigint, n_shingles bigint")
+    one = rows.groupBy("doc_id", *SET).agg(F.first("text").alias("text"))
+    return one.join(classes.where("many").select("rep", F.col("doc").alias("doc_id"), *SET), ["doc_id", *SET]).select("rep", "text")
+
+
+class Texts:
+    """The text of a class: that of its document, or, where the document has several rows, the one of these that has the class's set (extra: rep, text)."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, extra: DataFrame | None):
+        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("binary").alias("_text"))
+        self.classes, self.extra = classes, extra
+
+    def named(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """rows plus, for each key, the class's document (doc_<key>) and whether this has several rows (many_<key>)."""
+        for k in keys:
+            rows = rows.join(self.classes.select(F.col("rep").alias(k), F.col("doc").alias(f"doc_{k}"), F.col("many").alias(f"many_{k}")), k)
+        return rows
+
+    def add(self, rows: DataFrame, key: str) -> DataFrame:
+        """named() rows plus text_<key>. Texts move once, to their rows."""
+        columns, text = rows.columns, F.col("_text").alias(f"text_{key}")
+        if self.extra is None:
+            return rows.join(self.docs, rows[f"doc_{key}"] == self.docs["_id"]).select(*columns, text)
+        plain, many = rows.where(f"not many_{key}"), rows.where(f"many_{key}")
+        out = plain.join(self.docs, plain[f"doc_{key}"] == self.docs["_id"]).select(*columns, text)
+        return out.union(many.join(self.extra.select(F.col("rep").alias(key), F.col("text").alias("_text")), key).select(*columns, text))
+
+
+def confirmed(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes with 100 * intersection >= percent * union of their full shingle sets. Texts move to the pair's first document, then, with it, to the second; AQE splits a document with many partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None
@@ -161,9 +209,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     hits.append(k)
             yield pa.record_batch([pa.array([a[k] for k in hits], pa.int64()), pa.array([b[k] for k in hits], pa.int64())], names=["a", "b"])
 
-    first = pairs.join(texts, pairs["a"] == texts["_id"]).select("a", "b", F.col("_text").alias("text_a"))
-    both = first.join(texts, first["b"] == texts["_id"]).select("a", "b", "text_a", F.col("_text").alias("text_b"))
-    return both.mapInArrow(run, "a bigint, b bigint")
+    both = texts.add(texts.add(texts.named(pairs, "a", "b"), "a"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def least_agreement(percent: int) -> float:
@@ -177,7 +224,7 @@ def _ceil(a, b):
 
 
 def rare_prefixes(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """token, rep, component, n, pos, own: each set's shingles, from rare to frequent, up to the length that a link with a smaller set needs; own: also up to that for a larger one. Tokens of one component only are left out. From reps (rep, component)."""
+    """token, rep, component, n, pos, own: each set's shingles, from rare to frequent, up to the length that a link with a smaller set needs; own: also up to that for a larger one. Tokens of one component only are left out. From reps (rep, component) and their texts (doc_id: rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         works_as("shingles", _words.clear)
@@ -271,11 +318,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     found = materialize(features(docs), "features")
     sets = found.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(sets.groupBy("sig1", "sig2", "n_shingles", "bands").agg(F.min("doc_id").alias("rep")), "classes")
+    repeated = materialize(sets.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "repeated")
+    repeats = not repeated.isEmpty()
+    classes = sets.groupBy(*SET, "bands").agg(F.min("doc_id").alias("doc"))
+    if repeats:
+        classes = classes.join(repeated.select(F.col("doc_id").alias("_many")), F.col("doc") == F.col("_many"), "left").withColumn("many", F.col("_many").isNotNull()).drop("_many")
+    else:
+        classes = classes.withColumn("many", F.lit(False))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    texts = Texts(docs, classes, materialize(repeated_texts(docs, classes, repeated), "texts") if repeats else None)
     entries = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("rep").alias("low_rep"), F.max("rep").alias("high_rep"), F.count("*").alias("m")).where("low_rep < high_rep")
     members = materialize(entries.join(buckets.select("key", "low_rep", "m"), "key"), "members")
-    links = materialize(confirmed(materialize(_distinct(members.select(F.col("rep").alias("a"), F.col("low_rep").alias("b"))), "pairs"), docs, percent), "links")
+    links = confirmed(materialize(_distinct(members.select(F.col("rep").alias("a"), F.col("low_rep").alias("b"))), "pairs"), texts, percent)
+    if repeats:  # the classes of one document are linked through it
+        of = sets.join(repeated, "doc_id", "left_semi").select("doc_id", *SET).distinct().join(classes.select(*SET, "rep"), SET)
+        of = materialize(of.select("doc_id", "rep"), "own")
+        links = links.union(of.join(of.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").where("rep != b").select(F.col("rep").alias("a"), "b"))
+    links = materialize(links, "links")
     labels = components(links)
 
     # Members with their components; buckets of two have been compared.
@@ -286,7 +346,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     scratch = [members, named]
     named = materialize(named.join(split, "key").join(home, "key"), "split")
     release(*scratch)
-    sketches = found.select("sig1", "sig2", "n_shingles", "bands", "low").join(classes.select("sig1", "sig2", "n_shingles", "rep"), ["sig1", "sig2", "n_shingles"])
+    sketches = found.select(*SET, "bands", "low").join(classes.select(*SET, "rep"), SET)
     sketches = materialize(sketches.join(named.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.first("bands").alias("bands"), F.first("low").alias("low")), "sketches")
     full = named.where(F.col("m") <= LARGE).join(sketches, "rep").withColumn("_block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK)))
     member = F.struct("rep", "component", "n", "bands", "low")
@@ -295,17 +355,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     more = likely(odd.join(others, "key"), percent)
     crowded = named.where(F.col("m") > LARGE).select("rep", "component").distinct()
     if not crowded.isEmpty():
-        prefixes = rare_prefixes(crowded, docs, percent)
+        prefixes = rare_prefixes(crowded, texts.add(texts.named(crowded, "rep"), "rep").select(F.col("rep").alias("doc_id"), F.col("text_rep").alias("text")), percent)
         more = more.union(alike(materialize(_distinct(paired(prefixes, percent)), "pairs"), sketches, percent))
     more = materialize(_distinct(more), "pairs")
     if not more.isEmpty():
-        new = confirmed(more, docs, percent)
+        new = confirmed(more, texts, percent)
         labels = components(links.union(new))
     release(named, sketches, links, more)
 
-    of_class = classes.select("sig1", "sig2", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("sig1", "sig2", "n_shingles", F.coalesce("component", "rep").alias("_c"))
-    out = found.drop("bands", "low").join(of_class, ["sig1", "sig2", "n_shingles"], "left")
+    # A component goes by its least doc_id.
+    linked = materialize(labels.join(classes.select(F.col("rep").alias("node"), "doc"), "node"), "linked")
+    linked = linked.join(linked.groupBy("component").agg(F.min("doc").alias("_c")), "component").select(F.col("node").alias("rep"), "_c")
+    of_class = classes.select(*SET, "rep", "doc").join(linked, "rep", "left").select(*SET, F.coalesce("_c", "doc").alias("_c"))
+    out = found.drop("bands", "low").join(of_class, SET, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
