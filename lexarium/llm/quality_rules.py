@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import NOT_WS, WS, let, materialize, read_table, words
 
 WINDOW = 5
+STRETCH = 1000
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 KEEP_FROM = 0.5
@@ -39,7 +40,7 @@ def _repeat_words(grams: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """_row (struct of keep's columns, or of all) and n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_distinct, n_stops, n_upper, n_marked_words, n_marked_lines (long)."""
+    """_row (struct of keep's columns, or of all) and n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_distinct, n_stops, n_upper, n_marked_words, n_marked_lines (long). Distinct words are counted in each STRETCH words by themselves and added up, so that their share doesn't fall with a text's length."""
     t = F.col("_t")
     df = docs.select(F.struct(*(docs.columns if keep is None else keep)).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     df = df.withColumn("_w", words(t)).withColumn("_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_WS)))
@@ -55,7 +56,7 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         "n_lines": F.size("_l"),
         "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
         "n_repeat_words": _repeat_words(F.col("_g")),
-        "n_distinct": F.size(F.array_distinct("_w")),
+        "n_distinct": let(F.col("_w"), lambda w: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(STRETCH)), F.lit(0), lambda a, k: a + F.size(F.array_distinct(F.slice(w, k, STRETCH))))),
         "n_stops": only(".!?"),
         "n_upper": only("A-Z"),
         "n_marked_words": marked(F.col("_w")),
@@ -81,7 +82,7 @@ def rules() -> dict[str, Column]:
         "marked_words": share(n >= 10, "n_marked_words", n, 0.15, 0.05),
         "marked_lines": share(n >= 10, "n_marked_lines", lines, 0.5, 0.2),
         "repetition": share(n >= 20, "n_repeat_words", n, MAX_REPEAT_PERCENT / 100, 0.05),
-        "vocabulary": vote((n >= 50) & (n < 5000), F.col("n_distinct") < 0.35 * n, F.col("n_distinct") >= 0.5 * n),
+        "vocabulary": vote(n >= 50, F.col("n_distinct") < 0.35 * n, F.col("n_distinct") >= 0.5 * n),
         "lines": share(lines >= 4, "n_dup_lines", lines, 0.3, 0.1),
         "capitals": share(n >= 10, "n_upper", chars, 0.35, 0.15),
         "word_length": vote(n >= 20, ~mean.between(3.5, 7), mean.between(4, 6.5)),
