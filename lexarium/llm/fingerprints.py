@@ -36,7 +36,7 @@ CLASSES, WIDTH = 12, 16
 BITS_EQUAL = 20
 MAX_BIT_ERROR = 0.1
 MIN_OVERLAP = WIDTH + 1
-#: Queries and frames of classes in a block; offsets that are looked at together.
+#: Queries in a block, frames of its queries and of its classes (on average; a recording isn't cut); offsets that are looked at together.
 QUERIES, FRAMES, MARKS = 1024, 1 << 20, 1 << 25
 
 
@@ -179,8 +179,8 @@ def links(whole: DataFrame) -> DataFrame:
     """q, c, offset, overlap, error: the asked classes and the other classes that align with them. From class_id, asked, n_frames, fp."""
     asked = whole.where("asked = 1").select("class_id", "fp")
     usable = whole.where(F.col("n_frames") >= MIN_OVERLAP)
-    n_queries, frames = asked.count(), usable.agg(F.coalesce(F.sum("n_frames"), F.lit(0))).first()[0]
-    q_blocks, c_blocks = max(1, -(-n_queries // QUERIES)), max(1, -(-frames // FRAMES))
+    n_queries, q_frames, frames = whole.agg(F.count_if("asked = 1"), *[F.coalesce(F.sum(F.when(c, F.col("n_frames"))), F.lit(0)) for c in (F.col("asked") == 1, F.col("n_frames") >= MIN_OVERLAP)]).first()
+    q_blocks, c_blocks = max(1, -(-n_queries // QUERIES), -(-q_frames // FRAMES)), max(1, -(-frames // FRAMES))
     at = lambda n: F.pmod(F.xxhash64("class_id", F.lit(n)), F.lit(n))
     queries = asked.groupBy(at(q_blocks).cast("int").alias("qb")).agg(F.collect_list(F.struct("class_id", "fp")).alias("queries"))
     dealt = usable.select("class_id", "fp", at(c_blocks).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
