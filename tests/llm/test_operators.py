@@ -1,14 +1,17 @@
 """Each operator against a brute-force version on a small table with nulls, empty and long texts, repeats and ties."""
 
 import hashlib
+import math
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lexarium.llm import ans, fingerprints, langid, mixing, neardup, packing, quality_classifier, quality_rules, secrets, token_counts, tokens
@@ -381,6 +384,32 @@ def test_leftover_pairs_meet_in_blocks(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, 85).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
 
 
+@pytest.mark.parametrize("large", [20_000, 1])
+def test_rows_of_one_doc_id_are_one_document(spark, monkeypatch, large):
+    """Ids with many equal rows, with other white space, and with several texts: a class's text is looked up once, and a document links with whatever one of its texts links with. LARGE of 1 sends all buckets the second way."""
+    monkeypatch.setattr(neardup, "LARGE", large)
+    looked_up, real = [], neardup.confirmed
+
+    def watched(pairs, texts, percent):
+        looked_up.append((pairs.count(), texts.add(texts.add(texts.named(pairs, "a", "b"), "a"), "b").count()))
+        return real(pairs, texts, percent)
+
+    monkeypatch.setattr(neardup, "confirmed", watched)
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    other = [f"o{rng.randrange(10**6)}" for _ in range(200)]
+    near = lambda w, k: " ".join([*w[:k], "x", *w[k + 1 :]])
+    rows = [(5, " ".join(base))] * 300 + [(7, near(base, 100))] * 300 + [(7, near(base, 100).replace(" ", "  "))] * 50
+    rows += [(9, near(base, 50)), (9, " ".join(other)), (11, near(other, 20)), (12, "no link at all of this one"), (12, "nor of that one here"), (4, near(other, 90))]
+    rows += [(20, "a b c d e f"), (20, None), (21, "")] + [(-(2**63), "p q r s t u v"), (2**63 - 1, "p q r s t u v"), (2**63 - 1, "p q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = neardup.near_duplicates(df, 85).collect()
+    least = {5: 4, 7: 4, 9: 4, 11: 4, 4: 4, 12: 12, 20: 20, 21: 21, -(2**63): -(2**63), 2**63 - 1: -(2**63)}
+    assert len(got) == len(rows) and all((r.component_id, r.kept) == (least[r.doc_id], least[r.doc_id] == r.doc_id) for r in got)
+    assert Counter(r.n_shingles for r in got)[196] == 300 + 300 + 50 + 4
+    assert looked_up and all(n == m for n, m in looked_up)
+
+
 @pytest.mark.parametrize("percent", [85, 80])
 def test_large_buckets_are_paired_by_rare_shingles(spark, percent, monkeypatch):
     """Pages of one template that aren't linked share all buckets; linked pairs hide among them. Equal to brute force with every bucket taken for a large one, and the pages make no pairs."""
@@ -608,8 +637,50 @@ def test_mixing(spark, docs, rows, sf):
     assert mixed == taken
 
 
+def spark_hash(*values):
+    """xxhash64 of longs, and of integers given as one-element tuples, as Spark chains it; signed."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<i", *v) if isinstance(v, tuple) else struct.pack("<q", v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_draw(expected, per_shard):
+    """{(shard, source): n} before and after the totals are settled: a multinomial by inversion for each shard."""
+    total, names = sum(expected.values()), sorted(expected)
+    n_slots, at, ends = round(total), 0.0, []
+    for s in names:
+        at += expected[s]
+        ends.append(at)
+    shards = max(1, n_slots // per_shard)
+    drawn = Counter()
+    for k in range(shards):
+        for j in range((k + 1) * n_slots // shards - k * n_slots // shards):
+            u = spark_hash(k, (j + 1,), (mixing.SEED,)) % (1 << 53) / (1 << 53)
+            drawn[k, names[sum(e / total <= u for e in ends[:-1])]] += 1
+    quota = {s: math.floor(e / total * n_slots + 0.5) - math.floor(f / total * n_slots + 0.5) for s, e, f in zip(names, ends, [0.0, *ends], strict=False)}
+    got = {s: sum(drawn[k, s] for k in range(shards)) for s in names}
+    given, wanted, settled = [], [], Counter(drawn)
+    for s in names:
+        over, upto, lost = max(0, got[s] - quota[s]), 0, 0
+        for k in range(shards):
+            upto += drawn[k, s]
+            while over and lost < upto * over // got[s]:
+                given.append(k)
+                settled[k, s] -= 1
+                lost += 1
+        wanted += [s] * max(0, quota[s] - got[s])
+    for i, k in enumerate(given):
+        settled[k, wanted[plain_permuted(i, len(given), mixing.SEED)]] += 1
+    return drawn, settled, quota
+
+
+def plain_permuted(x, n, salt):
+    return (mixing.PRIMES[salt % 4] % n * x + spark_hash(salt) % n) % n
+
+
 def test_shards_draw_their_source_counts(spark, monkeypatch):
-    """Counts of a shard add up to its slots, lie around the expected number, differ between shards, and their prefix sums number the slots."""
+    """The counts are those of a plain multinomial draw with settled totals; before that they spread as a multinomial's do; prefix sums number the slots."""
     monkeypatch.setattr(mixing, "SLOTS_PER_SHARD", 100)
     monkeypatch.setattr(mixing, "SLOTS_PER_SOURCE", 1)
     expected = {1: 1234.4, 2: 77.7, 3: 0.3, 4: 2500.1, 5: 187.5}
@@ -617,18 +688,59 @@ def test_shards_draw_their_source_counts(spark, monkeypatch):
     rows = mixing.draw(df).collect()
     total, shards = round(sum(expected.values())), len({r.shard for r in rows})
     assert shards == total // 100 and sum(r.n for r in rows) == total and len(rows) == 5 * shards
-    slots = Counter()
-    for r in rows:
-        mean = 100 * expected[r.source_id] / sum(expected.values())
-        assert int(mean * 0.99) <= r.n <= mean + 1.02 * 5, (r, mean)
-        slots[r.shard] += r.n
-    assert set(slots.values()) <= {total // shards, total // shards + 1}
+    drawn, settled, quota = plain_draw(expected, 100)
+    assert {(r.shard, r.source_id): r.n for r in rows if r.n} == {c: n for c, n in settled.items() if n} and settled != drawn
     for k, e in expected.items():
         mine, at = sorted((r.shard, r.first, r.n) for r in rows if r.source_id == k), 0
         for _, first, n in mine:
-            assert first == at
+            assert first == at and n >= 0
             at += n
-        assert abs(at - e) <= 4 * (len(mine) ** 0.5) and (len({n for *_, n in mine}) > 1 or e < 1)
+        assert at == quota[k] and abs(at - e) <= 1
+        p = e / sum(expected.values())
+        if e > 50:
+            for counts in ([n for *_, n in mine], [drawn[s, k] for s in range(shards)]):
+                assert 0.4 < np.var(counts) / (100 * p * (1 - p)) < 2, "as a multinomial's"
+
+
+def test_taken_words_follow_from_the_draws(spark, monkeypatch):
+    """Every document's taken words and shards against a plain version of the whole mix."""
+    for name, value in (("SLOTS_PER_SHARD", 20), ("SLOTS_PER_SOURCE", 1), ("BUCKET_DOCS", 8)):
+        monkeypatch.setattr(mixing, name, value)
+    rng = random.Random(8)
+    rows = [(k, prose(rng, "en", rng.randint(0, 300)), f"s{min(k % 7, 4)}" if k % 9 else None) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    sized = mixing.materialize(mixing.with_sizes(df).drop("text"), "sized")
+    out, pieces, _ = mixing.plan_mix(sized)
+    taken = pieces.groupBy("_rid").agg(F.sum((F.col("last") - F.col("first")) * F.size("shards")).alias("taken"), F.flatten(F.collect_list("shards")).alias("shards"))
+    got = {r.doc_id: (r.taken or 0, set(r.shards or ())) for r in out.join(taken, "_rid", "left").collect()}
+
+    by = {}
+    for r in sized.collect():
+        by.setdefault(r.source, []).append((r.doc_id, r.text_hash, r.size))
+    names = sorted(by, key=lambda s: (s is None, s))
+    want = shares({s: sum(d[2] for d in by[s]) for s in names})
+    blocks, expected = {}, {}
+    for j, s in enumerate(names, 1):
+        buckets = {}
+        for d in sorted(by[s]):
+            buckets.setdefault(spark_hash(d[0], d[1], 0, (mixing.SEED,)) % -(-len(by[s]) // 8), []).append(d)
+        blocks[j] = []  # of each: document -> words
+        for b in sorted(buckets):
+            words = [d[0] for d in buckets[b] for _ in range(d[2])]
+            blocks[j] += [Counter(words[k : k + 64]) for k in range(0, len(words), 64)]
+        expected[j] = want[s] * len(blocks[j]) / sum(d[2] for d in by[s])
+    plain = {d: [0, set()] for d, *_ in rows}
+    _, settled, _ = plain_draw(expected, 20)
+    for j, mine in blocks.items():
+        slots = [k for k in range(max(c[0] for c in settled) + 1) for _ in range(settled[k, j])]
+        for k, shard in enumerate(slots):
+            turn, at = divmod(k, len(mine))
+            if turn < 3:
+                h = spark_hash((j,), turn, (mixing.SEED,))
+                for d, n in mine[plain_permuted(at, len(mine), abs(h) % (1 << 40))].items():
+                    plain[d][0] += n
+                    plain[d][1].add(shard)
+    assert got == {d: tuple(x) for d, x in plain.items()} and max(n for n, _ in got.values()) > 0
 
 
 def test_mix_does_not_depend_on_the_layout_and_carries_shards(spark, monkeypatch):
@@ -665,6 +777,20 @@ def test_permutation(spark):
         assert sorted(x.x for x in r) == list(range(n))
 
 
+def test_vocabulary_judges_texts_of_all_lengths(spark):
+    """The share of distinct words is taken in stretches, so that a long text of a rich language isn't taken for a poor one, and a poor one stays poor."""
+    rng = random.Random(6)
+    rich = lambda n: " ".join(f"w{rng.randrange(20_000)}" for _ in range(n))
+    poor = lambda n: " ".join(f"w{rng.randrange(60)}" for _ in range(n))
+    rows = [(k, f(n)) for k, (f, n) in enumerate((f, n) for f in (rich, poor) for n in (400, 1000, 4999, 5000, 30_001))] + [(10, None), (11, "a b")]
+    table = quality_rules.measure(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("v", quality_rules.rules()["vocabulary"])
+    got = {r["_row"].doc_id: r for r in table.collect()}
+    assert [got[k].v for k in range(12)] == [1] * 5 + [-1] * 5 + [0, 0]
+    for k, text in rows:
+        w = WORD.findall(text or "")
+        assert got[k].n_distinct == sum(len(set(w[i : i + 1000])) for i in range(0, len(w), 1000))
+
+
 def test_quality_classifier(spark, rows, sf):
     got = quality_classifier.op10_quality_classifier(spark, sf).collect()
     assert len(got) == len(rows) and all(0 <= r.quality <= 1 for r in got)
