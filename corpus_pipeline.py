@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexarium.llm import mixing, neardup, packing, quality_classifier, secrets
-from lexarium.llm.common import materialize
+from lexarium.llm.common import materialize, release
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -58,9 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, "stage")
-    return docs
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage")
+        if last is not None:  # nothing reads the stage before any more
+            release(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
