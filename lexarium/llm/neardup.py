@@ -327,9 +327,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         classes = classes.withColumn("many", F.lit(False))
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     texts = Texts(docs, classes, materialize(repeated_texts(docs, classes, repeated), "texts") if repeats else None)
-    entries = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("rep").alias("low_rep"), F.max("rep").alias("high_rep"), F.count("*").alias("m")).where("low_rep < high_rep")
-    members = materialize(entries.join(buckets.select("key", "low_rep", "m"), "key"), "members")
+    entries = classes.select("rep", "doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    least = F.min(F.struct("doc", "rep"))["rep"]  # the first by doc_id, as an original mostly is
+    buckets = entries.groupBy("key").agg(least.alias("low_rep"), F.count("*").alias("m")).where("m > 1")
+    members = materialize(entries.drop("doc").join(buckets.select("key", "low_rep", "m"), "key"), "members")
     links = confirmed(materialize(_distinct(members.select(F.col("rep").alias("a"), F.col("low_rep").alias("b"))), "pairs"), texts, percent)
     if repeats:  # the classes of one document are linked through it
         of = sets.join(repeated, "doc_id", "left_semi").select("doc_id", *SET).distinct().join(classes.select(*SET, "rep"), SET)
