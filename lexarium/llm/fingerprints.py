@@ -179,7 +179,7 @@ def links(whole: DataFrame) -> DataFrame:
     """q, c, offset, overlap, error: the asked classes and the other classes that align with them. From class_id, asked, n_frames, fp."""
     asked = whole.where("asked = 1").select("class_id", "fp")
     usable = whole.where(F.col("n_frames") >= MIN_OVERLAP)
-    n_queries, q_frames, frames = whole.agg(F.count_if("asked = 1"), *[F.coalesce(F.sum(F.when(c, F.col("n_frames"))), F.lit(0)) for c in (F.col("asked") == 1, F.col("n_frames") >= MIN_OVERLAP)]).first()
+    n_queries, q_frames, frames = whole.agg(F.count_if(F.col("asked") == 1), *[F.coalesce(F.sum(F.when(c, F.col("n_frames"))), F.lit(0)) for c in (F.col("asked") == 1, F.col("n_frames") >= MIN_OVERLAP)]).first()
     q_blocks, c_blocks = max(1, -(-n_queries // QUERIES), -(-q_frames // FRAMES)), max(1, -(-frames // FRAMES))
     at = lambda n: F.pmod(F.xxhash64("class_id", F.lit(n)), F.lit(n))
     queries = asked.groupBy(at(q_blocks).cast("int").alias("qb")).agg(F.collect_list(F.struct("class_id", "fp")).alias("queries"))
