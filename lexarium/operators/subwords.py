@@ -1,12 +1,18 @@
 """Sub-words by the longest match first, label alignment over them, and token statistics of several tokenizations.
 
 A word is cut from left to right, each time at the longest piece of a table that fits; pieces inside a word begin with
-MARK. A word that can't be cut to its end is one UNKNOWN piece. Every distinct word's substrings meet the table in one
-join; what fits where is then folded over the word, in as many steps as it has characters.
+MARK. A word that can't be cut to its end is one UNKNOWN piece. A table of at most HELD_PIECES pieces is sent to every
+task, and words and sentences are cut where they stand. A larger one meets every distinct word's substrings in one join;
+what fits where is then folded over the word, in as many steps as it has characters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +21,59 @@ from lexarium.operators.classify import align_subwords
 #: How such tables write pieces inside a word, and the piece for what they can't spell.
 MARK, UNKNOWN = "##", "[UNK]"
 LONGEST_PIECE, LONGEST_WORD = 12, 100
+#: Tables of more pieces are joined.
+HELD_PIECES = 1 << 18
+
+
+def held_pieces(pieces: DataFrame, longest: int = LONGEST_PIECE) -> frozenset[str] | None:
+    """The pieces of up to `longest` characters, if there are at most HELD_PIECES."""
+    inside = F.when(F.col("piece").startswith(MARK), len(MARK)).otherwise(0)
+    rows = pieces.select("piece").where(F.length("piece") - inside <= longest).distinct().limit(HELD_PIECES + 1).collect()
+    return frozenset(r["piece"] for r in rows) if len(rows) <= HELD_PIECES else None
+
+
+def _cutter(table: frozenset[str], longest: int, longest_word: int) -> Callable[[str | None], list[str]]:
+    inside = {p.removeprefix(MARK): p for p in table if p.startswith(MARK)}
+    first = {p: p for p in table}
+    most = [min(longest, max(map(len, t), default=0)) for t in (first, inside)]
+
+    def cut(word: str | None) -> list[str]:
+        if not word:
+            return []
+        out, at, size = [], 0, len(word)
+        while at < size <= longest_word:
+            held = inside if at else first
+            for end in range(min(at + most[at > 0], size), at, -1):
+                if (piece := held.get(word[at:end])) is not None:
+                    break
+            else:
+                break
+            out.append(piece)
+            at = end
+        return out if at == size else [UNKNOWN]
+
+    return lru_cache(1 << 18)(cut)
 
 
 def word_pieces(words: DataFrame, pieces: DataFrame, longest: int = LONGEST_PIECE, longest_word: int = LONGEST_WORD) -> DataFrame:
     """word, pieces (array<string>) of the distinct words (word); pieces: piece. Pieces over `longest` characters are never used; longer words than longest_word are unknown; the empty word has no piece."""
     w = words.select("word").where("word is not null").distinct()
+    table = held_pieces(pieces, longest)
+    if table is None:
+        return joined_pieces(w, pieces, longest, longest_word)
+    sent = words.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        each = _cutter(sent.value, longest, longest_word)
+        for batch in batches:
+            yield pa.array([each(x) for x in batch.to_pylist()], pa.list_(pa.string()))
+
+    return w.select("word", cut("word").alias("pieces"))
+
+
+def joined_pieces(w: DataFrame, pieces: DataFrame, longest: int = LONGEST_PIECE, longest_word: int = LONGEST_WORD) -> DataFrame:
+    """word_pieces() of distinct words by a join with the pieces, of which there may be any number."""
     short = w.where(F.length("word").between(1, longest_word))
     parts = short.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("at"))
     parts = parts.select("word", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("at")))).alias("n"))
@@ -52,6 +106,37 @@ def piece_sentences(sentences: DataFrame, keys: list[str], known: DataFrame, wor
     return sentences.join(lists, keys, "left").select(*sentences.columns, none("pieces", "array<string>"), none("word_ids", "array<int>"))
 
 
+def cut_sentences(sentences: DataFrame, keys: list[str], pieces: DataFrame, words: str = "words", max_length: int | None = None, longest: int = LONGEST_PIECE, longest_word: int = LONGEST_WORD) -> DataFrame:
+    """piece_sentences() by the pieces themselves (piece). Up to HELD_PIECES of them, no word leaves its row; keys serve only beyond that."""
+    table = held_pieces(pieces, longest)
+    if table is None:
+        listed = sentences.select(F.explode(words).alias("word"))
+        return piece_sentences(sentences, keys, joined_pieces(listed.where("word is not null").distinct(), pieces, longest, longest_word), words, max_length)
+    sent = sentences.sparkSession.sparkContext.broadcast(table)
+    most = None if max_length is None else max(0, max_length - 2)
+
+    @F.arrow_udf("struct<pieces:array<string>,word_ids:array<int>>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        each = _cutter(sent.value, longest, longest_word)
+        for batch in batches:
+            flat = batch.flatten().dictionary_encode()
+            lists = pa.array([each(x) for x in flat.dictionary.to_pylist()], pa.list_(pa.string())).take(flat.indices)
+            sizes = np.asarray(batch.value_lengths().fill_null(0), np.int64)
+            counts = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+            ends = np.cumsum(sizes)
+            place = np.arange(len(counts)) - np.repeat(ends - sizes, sizes)
+            upto = np.concatenate([[0], np.cumsum(counts)])
+            first, have = upto[ends - sizes], upto[ends] - upto[ends - sizes]
+            ids, found = np.repeat(place, counts).astype(np.int32), lists.flatten()
+            if most is not None:
+                on = np.arange(len(ids)) - np.repeat(first, have) < most
+                ids, found, have = ids[on], found.filter(pa.array(on)), np.minimum(have, most)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(have)]).astype(np.int32))
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, found), pa.ListArray.from_arrays(offsets, pa.array(ids))], ["pieces", "word_ids"])
+
+    return sentences.withColumn("_cut", cut(words)).select(*sentences.columns, F.col("_cut.pieces").alias("pieces"), F.col("_cut.word_ids").alias("word_ids"))
+
+
 def aligned_labels(rows: DataFrame, labels: str, label_ids: dict[str, int], out: str = "label_ids") -> DataFrame:
     """rows of piece_sentences() plus out: the word's label id on its first piece (past a bare mark), -100 on all others."""
     return rows.withColumn(out, align_subwords(F.col(labels), F.col("word_ids"), label_ids, F.col("pieces")))

@@ -34,15 +34,19 @@ def piece_table(words: DataFrame) -> DataFrame:
     return cut.groupBy(piece.alias("piece"), "k").agg(F.sum("n").alias("n")).where(F.col("n") >= F.when(F.col("k") == 1, 5).otherwise(60)).select("piece")
 
 
-def _known(spark, d) -> DataFrame:
-    words = kept(_lines(spark, d).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
-    return subwords.word_pieces(words, piece_table(words))
+def _words(spark, d) -> DataFrame:
+    return kept(_lines(spark, d).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+
+
+def _pieces(spark, d) -> DataFrame:
+    return kept(piece_table(_words(spark, d)), "pieces")
 
 
 @query("word_pieces", PIECES_SQL + "SELECT word, array_to_string(pieces, ' ') AS pieces, len(pieces)::BIGINT AS n FROM wp")
 def word_pieces(spark, d):
     """Every distinct word of all documents in pieces."""
-    return _known(spark, d).select("word", F.array_join("pieces", " ").alias("pieces"), F.size("pieces").cast("bigint").alias("n"))
+    words = _words(spark, d)
+    return subwords.word_pieces(words, kept(piece_table(words), "pieces")).select("word", F.array_join("pieces", " ").alias("pieces"), F.size("pieces").cast("bigint").alias("n"))
 
 
 ALIGN_SQL = PIECES_SQL + """, fl AS (SELECT doc_id, line, i, unnest(pieces) AS p, generate_subscripts(pieces, 1) AS k FROM tok JOIN wp ON wp.word = tok.w),
@@ -54,7 +58,7 @@ nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i, k) AS
 def piece_alignment(spark, d):
     """Every line in at most 128 pieces with its two special ones; spans of two words, B and I, on their first pieces."""
     label = F.transform("words", lambda w, i: F.when(i % 7 == 3, "B-LOAN").when(i % 7 == 4, "I-LOAN").otherwise("O"))
-    rows = subwords.piece_sentences(_lines(spark, d), ["doc_id", "line"], _known(spark, d), max_length=128).withColumn("labels", label)
+    rows = subwords.cut_sentences(_lines(spark, d), ["doc_id", "line"], _pieces(spark, d), max_length=128).withColumn("labels", label)
     out = subwords.aligned_labels(rows, "labels", {"O": 0, "B-LOAN": 1, "I-LOAN": 2})
     return out.select("doc_id", F.col("line").cast("bigint").alias("line"), F.array_join("pieces", " ").alias("pieces"), F.array_join(F.col("label_ids").cast("array<string>"), " ").alias("label_ids"))
 
@@ -65,7 +69,7 @@ COUNTS_SQL = ALIGN_SQL + """, ln AS (SELECT 'pieces' AS model, doc_id, line, cou
 
 def _two_tokenizations(spark, d) -> DataFrame:
     """model, value, n: lines by their pieces and by their words."""
-    rows = subwords.piece_sentences(_lines(spark, d), ["doc_id", "line"], _known(spark, d))
+    rows = subwords.cut_sentences(_lines(spark, d), ["doc_id", "line"], _pieces(spark, d))
     pieces, words = (subwords.length_counts(rows.withColumn("model", F.lit(m)), ["model"], F.size(m)) for m in ("pieces", "words"))
     return kept(subwords.merged_counts(pieces, words), "lengths")
 

@@ -69,3 +69,21 @@ def test_token_statistics_equal_numpy(spark):
         n, edges = np.histogram(x, 10)
         for k in range(10):
             assert bins.get((m, k), (0, edges[k], edges[k + 1])) == pytest.approx((n[k], edges[k], edges[k + 1]))
+
+
+def test_held_and_joined_pieces_agree(spark, known, monkeypatch):
+    words, _ = known
+    table = spark.createDataFrame([(p,) for p in PIECES], "piece string")
+    lines = [["unaffable", "zzz", None, "abun"], [], None, words[:40], ["", "un", "un"]]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id int, words array<string>")
+    held = {n: subwords.cut_sentences(rows, ["id"], table, max_length=n) for n in (None, 2, 7)}
+    alone = subwords.word_pieces(spark.createDataFrame([(w,) for w in words], "word string"), table)
+    # No word leaves its row: nothing is exploded or shuffled.
+    plan = held[None]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and "Join" not in plan
+    assert "Join" not in alone._jdf.queryExecution().executedPlan().toString()
+    got = {n: sorted(df.collect()) for n, df in held.items()}
+    pieces = {r.word: r.pieces for r in alone.collect()}
+    monkeypatch.setattr(subwords, "HELD_PIECES", 3)
+    assert {n: sorted(subwords.cut_sentences(rows, ["id"], table, max_length=n).collect()) for n in held} == got
+    assert {r.word: r.pieces for r in subwords.word_pieces(spark.createDataFrame([(w,) for w in words], "word string"), table).collect()} == pieces
