@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lexarium.operators import annotation as A
@@ -131,3 +133,34 @@ def test_entity_labels(spark):
     assert ner.parse_thresholds(["B-A:0.5"]) == {"B-A": 0.5}
     with pytest.raises(ValueError):
         ner.parse_thresholds(["x"])
+
+
+def test_similar_pairs_move_numbers_not_words(spark):
+    rng = random.Random(8)
+    pool = [f"w{k}" for k in range(60)]
+    rows, last = [], set()
+    for k in range(150):
+        last = (last | {rng.choice(pool)}) - {rng.choice(pool)} if k % 6 else set(rng.sample(pool, rng.randint(1, 30)))
+        rows.append((k, sorted(last)))
+    found = assistant.similar_pairs(spark.createDataFrame(rows, "id int, items array<string>"), "id", "items", 0.8)
+    want, seen = {}, {}
+    for k, s in rows:
+        if s and tuple(s) in seen:
+            want[seen[tuple(s)], k] = 1.0
+        elif s:
+            for t, a in seen.items():
+                if (j := len(set(s) & set(t)) / len(set(s) | set(t))) >= 0.8:
+                    want[a, k] = j
+            seen[tuple(s)] = k
+    got = [(r.a, r.b, r.similarity) for r in found.collect()]
+    assert len(got) == len(want) > 100 and {(a, b): s for a, b, s in got} == pytest.approx(want)
+    # A pair of candidates carries items as numbers.
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert "array_intersect" in plan.toString()
+    assert any("array<bigint>" in x for x in _types(plan)) and not any("array<string>" in x for x in _types(plan.children().apply(0)))
+
+
+def _types(plan) -> list[str]:
+    """The types of the columns that a plan's nodes hand on."""
+    own = [plan.schema().catalogString()]
+    return own + [t for k in range(plan.children().size()) for t in _types(plan.children().apply(k))]
