@@ -3,14 +3,19 @@
 Training counts the n-grams (1 to ORDER characters of each lower-cased word between two spaces) a language. A list of
 words scores sum(log(n + 1)) - n-grams * log(N + V) for a language, N its n-grams in all and V the distinct n-grams of
 all languages: add-one smoothing, with every n-gram nobody has seen at no cost but the common one. Languages are equally
-likely beforehand. Each distinct word is scored once; lists are sums over their words' scores.
+likely beforehand. Lists are sums over their words' scores. A table of at most HELD_GRAMS n-grams is sent to every task,
+and lists are scored where they stand; of a larger one, each distinct word is scored once and joined to the lists.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +23,8 @@ from lexarium.sources.shared import kept
 
 ORDER = 3
 MAX_LANGUAGES = 200
+#: Models of more n-grams, or of more values in all, are joined.
+HELD_GRAMS, HELD_VALUES = 1 << 18, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -79,8 +86,52 @@ def detect(lists: DataFrame, keys: list[str], model: LanguageModel, words: str =
     return rows.withColumn("lang", F.when(F.col("confidence") >= min_confidence, F.col("lang")))
 
 
+def held_scores(model: LanguageModel):
+    """A function of a column of word lists: array<double> of their log-likelihoods in each language, null for lists without a non-empty word; None if the model is too large to be held."""
+    most = min(HELD_GRAMS, HELD_VALUES // len(model.languages))
+    rows = model.grams.select("gram", *[f"s{k}" for k in range(len(model.languages))]).limit(most + 1).collect()
+    if len(rows) > most:
+        return None
+    sent = model.grams.sparkSession.sparkContext.broadcast({r[0]: np.array(r[1:]) for r in rows})
+    base, order = np.array(model.base), model.order
+
+    @F.arrow_udf("array<double>")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        grams = sent.value
+
+        @lru_cache(1 << 16)
+        def one(word: str) -> np.ndarray:
+            w = f" {word} "
+            found = [g for n in range(1, order + 1) for i in range(len(w) - n + 1) if (g := w[i : i + n]) != " "]
+            return sum((grams[g] for g in found if g in grams), np.zeros(len(base))) - len(found) * base
+
+        for batch in batches:
+            flat = batch.flatten().dictionary_encode()
+            of = np.array([one(x) for x in flat.dictionary.to_pylist()] or [np.zeros(len(base))])
+            have = np.asarray(batch.value_lengths().fill_null(0), np.int64)
+            # Lists are summed one by one, so that no list's sum depends on the others in its batch.
+            at, ends = flat.indices.to_numpy(zero_copy_only=False), np.cumsum(have)
+            sums = [of[at[e - n : e]].sum(axis=0).tolist() if n else None for n, e in zip(have, ends, strict=True)]
+            yield pa.array(sums, pa.list_(pa.float64()))
+
+    return lambda words: scores(F.transform(F.filter(words, lambda w: w != ""), F.lower))
+
+
 def with_languages(rows: DataFrame, key: str, parts: dict[str, tuple[Column, float]], model: LanguageModel) -> DataFrame:
-    """rows plus, for each part (its words, its least confidence), a column with that part's language; key is unique. All parts are scored in one pass."""
+    """rows plus, for each part (its words, its least confidence), a column with that part's language; key is unique. All parts are scored in one pass; by a model that can be held, where they stand."""
+    if (scores := held_scores(model)) is not None:
+        out = rows
+        for name, (words, least) in parts.items():
+            out = out.withColumn(f"_l_{name}", scores(words))
+        for name, (_, least) in parts.items():
+            ll = [F.get(f"_l_{name}", k) for k in range(len(model.languages))]
+            best = F.greatest(*ll) if len(ll) > 1 else ll[0]
+            lang = F.lit(None).cast("string")
+            for k in reversed(range(len(ll))):
+                lang = F.when(ll[k] == best, model.languages[k]).otherwise(lang)
+            total = sum((F.exp(x - best) for x in ll), F.lit(0.0))
+            out = out.withColumn(name, F.when(1 / total >= least, lang))
+        return out.drop(*[f"_l_{name}" for name in parts])
     lists = rows.select(key, F.explode(F.array(*[F.struct(F.lit(name).alias("part"), words.alias("words")) for name, (words, _) in parts.items()])).alias("p"))
     found = detect(lists.select(key, "p.part", "p.words"), [key, "part"], model)
     wide = found.groupBy(key).agg(*[F.max(F.when((F.col("part") == name) & (F.col("confidence") >= least), F.col("lang"))).alias(name) for name, (_, least) in parts.items()])

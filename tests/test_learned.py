@@ -177,3 +177,19 @@ def test_sampling_follows_the_distribution(spark):
     assert sum(n for b, n in seen.items() if b not in (b"u", b"n")) > 0, "smoothing leaves room for the rest"
     made = lm.complete(spark.range(30).select("id", F.lit("").alias("prompt")), table, 8, 3, temperature=0.5, generate=True).collect()
     assert all(len(r.bytes) <= 16 and not r.bytes.startswith("20") for r in made) and {r.text for r in made} & {"haus", "hand", "laut", "maus"}
+
+
+def test_held_and_joined_languages_agree(spark, monkeypatch):
+    words = spark.createDataFrame([("en", "house", 3), ("en", "the", 9), ("de", "haus", 4), ("de", "straße", 2), ("fr", "maison", 5)], "lang string, word string, n bigint")
+    model = language.train_languages(words)
+    lists = [["The", "house", ""], ["Haus", "zzz"], [], None, [""], ["MAISON"], ["Straße", "the", "the"]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "id int, words array<string>")
+    parts = {"a": (F.col("words"), 0.0), "b": (F.slice("words", 1, 1), 0.9)}
+    held = language.with_languages(rows, "id", parts, model)
+    # No word leaves its row.
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    got = sorted((r.id, r.a, r.b) for r in held.collect())
+    monkeypatch.setattr(language, "HELD_GRAMS", 3)
+    assert sorted((r.id, r.a, r.b) for r in language.with_languages(rows, "id", parts, model).collect()) == got
+    assert [a for _, a, _ in got[:6]] == ["en", "de", None, None, None, "fr"]
