@@ -11,7 +11,7 @@ from lexarium.operators.scoring import scoring_config
 from lexarium.plans import search
 from lexarium.plans.catalog import (
     CLEAN_SQL, DENSITY_SQL, KEYS, LEMMA_LIST, LEMMA_SQL, LEMMAS, LM_SQL, LOGIT_SQL, LONG, NEAR_SQL, NER_LABELS, RUNS_SQL, SENT, SEQ_SQL, SHEET_SQL,
-    _freq, _label_sentences, _lemma_rows, _lemma_sets, _logits, _sequences, _tokens, long_word_index, query, sentences, sheet, token_rows,
+    _freq, _label_sentences, _lemma_rows, _lemma_sets, _logits, _sequences, _tokens, lemma_pool, long_word_index, query, sentences, sheet, token_rows,
 )
 from lexarium.sources.corpus import document_sentences, read_table, tokens_of
 
@@ -301,7 +301,7 @@ def sentence_sample(spark, d):
 
 @query("selection_summary", _RECORD_SQL + ", p AS (SELECT spos, string_split(matched_lemmas, ',') AS l, filtered FROM total), s AS (SELECT spos, l FROM p WHERE NOT filtered), o AS (SELECT l, count(*) AS n FROM (SELECT unnest(l) AS l FROM s) GROUP BY l) SELECT (SELECT count(*) FROM p) AS pool, (SELECT count(*) FROM s) AS selected, (SELECT count(DISTINCT l) FROM (SELECT unnest(l) AS l FROM p)) AS lemmas, (SELECT count(*) FROM o) AS covered, (SELECT count(*) FROM o WHERE n >= 3) AS saturated, (SELECT round(avg(len(l)), 6) FROM s) AS avg_density, (SELECT count(*) FROM s WHERE len(l) > 1) AS multi")
 def selection_summary(spark, d):
-    rows = _lemma_rows(spark, d, "or").select("spos", "matched_lemmas", "filtered")
+    rows = lemma_pool(spark, d)
     return select.selection_summary(rows.where("not filtered"), rows, max_per_lemma=3).withColumn("avg_density", F.round("avg_density", 6))
 
 
@@ -315,7 +315,7 @@ def fold_summary(spark, d):
 n AS (SELECT stratum, row_number() OVER (ORDER BY stratum) - 1 AS k, count(*) OVER () AS m FROM (SELECT DISTINCT stratum FROM st))
 SELECT spos, stratum FROM st JOIN n USING (stratum) QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY s DESC, spos) <= 43 // any_value(m) OVER (PARTITION BY stratum) + (any_value(k) OVER (PARTITION BY stratum) < 43 % any_value(m) OVER (PARTITION BY stratum))::INT""")
 def stratified_quota(spark, d):
-    rows = _lemma_rows(spark, d, "or").where("not filtered").withColumn("score_total", F.round("score_total", 9)).withColumn("first_lemma", F.slice("matched_lemmas", 1, 1))
+    rows = lemma_pool(spark, d).where("not filtered").withColumn("first_lemma", F.slice("matched_lemmas", 1, 1))
     return select.select_stratified(rows, 43, "first_lemma").select(*_big("spos"), "stratum")
 
 
