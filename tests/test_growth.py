@@ -1,10 +1,14 @@
 """What keeps the queries' work in proportion to their input."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lexarium.functions import spans
 from lexarium.functions import text as X
+from lexarium.operators import annotation, assistant, classify, islands
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -23,3 +27,31 @@ def test_lemma_stubs_are_those_of_single_words(spark):
 @pytest.mark.parametrize("name", ["select_stratified", "stratified_quota", "selection_summary", "select_greedy"])
 def test_choosing_searches_the_documents_once(spark, name):
     assert "Generate posexplode" not in plan(entry.queries()[name](spark, SMALL))
+
+
+def test_a_long_row_costs_no_more_than_its_length(spark):
+    """60,000 words and 8,571 spans in a row: a search of all spans for every word takes minutes."""
+    n, began = 60_000, time.time()
+    words = [f"<L{i // 7 + 1}>w{i}</L{i // 7 + 1}>" if i % 7 == 3 else f"w{i}" for i in range(n)]
+    rows = spark.createDataFrame([(1, " ".join(words), " ".join(words).replace("L", "N"))], "k int, a string, b string")
+    assert {r["prefix"]: r["count"] for r in assistant.token_facts(rows, "a", ["k"]).groupBy("prefix").count().collect()} == {"L": 8571, "o": n - 8571}
+    assert assistant.span_facts(rows, "a", "b", ["k"]).where("paired_surface = surface and not is_replaced").count() == 8571
+    labels = classify.labelled_words(rows, "a", ["k"])
+    table = classify.span_table(labels.withColumn("pred", F.reverse("labels")), "k", "labels", "pred")
+    assert table.where("gold_type is not null").count() == 8571
+    assert time.time() - began < 40
+
+
+def test_spans_row_by_row_are_those_of_the_expressions(spark):
+    texts = ["<L1>a b</L1>c d", "x<L1></L1>y <CS2>q</CS2><NE3>r  s</NE3>.", "<L1>open </L2> <N4>n</N4>", "no </ tag", "", "  a  <L12>b</L12>\tc\n", "<L1>a <CS1>b</CS1> c</L1> d"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "k int, t string")
+    fields = ("prefix", "num", "content", "start", "end")
+    for r in df.select("t", annotation.inline_spans(F.col("t")).alias("s")).collect():
+        if r["t"] is not None:
+            assert spans.tagged(r["t"]) == [tuple(x[c] for c in fields) for x in r["s"]]
+    words = lambda t: classify.word_spans(X.strip_tags(t))
+    want = df.select("k", classify.bio_labels(words(F.col("t")), annotation.inline_spans(F.col("t"))).alias("l"))
+    assert sorted(want.collect()) == sorted(classify.labelled_words(df, "t", ["k"]).select("k", "labels").collect())
+    bio = [["B-X", "I-X", "I-Y", "O", None, "I-X", "B-Y", "B-Y", "I-Y"], ["I-X", "I-X"], [], ["B-", "I-", "O", "B-X"], ["I-X", "B-X", "I-X"]]
+    for r in spark.createDataFrame([(x,) for x in bio], "l array<string>").select("l", islands.valid_spans(F.col("l")).alias("s")).collect():
+        assert spans.bio_spans(r["l"]) == [(x["start"], x["end"], x["type"]) for x in r["s"]]
