@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lexarium.functions import spans
 from lexarium.functions import text as X
-from lexarium.operators import annotation, assistant, classify, islands
+from lexarium.operators import annotation, assistant, classify, islands, tagger
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -55,3 +55,12 @@ def test_spans_row_by_row_are_those_of_the_expressions(spark):
     bio = [["B-X", "I-X", "I-Y", "O", None, "I-X", "B-Y", "B-Y", "I-Y"], ["I-X", "I-X"], [], ["B-", "I-", "O", "B-X"], ["I-X", "B-X", "I-X"]]
     for r in spark.createDataFrame([(x,) for x in bio], "l array<string>").select("l", islands.valid_spans(F.col("l")).alias("s")).collect():
         assert spans.bio_spans(r["l"]) == [(x["start"], x["end"], x["type"]) for x in r["s"]]
+
+
+def test_an_epoch_moves_a_sentence_once_for_all_models(spark, monkeypatch):
+    """Five models of the same lessons: as many rows are dealt as there are sentences."""
+    seen, learned = [], tagger._learned
+    monkeypatch.setattr(tagger, "_learned", lambda rows, *a: seen.append(rows.count()) or learned(rows, *a))
+    rows = spark.createDataFrame([(i, [f"w{i % 7}", "x"], ["B-A" if i % 7 == 3 else "O", "O"]) for i in range(40)], "k int, words array<string>, labels array<string>")
+    found = tagger.cross_validated(rows, "k", ["O", "B-A"], epochs=1, shards=2, buckets=256)
+    assert found.count() == 40 and seen == [40]
