@@ -1,5 +1,7 @@
 """What keeps the queries' work in proportion to their input."""
 
+import random
+import re
 import time
 
 import pytest
@@ -9,6 +11,7 @@ import __spark_entry__ as entry
 from lexarium.functions import spans
 from lexarium.functions import text as X
 from lexarium.operators import annotation, assistant, classify, islands, tagger
+from lexarium.sources import corpus
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -24,6 +27,12 @@ def test_lemma_stubs_are_those_of_single_words(spark):
     assert [r["all"] for r in got] == [r["one"] for r in got]
 
 
+def test_tokens_of_words_with_spaces_and_nulls(spark):
+    rows = [(x,) for x in (["A b.", None], ["«x»", None, "Y"], [], [""], ["é! ", "", "Z."], None)]
+    got = spark.createDataFrame(rows, "w array<string>").select(corpus.tokens_of(F.col("w")).alias("t"), F.transform("w", lambda w: F.struct(w, X.pos_stub(w), X.lemma_stub(w))).alias("one"))
+    assert all([tuple(x) for x in r["t"] or []] == [tuple(x) for x in r["one"] or []] and (r["t"] is None) == (r["one"] is None) for r in got.collect())
+
+
 @pytest.mark.parametrize("name", ["select_stratified", "stratified_quota", "selection_summary", "select_greedy"])
 def test_choosing_searches_the_documents_once(spark, name):
     assert "Generate posexplode" not in plan(entry.queries()[name](spark, SMALL))
@@ -64,3 +73,48 @@ def test_an_epoch_moves_a_sentence_once_for_all_models(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [f"w{i % 7}", "x"], ["B-A" if i % 7 == 3 else "O", "O"]) for i in range(40)], "k int, words array<string>, labels array<string>")
     found = tagger.cross_validated(rows, "k", ["O", "B-A"], epochs=1, shards=2, buckets=256)
     assert found.count() == 40 and seen == [40]
+
+
+def _sequential(lines, limit_lines=None, limit_bytes=None):
+    """read_vertical() line by line."""
+    out, toks, size, now = [], 0, 0, None
+    for n, line in enumerate(lines):
+        if limit_lines is not None and n >= limit_lines or limit_bytes is not None and size >= limit_bytes:
+            break
+        size += len(line.encode()) + 1
+        if line.startswith(("<s ", "<s>")) or line == "<s":
+            if now:
+                out.append(now)
+            now, on = [re.search('id="([^"]*)"', line), toks, []], True
+        elif line.startswith("</s>"):
+            if now and on:
+                out.append(now)
+                now = None
+        elif line.strip(" ") and (not line.startswith("<") or "\t" in line):
+            toks += 1
+            if now:
+                now[2].append(line.split("\t")[0])
+    return [(k, m[1] if m and m[1] else str(k), at, ws) for k, (m, at, ws) in enumerate(out)]
+
+
+def test_vertical_lines_are_read_where_they_lie(spark, tmp_path):
+    """No line is shuffled; at any split and batch, sentences are those of a reader that goes line by line."""
+    rng = random.Random(5)
+    pick = ["<s>", '<s id="q">', "</s>", "</s>", "<s", "<g/>", "", " ", "a\tN\ta", "b", "<x\tN", "\t", "<sub>", "é\tX"]
+    lines = [rng.choice(pick + ["w\tN\tv"] * 9) for _ in range(400)]
+    lines[150:260] = ["t"] * 110
+    (tmp_path / "v").mkdir()
+    for k in range(3):
+        (tmp_path / "v" / f"part-{k}.txt").write_text("".join(x + "\n" for x in lines[k * 150 : (k + 1) * 150]))
+    for split, batch in (("128m", "10000"), ("97", "7"), ("300", "1")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            for lines_limit, bytes_limit in ((None, None), (123, None), (None, 700)):
+                rows = corpus.read_vertical(spark, f"{tmp_path}/v", lines_limit, limit_bytes=bytes_limit)
+                assert "value#" not in plan(rows)
+                got = sorted((r.spos, r.sentence_id, r.cpos, [t.word for t in r.tokens]) for r in rows.collect())
+                assert got == _sequential(lines, lines_limit, bytes_limit)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
