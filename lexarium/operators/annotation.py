@@ -89,24 +89,46 @@ def sentence_errors(text: Column, field: str, allowed: list[str], column: list[s
     return F.when(t.rlike(r"[\n\r]"), F.array(_error("V1.1", field, ""))).otherwise(rest)
 
 
-def validate_rows(sheet: DataFrame, mode: str = "baseline", warn_undecided: bool = True, entity_parity: bool = False) -> DataFrame:
-    """sheet plus errors. Missing columns are an error at once; more columns than needed are fine. entity_parity checks NE tags between the two sentences (V3.3, V3.4)."""
-    if missing := [c for c in COLUMNS if c not in sheet.columns]:
-        raise ValueError(f"V0.0: missing columns {missing}")
-    cfg = MODES[mode]
-    col = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    label, repl, raw_valid = col(LABEL), col(REPLACEMENT), col("Valid")
-    valid, reason = F.trim(raw_valid), F.trim(col("Reason"))
+def _field(name: str) -> Column:
+    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+
+
+def _metadata(warn_undecided: bool) -> tuple[list[Column], list[Column]]:
+    """V0 and S9 of a row's validity and reason: what comes before the errors of its sentences, and what comes after."""
+    raw_valid = _field("Valid")
+    valid, reason = F.trim(raw_valid), F.trim(_field("Reason"))
     blank = (valid == "") & (raw_valid != "")
-    parts = [
+    rules = [
         _when(~valid.isin("", "+", "-"), _error("V0.1", "Valid", valid)),
         _when((valid == "-") & ~reason.isin(REASONS), _error("V0.2", "Reason", reason)),
         _when(valid.isin("", "+") & (reason != ""), _error("V0.3", "Reason", reason)),
-        _when(col("Target").rlike(r"</?[A-Z]+\d+>"), _error("V4.1", "Target", "")),
-        sentence_errors(label, LABEL, cfg["prefixes"], cfg["label"]), sentence_errors(repl, REPLACEMENT, cfg["prefixes"], cfg["replacement"]),
     ]
-    if warn_undecided:
-        parts += [_when(blank, _error("S9", "Valid", "", "warning")), _when((valid == "") & ~blank, _error("V0.4", "Valid", "", "warning"))]
+    undecided = [_when(blank, _error("S9", "Valid", "", "warning")), _when((valid == "") & ~blank, _error("V0.4", "Valid", "", "warning"))]
+    return rules, undecided if warn_undecided else []
+
+
+def _complete(sheet: DataFrame) -> None:
+    if missing := [c for c in COLUMNS if c not in sheet.columns]:
+        raise ValueError(f"V0.0: missing columns {missing}")
+
+
+def validate_metadata(sheet: DataFrame, warn_undecided: bool = True) -> DataFrame:
+    """sheet plus errors: those of validate_rows() that speak of validity and reason (V0, S9); the sentences aren't looked at."""
+    _complete(sheet)
+    rules, undecided = _metadata(warn_undecided)
+    return sheet.withColumn("errors", F.concat(*rules, *undecided))
+
+
+def validate_rows(sheet: DataFrame, mode: str = "baseline", warn_undecided: bool = True, entity_parity: bool = False) -> DataFrame:
+    """sheet plus errors. Missing columns are an error at once; more columns than needed are fine. entity_parity checks NE tags between the two sentences (V3.3, V3.4)."""
+    _complete(sheet)
+    cfg = MODES[mode]
+    label, repl = _field(LABEL), _field(REPLACEMENT)
+    rules, undecided = _metadata(warn_undecided)
+    parts = [
+        *rules, _when(_field("Target").rlike(r"</?[A-Z]+\d+>"), _error("V4.1", "Target", "")),
+        sentence_errors(label, LABEL, cfg["prefixes"], cfg["label"]), sentence_errors(repl, REPLACEMENT, cfg["prefixes"], cfg["replacement"]), *undecided,
+    ]
     both = "Label/Replacement"
     numbers = lambda t, p: F.array_sort(F.array_distinct(F.transform(F.filter(_openings(t), lambda x: (x["prefix"] == p) & (x["num"] != "")), lambda x: x["num"].cast("int"))))
     for a, b in cfg["pairs"]:

@@ -33,6 +33,14 @@ def test_tokens_of_words_with_spaces_and_nulls(spark):
     assert all([tuple(x) for x in r["t"] or []] == [tuple(x) for x in r["one"] or []] and (r["t"] is None) == (r["one"] is None) for r in got.collect())
 
 
+def test_rules_of_metadata_leave_the_sentences_alone(spark):
+    marks = [(v, r) for v in ("+", "-", "", " ", "?", None) for r in ("", "NE", "zz", None)]
+    sheet = spark.createDataFrame([("a <L1>b</L1> <L3>", "c", "", v, r) for v, r in marks], "`Label sentence` string, `Replacement sentence` string, Target string, Valid string, Reason string")
+    of = lambda df: [[tuple(e) for e in r["errors"] if e["rule_id"] == "S9" or e["rule_id"].startswith("V0")] for r in df.collect()]
+    assert of(annotation.validate_metadata(sheet)) == of(annotation.validate_rows(sheet, "extended"))
+    assert "regexp" not in plan(entry.queries()["sheet_metadata_rules"](spark, SMALL))
+
+
 @pytest.mark.parametrize("name", ["select_stratified", "stratified_quota", "selection_summary", "select_greedy"])
 def test_choosing_searches_the_documents_once(spark, name):
     assert "Generate posexplode" not in plan(entry.queries()[name](spark, SMALL))
