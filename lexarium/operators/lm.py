@@ -1,10 +1,16 @@
 """Byte n-gram language model with Witten-Bell back-off, kept as count tables.
 
-A context is the hex string of its bytes. Words are padded with order - 1 spaces in front and one behind.
+A context is the hex string of its bytes. Words are padded with order - 1 spaces in front and one behind. A table of at
+most HELD_COUNTS counts is sent to every task, and words are scored where they stand; a larger one is joined.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +19,9 @@ from lexarium.sources.shared import dropped, kept
 
 ORDER = 3
 FLOOR = 1e-10
+HELD_COUNTS = 1 << 18
+#: Longer n-grams don't fit the 64 bits of a held key.
+HELD_ORDER = 7
 
 
 def padded_hex(word: Column, order: int) -> Column:
@@ -33,9 +42,77 @@ def context_table(counts: DataFrame) -> DataFrame:
     return counts.groupBy("order", "ctx").agg(F.sum("c").alias("n"), F.count("*").alias("r"))
 
 
+def held_counts(counts: DataFrame, order: int = ORDER) -> Broadcast | None:
+    """For each order, sorted n-grams as numbers with their counts, and sorted contexts with n and r; None if they are too many to be held."""
+    if order > HELD_ORDER:
+        return None
+    rows = counts.where(F.col("order") <= order).select(F.col("order").cast("int").alias("order"), F.conv(F.concat("ctx", "byte"), 16, 10).cast("long").alias("key"), "c").limit(HELD_COUNTS + 1).toArrow()
+    if rows.num_rows > HELD_COUNTS:
+        return None
+    orders, keys, c = (rows.column(k).to_numpy() for k in range(3))
+    tables = []
+    for n in range(1, order + 1):
+        at = np.flatnonzero(orders == n)
+        at = at[np.argsort(keys[at])]
+        known, place, r = np.unique(keys[at] >> 8, return_inverse=True, return_counts=True)
+        total = np.zeros(len(known), np.int64)
+        np.add.at(total, place, c[at])
+        tables.append((keys[at], c[at], known, total, r))
+    return counts.sparkSession.sparkContext.broadcast(tables)
+
+
+def _bits(tables: list, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the words' bytes, one word after the other, and the words' sizes."""
+    order, sizes = len(tables), np.array([len(w) for w in words], np.int64)
+    pad = b" " * (order - 1)
+    text = np.frombuffer(pad + pad.join(words), np.uint8).astype(np.int64)
+    at = np.arange(sizes.sum()) + np.repeat((order - 1) * np.arange(1, len(words) + 1), sizes)
+    prob, key = np.full(len(at), 1 / 256), np.zeros(len(at), np.int64)
+    for n, (keys, c, known, total, r) in enumerate(tables):
+        key = key | text[at - n] << 8 * n
+        if len(keys):
+            i, j = (np.minimum(np.searchsorted(a, x), len(a) - 1) for a, x in ((known, key >> 8), (keys, key)))
+            all_of = (total + r)[i]
+            prob = np.where(known[i] != key >> 8, prob, np.where(keys[j] == key, c[j] / all_of, r[i] / all_of * prob))
+    return -np.log(np.maximum(prob, FLOOR)) / np.log(2), sizes
+
+
+def held_bytes(held: Broadcast) -> Callable[[Column], Column]:
+    """A function of a column of words: array<double>, the bits of each of a word's bytes."""
+
+    @F.arrow_udf("array<double>")
+    def bits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found, sizes = _bits(held.value, [w.encode() for w in batch.fill_null("").to_pylist()])
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(found))
+
+    return lambda word: bits(F.lower(word))
+
+
+def held_means(held: Broadcast) -> Callable[[Column], Column]:
+    """A function of a column of word lists: array<double>, each word's mean bits per byte as half_precision(), 0 for null and empty words."""
+
+    @F.arrow_udf("array<double>")
+    def means(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            flat = batch.flatten().dictionary_encode()
+            bits, sizes = _bits(held.value, [w.encode() for w in flat.dictionary.to_pylist()])
+            word = np.repeat(np.arange(len(sizes)), sizes)
+            sums = np.bincount(word, bits, len(sizes))
+            of = pa.array((sums / np.maximum(sizes, 1)).astype(np.float16).astype(np.float64))
+            ends = np.concatenate([[0], np.cumsum(np.asarray(batch.value_lengths().fill_null(0), np.int64))])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), of.take(flat.indices).fill_null(0.0), mask=batch.is_null())
+
+    return lambda words: means(F.transform(words, F.lower))
+
+
 def score_words(words: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
     """word, pos, byte, surprisal (bits) for each byte of the distinct words: c / (n + r) if the byte was seen in its context, else r / (n + r) times the shorter context's probability; an unseen context passes on; below order 1 it is 1 / 256."""
     w = words.select("word").where("word is not null and word != ''").distinct()
+    if (held := held_counts(counts, order)) is not None:
+        scored = w.select("word", held_bytes(held)(F.col("word")).alias("_s")).select("word", F.posexplode("_s").alias("pos", "surprisal"))
+        byte = F.substring(F.hex(F.encode(F.lower("word"), "UTF-8")), F.col("pos") * 2 + 1, F.lit(2))
+        return scored.select("word", "pos", byte.alias("byte"), "surprisal")
     w = w.withColumn("h", padded_hex(F.col("word"), order))
     at = F.explode(F.sequence(F.lit(order), (F.length("h") / 2 - 1).cast("int")))
     w = w.select("word", "h", at.alias("p"))
@@ -48,6 +125,8 @@ def score_words(words: DataFrame, counts: DataFrame, order: int = ORDER) -> Data
         here = F.expr(f"substring(h, 2 * (p - {n}) + 1, {2 * (n - 1)})")
         seen = counts.where(F.col("order") == n).select(F.col("ctx").alias(f"x{n}"), F.col("byte").alias(f"y{n}"), F.col("c").alias(f"c{n}"))
         known = ctx.where(F.col("order") == n).select(F.col("ctx").alias(f"z{n}"), F.col("n").alias(f"n{n}"), F.col("r").alias(f"r{n}"))
+        if n < 3:  # at most 65,536 counts, and contexts that very many bytes share
+            seen, known = F.broadcast(seen), F.broadcast(known)
         df = df.withColumn(f"k{n}", here)
         df = df.join(known, F.col(f"k{n}") == F.col(f"z{n}"), "left").join(seen, (F.col(f"k{n}") == F.col(f"x{n}")) & (F.col("byte") == F.col(f"y{n}")), "left")
         c, total, r = F.col(f"c{n}"), F.col(f"n{n}"), F.col(f"r{n}")
@@ -133,18 +212,17 @@ def parse_frequency_list(lines: DataFrame) -> DataFrame:
 def mean_deviation(index: DataFrame, scores: str = "mean") -> DataFrame:
     """index plus dm_mad: per sentence (mean - median) / median absolute deviation of the non-zero scores; 0 with fewer than two of them or no deviation."""
 
-    def middle(a: Column) -> Column:
-        s = F.array_sort(a)
-        n = F.size(s)
-        return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
-
     from lexarium.functions.text import let
 
+    def middle(a: Column) -> Column:
+        at = lambda s, i: F.get(s, F.floor(i).cast("int"))
+        return let(F.sort_array(a), lambda s: (at(s, (F.size(s) - 1) / 2) + at(s, F.size(s) / 2)) / 2)
+
     def of(clean: Column) -> Column:
-        mid = let(clean, middle)
-        mad = let(mid, lambda m: middle(F.transform(clean, lambda x: F.abs(x - m))))
         mean = F.aggregate(clean, F.lit(0.0), lambda s, x: s + x) / F.size(clean)
-        return F.when((F.size(clean) < 2) | (mad == 0), 0.0).otherwise((mean - mid) / mad)
+        spread = lambda mid: middle(F.transform(clean, lambda x: F.abs(x - mid)))
+        share = lambda mid: let(spread(mid), lambda mad: F.when(mad == 0, 0.0).otherwise((mean - mid) / mad))
+        return F.when(F.size(clean) < 2, 0.0).otherwise(let(middle(clean), share))
 
     return index.withColumn("dm_mad", let(F.filter(F.col(scores), lambda x: x != 0), of))
 
@@ -164,7 +242,6 @@ def load_counts(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
 
 def traced_bytes(scored: DataFrame) -> DataFrame:
     """word, pos, byte, bits, surprisal of every byte of the words in score_words() rows."""
-    from lexarium.functions.text import byte_trace
-
-    t = scored.select("word").distinct().select("word", F.explode(byte_trace("word")).alias("t")).select("word", "t.pos", "t.byte", "t.bits")
-    return t.join(scored.select("word", "pos", "surprisal"), ["word", "pos"])
+    code = F.conv(F.substring(F.hex(F.encode("word", "UTF-8")), F.col("pos") * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    rows = scored.where(F.col("pos") < F.octet_length("word")).select("word", "pos", code.alias("byte"), "surprisal")
+    return rows.select("word", "pos", "byte", F.lpad(F.bin("byte"), 8, "0").alias("bits"), "surprisal")

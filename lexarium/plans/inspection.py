@@ -14,6 +14,7 @@ from lexarium.plans.catalog import (
     _freq, _label_sentences, _lemma_rows, _lemma_sets, _logits, _sequences, _tokens, lemma_pool, long_word_index, query, sentences, sheet, token_rows,
 )
 from lexarium.sources.corpus import document_sentences, read_table, tokens_of
+from lexarium.sources.shared import kept
 
 LENGTHS = SENT + f", ln AS (SELECT spos, i, CASE WHEN {CLEAN_SQL} THEN least(length(w), 254) END AS c, CASE WHEN {CLEAN_SQL} THEN least(strlen(w), 254) END AS b FROM tok)"
 
@@ -105,7 +106,7 @@ def surprisal_dm_mad(spark, d):
 
 @query("byte_surprisal", LM_SQL.replace("q3 AS (SELECT word, CASE", "q3 AS (SELECT word, p, CASE") + "SELECT word, (p - 3)::BIGINT AS pos, round(-log2(greatest(p3, 1e-10)), 6) AS surprisal FROM q3")
 def byte_surprisal(spark, d):
-    f = _freq(spark, d)
+    f = kept(_freq(spark, d), "frequencies")
     return lm.traced_bytes(lm.score_words(f, lm.count_table(f))).select("word", *_big("pos"), F.round("surprisal", 6).alias("surprisal"))
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from lexarium.functions.text import half_precision, is_clean_word
 from lexarium.operators.islands import best_runs, entity_keys, entity_tag_map, switch_keys, tag_loanwords, tag_map, tag_runs, tagged_lemmas
 from lexarium.operators.language import LanguageModel, with_languages
-from lexarium.operators.lm import ORDER, count_table, mean_deviation, score_words, word_surprisal
+from lexarium.operators.lm import ORDER, count_table, held_counts, held_means, mean_deviation, score_words, word_surprisal
 from lexarium.operators.ner import sentences_with
 from lexarium.operators.scoring import ScoringConfig, entity_mask, label_mask, loanword_mask, score_mask, score_sentences
 from lexarium.operators.index import aligned
 from lexarium.operators.select import dedup_best, reduced_matches
+from lexarium.sources.shared import kept
 
 
 def top(rows: DataFrame, k: int = 0, score: str = "score_total", tie: tuple[str, ...] = ("spos",)) -> DataFrame:
@@ -77,11 +78,15 @@ def position_slice(sentences: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def surprisal_index(sentences: DataFrame, order: int = ORDER, words: str = "words", keys: tuple[str, ...] = ("spos",), counts: DataFrame | None = None) -> DataFrame:
-    """sentences plus mean (per-token bits per byte, half precision, 0 for unclean words) and dm_mad. Each distinct word is scored once; without counts the model is trained on the sentences themselves."""
+    """sentences plus mean (per-token bits per byte, half precision, 0 for unclean words) and dm_mad. Words are scored where they stand by a model that can be held, else each distinct word once; without counts the model is trained on the sentences themselves."""
+    if counts is None:
+        own = sentences.select(F.explode(words).alias("word")).where(is_clean_word("word"))
+        counts = kept(count_table(own.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("freq")), order), "counts")
+    if (held := held_counts(counts, order)) is not None:
+        asked = F.transform(words, lambda w: F.when(is_clean_word(w), w))
+        return mean_deviation(sentences.withColumn("mean", held_means(held)(asked)))
     tokens = sentences.select(*keys, F.posexplode(words).alias("tok", "word"))
     clean = tokens.where(is_clean_word("word")).select(*keys, "tok", F.lower("word").alias("word"))
-    if counts is None:
-        counts = count_table(clean.groupBy("word").agg(F.count("*").alias("freq")), order)
     scores = word_surprisal(score_words(clean.select("word").distinct(), counts, order))
     placed = clean.join(scores, "word").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("tok", "surprisal"))).alias("_m"))
     df = sentences.join(placed, list(keys), "left")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lexarium.functions import spans
 from lexarium.functions import text as X
-from lexarium.operators import annotation, assistant, classify, islands, tagger
+from lexarium.operators import annotation, assistant, classify, islands, lm, tagger
+from lexarium.plans import search
 from lexarium.sources import corpus
 
 SMALL = "/root/testdata/sf0.001"
@@ -126,3 +127,21 @@ def test_vertical_lines_are_read_where_they_lie(spark, tmp_path):
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_held_and_joined_counts_score_alike(spark, monkeypatch):
+    """No join where the counts can be held, and no shuffle of words by the empty context, which all bytes share, where they can't."""
+    words = ["abba", "Äb", "", None, "zzz", "ab", "ßa b"]
+    f = spark.createDataFrame([("abba", 3), ("ab", 1), ("äö", 2), ("zz", 5)], "word string, freq long")
+    rows = spark.createDataFrame([(k, w) for k, w in enumerate([["ab", "Xyz", "1a", "ab", "zz"], [], ["--"], None, ["abba", "zz", "Ab"]])], "spos int, words array<string>")
+    seen = []
+    for most in (lm.HELD_COUNTS, 0):
+        monkeypatch.setattr(lm, "HELD_COUNTS", most)
+        scored = lm.score_words(spark.createDataFrame([(w,) for w in words], "word string"), lm.count_table(f))
+        index = search.surprisal_index(rows, counts=lm.count_table(f))
+        assert most == 0 or "Join" not in plan(scored) + plan(index)
+        assert most or plan(scored).count("strategy=broadcast") == 4
+        traced = lm.traced_bytes(scored)
+        seen.append([sorted((r.word, r.pos, r.byte, round(r.surprisal, 9)) for r in scored.collect()), sorted((r.word, r.pos, r.byte, r.bits) for r in traced.collect()), sorted((r.spos, r.mean, r.dm_mad) for r in index.collect())])
+    assert seen[0] == seen[1]
+    assert ("Äb", 1, 0x84, "10000100") in seen[0][1] and len(seen[0][0]) == 17
