@@ -145,3 +145,32 @@ def test_held_and_joined_counts_score_alike(spark, monkeypatch):
         seen.append([sorted((r.word, r.pos, r.byte, round(r.surprisal, 9)) for r in scored.collect()), sorted((r.word, r.pos, r.byte, r.bits) for r in traced.collect()), sorted((r.spos, r.mean, r.dm_mad) for r in index.collect())])
     assert seen[0] == seen[1]
     assert ("Äb", 1, 0x84, "10000100") in seen[0][1] and len(seen[0][0]) == 17
+
+
+def test_tokens_of_a_concordance_without_regular_expressions(spark):
+    def parts(raw):
+        if re.search(r"^[^\n\r\u0085  ]*/[^/]*/[^/]*\Z", raw):
+            return tuple(raw.rsplit("/", 2))
+        return (*raw.rsplit("/", 1), raw.rsplit("/", 1)[0]) if "/" in raw else (raw, "UNK", raw)
+
+    raws = ["a", "a/N", "a/N/l", "a/b/N/l", "//", "/", "a//", "x/y/z/N/l", "a\nb/N/l", "a\nb/N", "a/b\nc/N/l", "a/N\n/l\n", "a /N/l", "a\nb"]
+    for lines in (raws, [r for r in raws if "\n" not in r]):
+        text = "<LINE><MATCHNUM>1</MATCHNUM><CONTENT>" + " ".join(f"<TOKEN>{r}</TOKEN>" for r in lines) + "<MATCH></MATCH></CONTENT></LINE>"
+        df = spark.createDataFrame([(text,)], "t string").select(corpus.parse_concordance(F.col("t")).alias("x"))
+        assert [tuple(t) for t in df.first()["x"][0]["tokens"]] == [parts(r) for r in lines]
+        assert plan(df).count("regexp_extract(") == 1
+
+
+def test_a_row_of_many_runs_is_tagged_in_time(spark):
+    """20,000 tagged runs in a row: counting the runs before each takes minutes."""
+    n, began = 40_000, time.time()
+    keys = [None if i % 2 else ("CS" if i % 4 else "NE:X") for i in range(n)]
+    r = spark.createDataFrame([([f"w{i}" for i in range(n)], keys)], "w array<string>, k array<string>").select(islands.tag_runs(F.col("w"), F.col("k")).alias("t")).first()["t"]
+    assert r.startswith("<NE1>w0</NE1> w1 <CS1>w2</CS1> w3 <NE2>w4</NE2>") and f"<CS{n // 4}>w{n - 2}</CS{n // 4}>" in r
+    assert time.time() - began < 40
+
+
+def test_cards_take_types_without_regular_expressions(spark):
+    rows = spark.createDataFrame([(1, ["a"], ["O"], [("m", ["B-X"], [0.5])])], "seq_id int, words array<string>, gold array<string>, runs array<struct<model string, pred array<string>, conf array<double>>>")
+    cards = classify.model_error_cards(rows)
+    assert "regexp" not in plan(cards) and cards.first()["kind"] == "FP"
