@@ -60,9 +60,20 @@ def _numbered(keys: Column) -> Column:
     """key_runs with tag: the key up to a colon and a number from 1 for each such name; null for a null key."""
     name = lambda k: F.substring_index(k, ":", 1)
 
+    def placed(by: Column) -> Column:
+        """by: the runs' names and places, sorted. array<struct<j, n>>: a run's number is its place among those of its name, in order of the runs."""
+
+        def numbers(ps: Column) -> Column:
+            kinds = F.array_distinct(F.filter(ps, lambda p: p.isNotNull()))
+            first = F.map_from_arrays(kinds, F.transform(kinds, lambda p: F.array_position(ps, p)))
+            return let(first, lambda f: F.sort_array(F.transform(by, lambda x, k: F.struct(x["j"].alias("j"), (k + 2 - F.element_at(f, x["p"])).alias("n")))))
+
+        return let(F.transform(by, lambda x: x["p"]), numbers)
+
     def tagged(rs: Column) -> Column:
-        number = lambda r, j: F.size(F.filter(F.slice(rs, F.lit(1), j + 1), lambda y: name(y["key"]) == name(r["key"])))
-        return F.transform(rs, lambda r, j: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["key"].alias("key"), F.concat(name(r["key"]), number(r, j).cast("string")).alias("tag")))
+        by = F.sort_array(F.transform(rs, lambda r, j: F.struct(name(r["key"]).alias("p"), j.alias("j"))))
+        one = lambda r, tag: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["key"].alias("key"), tag.alias("tag"))
+        return let(let(by, placed), lambda ns: F.transform(rs, lambda r, j: one(r, F.concat(name(r["key"]), F.get(ns, j)["n"].cast("string")))))
 
     return let(key_runs(keys), tagged)
 
