@@ -4,6 +4,7 @@ import pytest
 
 from lexarium.operators import annotation as A
 from lexarium.operators import assistant, classify, models, ner, wiki
+from lexarium.sources import shared
 from pyspark.sql import functions as F
 
 COLS = "row_index int, `Label sentence` string, `Replacement sentence` string, Target string, Valid string, Reason string, Notes string"
@@ -164,3 +165,15 @@ def _types(plan) -> list[str]:
     """The types of the columns that a plan's nodes hand on."""
     own = [plan.schema().catalogString()]
     return own + [t for k in range(plan.children().size()) for t in _types(plan.children().apply(k))]
+
+
+def test_similar_pairs_leaves_unlike_sets_where_they_are(spark):
+    """Sets that share an item of their prefixes, but little else, are not moved for the exact check; rows of one key are one set."""
+    rng = random.Random(5)
+    rows = [(k, ["rare"] + [f"w{x}" for x in rng.sample(range(2000), 199)]) for k in range(40)]
+    rows += [(100 + k, [*rows[k][1][:195], "y"]) for k in range(3)] + [(200, rows[0][1][:90]), (200, rows[0][1][90:])]
+    made = len(shared._made)
+    found = assistant.similar_pairs(spark.createDataFrame(rows, "id int, items array<string>"), "id", "items", 0.8)
+    assert sorted((r.a, r.b, round(r.similarity, 6)) for r in found.collect()) == [(0, 100, round(195 / 201, 6)), (0, 200, 1.0), (1, 101, round(195 / 201, 6)), (2, 102, round(195 / 201, 6))]
+    moved = [p for _, p in shared._made[made:] if "/candidates-" in p]
+    assert spark.read.parquet(*moved).count() == 3
