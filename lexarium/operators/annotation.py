@@ -63,30 +63,34 @@ def _openings(text: Column) -> Column:
     return F.transform(raw, lambda t: F.struct(F.regexp_extract(t, "([A-Z]+)", 1).alias("prefix"), F.regexp_extract(t, r"(\d+)", 1).alias("num")))
 
 
-def _legal(text: Column, allowed: list[str], column: list[str]) -> Column:
-    return F.filter(_openings(text), lambda t: (t["num"] != "") & t["prefix"].isin(allowed) & t["prefix"].isin(column))
-
-
 def sentence_errors(text: Column, field: str, allowed: list[str], column: list[str]) -> Column:
     """V1, V2 and V4.2 to V4.5 of one sentence; a line break is the only error that is then reported."""
-    t = F.coalesce(text, F.lit(""))
-    pick = lambda keep, rule: F.transform(F.filter(_openings(t), keep), lambda x: _error(rule, field, F.concat(x["prefix"], x["num"])))
-    tags = F.transform(_legal(t, allowed, column), lambda x: F.concat(x["prefix"], x["num"]))
-    # Sorted, so that equal tags are neighbours and each is looked at once.
-    twice = let(F.array_sort(tags), lambda a: F.array_distinct(F.filter(a, lambda x, i: F.coalesce(F.get(a, i - 1) == x, F.lit(False)))))
-    numbers = lambda a, p: F.array_sort(F.array_distinct(F.transform(F.filter(a, lambda x: x["prefix"] == p), lambda x: x["num"].cast("int"))))
-    gaps = let(_legal(t, allowed, column), lambda a: F.filter(F.array_distinct(F.transform(a, lambda x: x["prefix"])), lambda p: let(numbers(a, p), lambda n: n != F.sequence(F.lit(1), F.size(n)))))
     # A span is an opening tag up to the first closing tag of its name.
-    spans = F.transform(F.regexp_extract_all(t, F.lit(r"(?s)<([A-Z]+\d+)>(.*?)</\1>"), 0), lambda s: F.struct(F.regexp_extract(s, r"^<([A-Z]+\d+)>", 1).alias("tag"), F.regexp_extract(s, r"(?s)^<[A-Z]+\d+>(.*)</[A-Z]+\d+>$", 1).alias("inner")))
-    of = lambda keep, rule: F.transform(F.filter(spans, keep), lambda s: _error(rule, field, s["tag"]))
-    fused = F.transform(F.regexp_extract_all(t, F.lit(r"""</[A-Z]+\d+>[^\s,.!?;:"')\]}]+"""), 0), lambda s: _error("V4.3", field, F.regexp_extract(s, r"([A-Z]+\d+)", 1)))
-    rest = F.concat(
-        pick(lambda x: x["num"] == "", "V1.2"), pick(lambda x: (x["num"] != "") & ~x["prefix"].isin(allowed), "V1.3"), pick(lambda x: (x["num"] != "") & x["prefix"].isin(allowed) & ~x["prefix"].isin(column), "V1.8"),
-        balance_errors(t, field),
-        F.transform(twice, lambda x: _error("V2.1", field, x)), F.transform(gaps, lambda x: _error("V2.2", field, x)),
-        of(lambda s: s["inner"] == "", "V4.4"), of(lambda s: (s["inner"] != "") & s["inner"].rlike(r"^\s*$"), "V4.5"), of(lambda s: s["tag"].rlike(r"^[LN]\d") & s["inner"].rlike("[.?!,;]"), "V4.2"), fused,
-    )
-    return F.when(t.rlike(r"[\n\r]"), F.array(_error("V1.1", field, ""))).otherwise(rest)
+    spans = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"(?s)<([A-Z]+\d+)>(.*?)</\1>"), 0), lambda s: F.struct(F.regexp_extract(s, r"^<([A-Z]+\d+)>", 1).alias("tag"), F.regexp_extract(s, r"(?s)^<[A-Z]+\d+>(.*)</[A-Z]+\d+>$", 1).alias("inner")))
+    numbers = lambda a, p: F.array_sort(F.array_distinct(F.transform(F.filter(a, lambda x: x["prefix"] == p), lambda x: x["num"].cast("int"))))
+
+    def of_tags(opened: Column) -> list[Column]:
+        pick = lambda keep, rule: F.transform(F.filter(opened, keep), lambda x: _error(rule, field, F.concat(x["prefix"], x["num"])))
+        return [pick(lambda x: x["num"] == "", "V1.2"), pick(lambda x: (x["num"] != "") & ~x["prefix"].isin(allowed), "V1.3"), pick(lambda x: (x["num"] != "") & x["prefix"].isin(allowed) & ~x["prefix"].isin(column), "V1.8")]
+
+    def of_legal(legal: Column) -> Column:
+        tags = F.transform(legal, lambda x: F.concat(x["prefix"], x["num"]))
+        # Sorted, so that equal tags are neighbours and each is looked at once.
+        twice = let(F.array_sort(tags), lambda a: F.array_distinct(F.filter(a, lambda x, i: F.coalesce(F.get(a, i - 1) == x, F.lit(False)))))
+        gaps = F.filter(F.array_distinct(F.transform(legal, lambda x: x["prefix"])), lambda p: let(numbers(legal, p), lambda n: n != F.sequence(F.lit(1), F.size(n))))
+        return F.concat(F.transform(twice, lambda x: _error("V2.1", field, x)), F.transform(gaps, lambda x: _error("V2.2", field, x)))
+
+    def of_spans(found: Column) -> Column:
+        of = lambda keep, rule: F.transform(F.filter(found, keep), lambda s: _error(rule, field, s["tag"]))
+        return F.concat(of(lambda s: s["inner"] == "", "V4.4"), of(lambda s: (s["inner"] != "") & s["inner"].rlike(r"^\s*$"), "V4.5"), of(lambda s: s["tag"].rlike(r"^[LN]\d") & s["inner"].rlike("[.?!,;]"), "V4.2"))
+
+    def rest(t: Column, opened: Column) -> Column:
+        legal = F.filter(opened, lambda x: (x["num"] != "") & x["prefix"].isin(allowed) & x["prefix"].isin(column))
+        fused = F.transform(F.regexp_extract_all(t, F.lit(r"""</[A-Z]+\d+>[^\s,.!?;:"')\]}]+"""), 0), lambda s: _error("V4.3", field, F.regexp_extract(s, r"([A-Z]+\d+)", 1)))
+        return F.concat(*of_tags(opened), balance_errors(t, field), let(legal, of_legal), let(spans(t), of_spans), fused)
+
+    broken = F.array(_error("V1.1", field, ""))
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike(r"[\n\r]"), broken).otherwise(let(_openings(t), lambda opened: rest(t, opened))))
 
 
 def _field(name: str) -> Column:
@@ -123,24 +127,31 @@ def validate_rows(sheet: DataFrame, mode: str = "baseline", warn_undecided: bool
     """sheet plus errors. Missing columns are an error at once; more columns than needed are fine. entity_parity checks NE tags between the two sentences (V3.3, V3.4)."""
     _complete(sheet)
     cfg = MODES[mode]
-    label, repl = _field(LABEL), _field(REPLACEMENT)
     rules, undecided = _metadata(warn_undecided)
-    parts = [
-        *rules, _when(_field("Target").rlike(r"</?[A-Z]+\d+>"), _error("V4.1", "Target", "")),
-        sentence_errors(label, LABEL, cfg["prefixes"], cfg["label"]), sentence_errors(repl, REPLACEMENT, cfg["prefixes"], cfg["replacement"]), *undecided,
-    ]
+    numbers = lambda opened, p: F.array_sort(F.array_distinct(F.transform(F.filter(opened, lambda x: (x["prefix"] == p) & (x["num"] != "")), lambda x: x["num"].cast("int"))))
     both = "Label/Replacement"
-    numbers = lambda t, p: F.array_sort(F.array_distinct(F.transform(F.filter(_openings(t), lambda x: (x["prefix"] == p) & (x["num"] != "")), lambda x: x["num"].cast("int"))))
-    for a, b in cfg["pairs"]:
-        if a == "NE" and not entity_parity:
-            continue
-        rule = {"L": "V3.1", "CS": "V3.2", "NE": "V3.3"}[a]
-        parts.append(_when(numbers(label, a) != numbers(repl, b), _error(rule, both, a)))
-        if a != "L":
-            unlike = lambda x, y: F.filter(F.map_keys(x), lambda k: F.coalesce(F.element_at(x, k) != F.element_at(y, k), F.lit(False)))
-            differ = let(extract_tags(repl, b), lambda y: let(extract_tags(label, a), lambda x: unlike(x, y)))  # noqa: B023
-            parts.append(F.transform(F.array_sort(differ), lambda k: _error("V3.5" if a == "CS" else "V3.4", both, F.concat(F.lit(a), k))))
-    return sheet.withColumn("errors", F.concat(*parts))
+    pairs = [(a, b) for a, b in cfg["pairs"] if a != "NE" or entity_parity]
+
+    def parity(mine: Column, other: Column, a: str, b: str) -> Column:
+        return _when(numbers(mine, a) != numbers(other, b), _error({"L": "V3.1", "CS": "V3.2", "NE": "V3.3"}[a], both, a))
+
+    def content(label: Column, repl: Column, a: str, b: str) -> Column:
+        unlike = lambda x, y: F.filter(F.map_keys(x), lambda k: F.coalesce(F.element_at(x, k) != F.element_at(y, k), F.lit(False)))
+        differ = let(extract_tags(repl, b), lambda y: let(extract_tags(label, a), lambda x: unlike(x, y)))
+        return F.transform(F.array_sort(differ), lambda k: _error("V3.5" if a == "CS" else "V3.4", both, F.concat(F.lit(a), k)))
+
+    def of_pairs(label: Column, repl: Column, mine: Column, other: Column) -> Column:
+        return F.concat(*[x for a, b in pairs for x in (parity(mine, other, a, b), *([content(label, repl, a, b)] if a != "L" else []))])
+
+    def errors(label: Column, repl: Column) -> Column:
+        return F.concat(
+            *rules, _when(_field("Target").rlike(r"</?[A-Z]+\d+>"), _error("V4.1", "Target", "")),
+            sentence_errors(label, LABEL, cfg["prefixes"], cfg["label"]), sentence_errors(repl, REPLACEMENT, cfg["prefixes"], cfg["replacement"]), *undecided,
+            let(_openings(label), lambda mine: let(_openings(repl), lambda other: of_pairs(label, repl, mine, other))),
+        )
+
+    # Spark writes a column's expression out wherever a filter speaks of the column: here each sentence stands once.
+    return sheet.withColumn("errors", let(_field(LABEL), lambda label: let(_field(REPLACEMENT), lambda repl: errors(label, repl))))
 
 
 def error_rows(validated: DataFrame, key: str = "row_index") -> DataFrame:

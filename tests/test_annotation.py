@@ -177,3 +177,14 @@ def test_similar_pairs_leaves_unlike_sets_where_they_are(spark):
     assert sorted((r.a, r.b, round(r.similarity, 6)) for r in found.collect()) == [(0, 100, round(195 / 201, 6)), (0, 200, 1.0), (1, 101, round(195 / 201, 6)), (2, 102, round(195 / 201, 6))]
     moved = [p for _, p in shared._made[made:] if "/candidates-" in p]
     assert spark.read.parquet(*moved).count() == 3
+
+
+def test_valid_rows_make_a_sentence_once_for_all_rules(spark):
+    """A filter by errors has the sentences' own expressions in it; each rule's copy of them would make its sentence anew."""
+    rows = spark.createDataFrame([(["a", "b"],), (["a", "b,"],), (["", "b"],)], "w array<string>")
+    text = lambda p: F.concat(F.lit(f"<{p}1>"), F.element_at("w", 2), F.lit(f"</{p}1>"), F.array_join("w", "-made-"))
+    sheet = rows.select(text("L").alias(A.LABEL), F.concat(text("N"), F.lit(" ")).alias(A.REPLACEMENT), F.lit("").alias("Target"), F.lit("+").alias("Valid"), F.lit("").alias("Reason"))
+    plan = A.valid_rows(sheet.withColumns({c: F.replace(F.col(f"`{c}`"), F.lit(">a"), F.lit("> a")) for c in (A.LABEL, A.REPLACEMENT)}))
+    condition = [x for x in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert sum(x.count("-made-") for x in condition) == 2
+    assert [r[A.LABEL] for r in plan.collect()] == ["<L1>b</L1> a-made-b"]
