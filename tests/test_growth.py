@@ -1,5 +1,6 @@
 """What keeps the queries' work in proportion to their input."""
 
+import os
 import random
 import re
 import time
@@ -174,3 +175,17 @@ def test_cards_take_types_without_regular_expressions(spark):
     rows = spark.createDataFrame([(1, ["a"], ["O"], [("m", ["B-X"], [0.5])])], "seq_id int, words array<string>, gold array<string>, runs array<struct<model string, pred array<string>, conf array<double>>>")
     cards = classify.model_error_cards(rows)
     assert "regexp" not in plan(cards) and cards.first()["kind"] == "FP"
+
+
+def test_epochs_read_lessons_dealt_once(spark, monkeypatch):
+    """Epochs shuffle no sentence and look for no features: these lie dealt and in order, two bytes a feature, and are deleted in the end."""
+    plans, learned = [], tagger._learned
+    monkeypatch.setattr(tagger, "_learned", lambda rows, *a: plans.append((rows._jdf.queryExecution().executedPlan().toString(), dict(rows.dtypes), rows)) or learned(rows, *a))
+    rows = spark.createDataFrame([(i, [f"w{i % 7}", "x", ""], ["B-A" if i % 7 == 3 else "O", "O", None]) for i in range(60)], "k int, words array<string>, labels array<string>")
+    taught = tagger.train_tagger(rows, "k", ["O", "B-A"], epochs=2, shards=2)
+    assert len(plans) == 2 and all("Exchange" not in p and "crc32" not in p and t["features"] == "array<smallint>" for p, t, _ in plans)
+    file = plans[0][2]._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    assert not os.path.exists(file.removeprefix("file:"))
+    assert taught.weights.any()
+    wide = tagger.train_tagger(rows, "k", ["O", "B-A"], epochs=2, shards=2, buckets=1 << 17)
+    assert plans[-1][1]["features"] == "array<int>" and wide.buckets == 1 << 17
