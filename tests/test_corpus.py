@@ -209,3 +209,17 @@ def test_datasets_of_both_layouts(spark, tmp_path):
     (tmp_path / "one.json").write_text('{\n"source_plain": "a"\n}\n')
     read = lambda p: sorted(r.source_plain for r in files.read_dataset(spark, str(tmp_path / p)).collect())
     assert read("lines") == [f"s {k}" for k in range(5)] and read("list.json") == ["a", "b"] and read("one.json") == ["a"]
+
+
+def test_a_vertical_file_is_made_once(spark, tmp_path):
+    """Neither the ranges' bounds nor the filter make a sentence's lines again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(words):
+        made.add(len(words))
+        return words
+
+    df = spark.range(200).select(F.col("id").alias("spos"), F.udf(lambda n: counted([f"w{n}"]), "array<string>")("id").alias("words"))
+    corpus.write_vertical(df.select("spos", corpus.tokens_of(F.col("words")).alias("tokens")), f"{tmp_path}/v")
+    assert made.value == 200
+    assert sorted(r.spos for r in corpus.read_vertical(spark, f"{tmp_path}/v").collect()) == list(range(200))
