@@ -188,3 +188,10 @@ def test_valid_rows_make_a_sentence_once_for_all_rules(spark):
     condition = [x for x in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
     assert sum(x.count("-made-") for x in condition) == 2
     assert [r[A.LABEL] for r in plan.collect()] == ["<L1>b</L1> a-made-b"]
+
+
+def test_clusters_take_rows_of_one_key_as_one_set(spark):
+    whole = [f"w{k}" for k in range(20)]
+    rows = [(1, whole), (2, whole[:10]), (2, whole[10:]), (3, [*whole[:19], "z"]), (4, ["other"])]
+    pairs = assistant.similar_pairs(spark.createDataFrame(rows, "id int, items array<string>"), "id", "items", 0.8)
+    assert sorted((r.node, r.cluster, round(r.similarity, 6)) for r in assistant.clusters(pairs).collect()) == [(1, 1, 1.0), (2, 1, 1.0), (3, 1, round(19 / 21, 6))]
